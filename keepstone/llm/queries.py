@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import table
+from keepstone.llm.common import crc_mod, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,12 +17,38 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm import op2_language
+
+    docs = table(spark, sf_dir, "documents")
+    part = crc_mod("doc_id", 4)
+    model = op2_language.fit(docs, part != 2)
+    docs = docs.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "text")
+    return op2_language.predict(docs, model, ["doc_id", "held_out"])
+
+
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm.op3_permutation import nearest
+
+    return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm.op4_huffman import huffman_round_trip
 
     return huffman_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm import op9_quality
+
+    docs = table(spark, sf_dir, "documents")
+    part = crc_mod("doc_id", 5)
+    model = op9_quality.fit(docs, table(spark, sf_dir, "labels"), part != 0)
+    docs = docs.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "text")
+    return op9_quality.score(docs, model, ["doc_id", "held_out"])
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm.op10_packing import pack_documents
 
@@ -33,7 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op2_byte_gru_language,
+            op3_permutation_index,
             op4_huffman_files,
+            op9_attention_quality,
             op10_harmonic_packing,
         )
     }
