@@ -39,6 +39,18 @@ def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm.op5_licenses import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm.op8_simhash import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm import op9_quality
 
@@ -62,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_byte_gru_language,
             op3_permutation_index,
             op4_huffman_files,
+            op5_license_automaton,
+            op8_simhash_pivots,
             op9_attention_quality,
             op10_harmonic_packing,
         )
