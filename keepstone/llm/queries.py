@@ -45,6 +45,12 @@ def op5_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm.op7_substring import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm.op8_simhash import near_duplicates
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_permutation_index,
             op4_huffman_files,
             op5_license_automaton,
+            op7_fm_index_substrings,
             op8_simhash_pivots,
             op9_attention_quality,
             op10_harmonic_packing,
