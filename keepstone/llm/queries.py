@@ -17,6 +17,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mih_sign_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every hundredth embedding."""
+    from keepstone.llm.op1_mih import nearest_codes, sign_code
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return nearest_codes(spark, rows, F.col("vec_id") % 100 == 0)
+
+
 def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm import op2_language
 
@@ -45,6 +53,13 @@ def op5_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.llm.op6_sentencepiece import encode_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(spark, docs, tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
 def op7_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepstone.llm.op7_substring import remove_repeats
 
@@ -73,14 +88,33 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+OP1_SQL = """
+WITH codes AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        len(list_filter(list_zip(q.bits, c.bits), lambda p: p[1] != p[2])) AS distance
+    FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance
+FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_mih_sign_codes,
             op2_byte_gru_language,
             op3_permutation_index,
             op4_huffman_files,
             op5_license_automaton,
+            op6_sentencepiece_scan,
             op7_fm_index_substrings,
             op8_simhash_pivots,
             op9_attention_quality,
@@ -91,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express on whole tables."""
-    return {}
+    return {"op1_mih_sign_codes": OP1_SQL}
