@@ -102,7 +102,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer).encode, HarmonicPacker(capacity, least)
+        encode, packer = encoder(tokenizer).encode_batch, HarmonicPacker(capacity, least)
         number = TaskContext.get().partitionId() << WORKER_BITS
         rows: list[tuple] = []
 
@@ -126,9 +126,10 @@ def pack_documents(
             rows.clear()
             return out
 
-        for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text) + END_BYTES
+        for batch in slices(batches, "text", 2 << 20):
+            encoded = encode(batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
+                ids += END_BYTES
                 close(packer.put((doc_id, ids), len(ids) // 4))
             if len(rows) >= 2048:
                 yield flush()

@@ -29,6 +29,8 @@ MAX_BITS = 18
 #: Ids between two checkpoints of a block.
 STEP = 128
 MAGIC = b"KSH1"
+#: Ids on their way from tokenizer to encoder: vocabularies of up to 65,536 ids take two bytes.
+STORED, STORED_BYTES = "<u2", 2
 BLOCK = struct.Struct("<4sIII")  # magic, documents, ids, bytes of the bit string
 
 
@@ -98,8 +100,8 @@ def decoding_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
 
 
 def encode_block(documents: list[bytes], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    """Documents (little-endian unsigned 32-bit ids) as one self-contained payload."""
-    ids = np.frombuffer(b"".join(documents), "<u4")
+    """Documents (ids as ``STORED``) as one self-contained payload."""
+    ids = np.frombuffer(b"".join(documents), STORED)
     bits = lengths[ids].astype(np.int64)
     ends = np.cumsum(bits)
     starts = ends - bits
@@ -108,7 +110,7 @@ def encode_block(documents: list[bytes], lengths: np.ndarray, codes: np.ndarray)
     shift = np.repeat(ends, bits) - 1 - np.arange(total)
     stream = np.packbits(((np.repeat(codes[ids], bits) >> shift.astype(np.uint32)) & 1).astype(np.uint8))
     head = BLOCK.pack(MAGIC, len(documents), len(ids), len(stream))
-    sizes = np.asarray([len(d) // 4 for d in documents], "<u4").tobytes()
+    sizes = np.asarray([len(d) // STORED_BYTES for d in documents], "<u4").tobytes()
     return head + sizes + starts[::STEP].astype("<u8").tobytes() + stream.tobytes()
 
 
@@ -139,12 +141,13 @@ def decode_block(payload: bytes, table: np.ndarray, max_bits: int = MAX_BITS) ->
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of each whole text with the end id; a null text is empty."""
+    """(doc_id, ids): ids of each whole text with the end id, as ``STORED``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in slices(batches, "text"):
-            ids = pa.array([encode(t) + END_BYTES for t in batch.column("text").to_pylist()], pa.binary())
+        encode = encoder(tokenizer).encode_batch
+        for batch in slices(batches, "text", 2 << 20):
+            found = (np.frombuffer(x + END_BYTES, "<u4") for x in encode(batch.column("text").to_pylist()))
+            ids = pa.array([x.astype(STORED).tobytes() for x in found], pa.binary())
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
@@ -157,7 +160,7 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), STORED))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -213,7 +216,7 @@ def write_files(
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append(ids)
                 names.append(doc_id)
-                size += len(ids) // 4
+                size += len(ids) // STORED_BYTES
                 if size >= block_tokens:
                     yield close()
         if held:

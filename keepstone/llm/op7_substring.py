@@ -157,7 +157,7 @@ def id_map(ids: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
 
 def _in_map(rows: DataFrame, found: np.ndarray, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows whose id may be in the map, and the others. The map is of fixed size and broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(found).tobytes() if found.dtype == bool else found.tobytes())
+    shared = rows.sparkSession.sparkContext.broadcast(found.tobytes())
 
     @F.pandas_udf("boolean")
     def hit(place: pd.Series) -> pd.Series:
@@ -166,8 +166,8 @@ def _in_map(rows: DataFrame, found: np.ndarray, bits: int = MAP_BITS) -> tuple[D
         return pd.Series((data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    flag = rows.withColumn("hit", F.col("doc_id").isNotNull() & hit(place))
-    return flag.where("hit").drop("hit"), flag.where("not hit").drop("hit")
+    flag = rows.withColumn("_ks_hit", F.col("doc_id").isNotNull() & hit(place))
+    return flag.where("_ks_hit").drop("_ks_hit"), flag.where("not _ks_hit").drop("_ks_hit")
 
 
 def read_contents(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -287,35 +287,69 @@ def _kept(text: bytes, spans: list[dict[str, int]]) -> tuple[int, list[bytes]]:
     return len(words), [w for w, k in zip(words, keep.tolist(), strict=False) if k]
 
 
-def apply_spans(rows: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, text]) for every row; text is null where nothing was removed.
+def apply_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row.
 
     Only rows that may have spans are shuffled; a map of fixed size tells which.
     """
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             marks = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             out = []
             for doc_id, text, by_tag in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), marks, strict=True):
-                text = text or b""
-                own = [x for m in by_tag or [] if m["tag"] == _tag(text) for x in m["spans"]]
-                n, kept = _kept(text, own)
-                joined = b" ".join(kept)
-                out.append((doc_id, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined if own else None))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            columns = list(zip(*out, strict=True))
-            columns[4] = [None if x is None else x.decode() for x in columns[4]]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 4 + with_text], names=names)
+                n, kept = _kept(text or b"", _own_spans(text or b"", by_tag))
+                out.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            kinds = [pa.int64()] * 3 + [pa.string()]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     maybe, others = _in_map(rows, id_map(spans))
-    marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spans")).alias("spans"))
-    read = maybe.join(marks, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    read = maybe.join(_by_document(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
     return read.unionByName(others.select("doc_id", "text").mapInArrow(run, schema))
 
 
+def _by_document(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "spans")).alias("spans"))
+
+
+def _own_spans(text: bytes, by_tag: list[dict] | None) -> list[dict[str, int]]:
+    return [x for m in by_tag or [] if m["tag"] == _tag(text) for x in m["spans"]]
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of documents (doc_id, text, n_chars and any others) without words that stand in an earlier document.
+
+    A text that loses words becomes its kept words, one blank apart, with a new n_chars; a row that keeps none is
+    dropped. Rows that lose nothing are returned as they are, null and blank texts among them.
+    """
+    scratch = Scratch(spark, "cut")
+    spans = covered(spark, _rows(docs, "doc_id", "text"), scratch, window)
+    named = spans.select(F.col("doc_id").alias("_ks_id"), F.col("tag").alias("_ks_tag"), F.col("spans").alias("_ks_spans"))
+    named = named.groupBy("_ks_id").agg(F.collect_list(F.struct(F.col("_ks_tag").alias("tag"), F.col("_ks_spans").alias("spans"))).alias("_ks_spans"))
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for text, by_tag in zip(texts, marks, strict=True):
+            own = _own_spans(text, by_tag) if text is not None else []
+            out.append(b" ".join(_kept(text, own)[1]).decode("utf-8", "replace") if own else None)
+        return pd.Series(out, dtype=object)
+
+    maybe, others = _in_map(docs, id_map(spans))
+    joined = maybe.join(named, F.col("doc_id") == F.col("_ks_id"), "left")
+    marked = joined.where("_ks_spans is not null").withColumn("_ks_rest", rest(utf8("text"), F.col("_ks_spans")))
+    kept = marked.where("_ks_rest is null or _ks_rest != ''").withColumns(
+        {
+            "n_chars": F.when(F.col("_ks_rest").isNull(), F.col("n_chars")).otherwise(F.length("_ks_rest")).cast(docs.schema["n_chars"].dataType),
+            "text": F.coalesce("_ks_rest", "text"),
+        }
+    )
+    same = joined.where("_ks_spans is null")
+    return others.unionByName(same.select(*docs.columns)).unionByName(kept.select(*docs.columns))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row.
 

@@ -2,21 +2,37 @@
 
 The vocabulary's split pattern never matches across white space and no normaliser step reaches across it, so the
 ids of a text are those of its white-space separated words, one after another. A word cache in each Python worker
-therefore stands in for most calls of the library; the words that are new in a batch go through it together.
+therefore stands in for most calls of the library. Words that are new in a batch of texts go through the library
+together: a word of letters is one unit of the split pattern, whose last id alone stands for a word's end, so many
+such words are encoded as one string and told apart afterwards; a full stop or comma behind one is a unit by itself.
+All other words are encoded one by one.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
+from itertools import chain
 
 import numpy as np
 
 #: Id appended to every document.
 END_ID = 1
-#: Words kept by a worker's cache; it starts anew beyond that, which costs time only.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps; the cache starts anew beyond that, which costs time only.
+CACHE_WORDS = 700_000
 #: Words beyond this length are encoded but not kept.
 CACHE_WORD_BYTES = 64
+#: Words of letters that are encoded as one string.
+JOINED = 256
+#: What ends the last id of a unit in the vocabulary.
+UNIT_END = "</w>"
+#: Letters beyond this are left to the library, whose tables may be of another age.
+PLAIN_LETTERS = "\u0500"
+
+
+#: A stop before white space that isn't behind an ASCII letter or digit or a letter of Latin-1.
+ODD_STOP = re.compile(rb"(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[ \n])")
 
 
 class WordEncoder:
@@ -29,26 +45,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(UNIT_END)]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.stops = {s: self._whole([s])[s] for s in (b".", b",")}
 
-    def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
+    def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
-    def encode(self, text: bytes | None) -> bytes:
-        """Ids of the whole text without an end id; null and blank texts have none."""
-        words = (text or b"").split()
+    def _joined(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that consist of letters."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: dict[bytes, bytes] = {}
+        encoded = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(group):  # a letter to us, not to the library
+                out |= self._whole(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, to in zip(group, (last * 4).tolist(), strict=True):
+                out[word] = data[at:to]
+                at = to
+        return out
+
+    @staticmethod
+    def _is_letters(word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha()
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
+        return text.isalpha() and max(text) < PLAIN_LETTERS
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        letters = [w for w in words if w.isalpha()]
+        rest: list[bytes] = []
+        stopped: list[bytes] = []
+        for w in words.difference(letters):
+            core = w[:-1] if w[-1:] in self.stops else w
+            if not core or not self._is_letters(core):
+                rest.append(w)
+            elif core is w:
+                letters.append(w)
+            else:
+                stopped.append(w)
+                if core not in words and core not in self.cache:
+                    letters.append(core)
+        out = self._joined(list(set(letters)))
+        for w in stopped:
+            out[w] = (out.get(w[:-1]) or self.cache[w[:-1]]) + self.stops[w[-1:]]
+        if rest:
+            out |= self._whole(rest)
+        return out
+
+    @staticmethod
+    def _split(text: bytes) -> list[bytes]:
+        """Words of a text; a stop behind a letter or digit is a unit by itself, so it may stand apart."""
+        lower = text.lower()  # the normaliser lowers as well
+        if b"<|" in lower:  # names of special tokens are matched before it
+            return text.split()
+        if not ODD_STOP.search(lower):
+            for stop in (b". ", b", ", b".\n", b",\n"):
+                lower = lower.replace(stop, b" " + stop)
+        return lower.split()
+
+    def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of whole texts without an end id; null and blank texts have none."""
         cache = self.cache
-        parts = list(map(cache.get, words))
-        if None in parts:
-            new = self._encode_new(list({w for w, p in zip(words, parts, strict=True) if p is None}))
-            parts = [new[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_WORD_BYTES)
-        return b"".join(parts)
+        split = [self._split(text) if text else [] for text in texts]
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = set(chain.from_iterable(split)).difference(cache)
+        if new:
+            cache.update(self._learn(new))
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > CACHE_WORD_BYTES:
+                del cache[word]
+        return out
+
+    def encode(self, text: bytes | None) -> bytes:
+        return self.encode_batch([text])[0]
 
 
 @functools.cache
