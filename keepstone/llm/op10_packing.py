@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import slices, utf8
-from keepstone.llm.tokens import END_BYTES, encoder
+from keepstone.llm.common import slices, texts, utf8
+from keepstone.llm.tokens import encoder
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -129,7 +129,6 @@ def pack_documents(
         for batch in slices(batches, "text", 2 << 20):
             encoded = encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
-                ids += END_BYTES
                 close(packer.put((doc_id, ids), len(ids) // 4))
             if len(rows) >= 2048:
                 yield flush()
@@ -137,7 +136,7 @@ def pack_documents(
         if rows:
             yield flush()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    narrow = texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     packed = narrow.mapInArrow(run, SCHEMA)
     return packed if keep_ids else packed.drop("ids")
 
