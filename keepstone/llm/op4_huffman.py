@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, utf8
-from keepstone.llm.tokens import END_BYTES, encoder
+from keepstone.llm.common import Scratch, slices, texts, utf8
+from keepstone.llm.tokens import encoder
 
 #: Longest code. A decoding table has 2 to this power entries.
 MAX_BITS = 18
@@ -146,11 +146,10 @@ def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_batch
         for batch in slices(batches, "text", 2 << 20):
-            found = (np.frombuffer(x + END_BYTES, "<u4") for x in encode(batch.column("text").to_pylist()))
-            ids = pa.array([x.astype(STORED).tobytes() for x in found], pa.binary())
+            ids = pa.array(encode(batch.column("text").to_pylist(), STORED), pa.binary())
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    narrow = texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids binary")
 
 
