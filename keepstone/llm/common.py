@@ -62,6 +62,18 @@ def utf8(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("binary")
 
 
+#: Rows of an Arrow batch of texts. Spark's own default of 10,000 rows of long texts takes hundreds of MB a task.
+BATCH_ROWS = 1024
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches bounded for rows of text (only ever made smaller)."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Split record batches so that one slice holds about ``most`` bytes of ``column``; a long row stands alone."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import slices, utf8
+from keepstone.llm.common import slices, texts, utf8
 
 #: Bytes that the states run through before they start anew.
 WINDOW = 96
@@ -239,13 +239,14 @@ def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "t
     could be learned. Ties go to the first language in alphabetical order. An empty table gives no row.
     """
     schema = docs.select(*keep).schema
+    source = text_col if text_col in keep else "_ks_text"  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_ks_text", 4 << 20):
-            texts = [t or b"" for t in batch.column("_ks_text").to_pylist()]
+        for batch in slices(batches, source, 4 << 20):
+            found = [t or b"" for t in batch.column(source).cast(pa.binary()).to_pylist()]
             letters = np.asarray(batch.column("_ks_letter").fill_null(False).to_pylist(), bool)
-            p = document_probabilities(model, texts)
-            best = p.argmax(axis=1) if model.languages else np.zeros(len(texts), int)
+            p = document_probabilities(model, found)
+            best = p.argmax(axis=1) if model.languages else np.zeros(len(found), int)
             letters &= bool(model.languages)
             names = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
             score = np.where(letters, p.max(axis=1, initial=0), 0.0).clip(0, 1)
@@ -258,5 +259,5 @@ def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "t
     from pyspark.sql import types as T
 
     out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    narrow = docs.select(*keep, utf8(text_col).alias("_ks_text"), F.col(text_col).rlike(r"\p{L}").alias("_ks_letter"))
+    narrow = texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep), F.col(text_col).rlike(r"\p{L}").alias("_ks_letter"))
     return narrow.mapInArrow(run, out)

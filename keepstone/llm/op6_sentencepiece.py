@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, utf8
+from keepstone.llm.common import Scratch, slices, texts, utf8
 
 #: Characters of a chunk; longer documents are split.
 CHUNK = 32_768
@@ -389,7 +389,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model: str, id_col: s
     text counts as empty and has no ids. Rows that repeat, or have no id, are documents of their own. Only id and text
     are read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"))
+    rows = texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"))
     short = _encode_short(rows.where(F.col("n") <= chunk).select("doc_id", "text"), model)
     return short.unionByName(_encode_long(spark, rows.where(F.col("n") > chunk).select("doc_id", "text"), model, chunk))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, utf8
+from keepstone.llm.common import Scratch, slices, texts, utf8
 from keepstone.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -116,7 +116,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    return texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
 
 
 def _tag(text: bytes) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepstone.llm.common import slices, utf8
+from keepstone.llm.common import slices, texts, utf8
 
 PASSAGE = 512
 BUCKETS = 256
@@ -162,7 +162,7 @@ def _bag_rows(docs: DataFrame, most: int) -> DataFrame:
                 names=["label", "n", "features"],
             )
 
-    return docs.select("label", "text").mapInArrow(run, "label int, n int, features binary")
+    return texts(docs).select("label", "text").mapInArrow(run, "label int, n int, features binary")
 
 
 def fit(
@@ -200,10 +200,11 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str
     there to learn from, every score is that prior.
     """
     schema = docs.select(*keep).schema
+    source = text_col if text_col in keep else "_ks_text"  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_ks_text", 2 << 20):
-            x, counts = passages([t or b"" for t in batch.column("_ks_text").to_pylist()])
+        for batch in slices(batches, source, 2 << 20):
+            x, counts = passages([t or b"" for t in batch.column(source).cast(pa.binary()).to_pylist()])
             p = model.forward(x, counts)[0].astype(np.float64)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch(
@@ -212,4 +213,4 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str
             )
 
     out = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*keep, utf8(text_col).alias("_ks_text")).mapInArrow(run, out)
+    return texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep)).mapInArrow(run, out)
