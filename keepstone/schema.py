@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORDS = T._parse_datatype_string(
-    "sha256 string, ext string, taken_at timestamp_ntz, date_source string, camera string, width int, height int, "
-    "phash string, sharpness double, exposure double, faces int, face_sharpness double, user_best boolean, private boolean"
-)
-SOURCES = T._parse_datatype_string("path string, batch string, size long, mtime double, status string, reason string, sha256 string")
-RANGES = T._parse_datatype_string("slug string, start timestamp_ntz, end timestamp_ntz, parent string")
-VECTORS = T._parse_datatype_string("id long, embedding array<float>, person_id long, label_source string, ignored boolean")
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "time": T.TimestampNTZType(), "vector": T.ArrayType(T.FloatType()),
+}
+
+
+def _relation(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+RECORDS = _relation(
+    sha256="string", ext="string", taken_at="time", date_source="string", camera="string", width="int", height="int", phash="string",
+    sharpness="double", exposure="double", faces="int", face_sharpness="double", user_best="boolean", private="boolean",
+)
+SOURCES = _relation(path="string", batch="string", size="long", mtime="double", status="string", reason="string", sha256="string")
+RANGES = _relation(slug="string", start="time", end="time", parent="string")
+VECTORS = _relation(id="long", embedding="vector", person_id="long", label_source="string", ignored="boolean")
 
 
 def evolve(stored: DataFrame, target: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:

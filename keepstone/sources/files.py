@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.functions.scalars import file_name, root_key
-from keepstone.config import JUNK_NAMES
+from keepstone.config import EMPTY_SHA256
+from keepstone.functions.scalars import root_key
 
 ROOT_PREFIX = "_inbox_"
 
 
 def list_root(spark: SparkSession, root: str, with_content_hash: bool = False) -> DataFrame:
-    """(path, size, mtime[, sha256]) of all files below a root; contents are only read for the hash."""
+    """(path, size, mtime[, sha256]) of all files below a root; contents are only read for the hash.
+
+    Spark's file scan leaves empty files out of its rows but knows their paths; they come back with size 0 and no time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    shown = files.select("*", F.regexp_replace("path", "^file:/+", "/").alias("_p"))
     base = root.rstrip("/") + "/"
-    rel = F.when(F.col("_p").startswith(base), F.expr(f"substring(_p, {len(base) + 1})")).otherwise(F.col("_p"))
-    out = [rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").__truediv__(1000).alias("mtime")]
+
+    def relative(path: Column) -> Column:
+        plain = F.regexp_replace(path, "^file:/+", "/")
+        return F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 30)).otherwise(plain)
+
+    out = [relative(F.col("path")).alias("path"), F.col("length").alias("size"), (F.unix_millis("modificationTime") / 1000).alias("mtime")]
     if with_content_hash:
         out.append(F.sha2("content", 256).alias("sha256"))
-    return shown.select(*out).where(~F.lower(file_name(F.col("path"))).isin(*JUNK_NAMES) | F.lit(not with_content_hash))
+    found = files.select(*out)
+    known = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(relative(F.col("path")).alias("path"))
+    empty = known.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.lit(None).cast("double").alias("mtime"))
+    if with_content_hash:
+        empty = empty.withColumn("sha256", F.lit(EMPTY_SHA256))
+    return found.unionByName(empty)
 
 
 def _exists(spark: SparkSession, root: str) -> bool:

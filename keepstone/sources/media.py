@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds from the container epoch (1904) to the Unix epoch.
 EPOCH_1904 = 2_082_844_800
@@ -72,7 +73,7 @@ def container_seconds(content: bytes, last_year: int = 2100) -> int | None:
     return None
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def container_time(content: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else container_seconds(bytes(c)) for c in content], dtype="Int64")
 
@@ -100,7 +101,10 @@ def picture_hash(gray: np.ndarray) -> str:
     return f"{int(''.join('1' if x else '0' for x in (low > np.median(low)).ravel()), 2):016x}"
 
 
-@F.pandas_udf("exposure double, sharpness double, phash string")
+_FEATURES = T.StructType([T.StructField("exposure", T.DoubleType()), T.StructField("sharpness", T.DoubleType()), T.StructField("phash", T.StringType())])
+
+
+@F.pandas_udf(_FEATURES)
 def gray_features(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
     """Measures of decoded gray images (bytes, row by row); null pixels or wrong sizes give nulls."""
     out = []

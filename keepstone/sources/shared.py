@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="keepstone-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local master without it gets a temporary folder, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -14,6 +20,4 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="keepstone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_folder(spark.sparkContext.applicationId)
