@@ -45,7 +45,7 @@ SELECT sha256, path, CASE action WHEN 'move' THEN have WHEN 'copy' THEN source E
 """)
 def l_curate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = records(spark, sf_dir).select("sha256", "event_id")
-    d, k = _desired(spark, sf_dir).join(e, "sha256"), F.col("event_id")
+    d, k = _desired(spark, sf_dir).join(e, "sha256").persist(), F.col("event_id")  # a stored snapshot otherwise
     current = d.where(k % 4 != 0).select("sha256", F.when(k % 5 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"))
     source = d.where(k % 3 == 0).select("sha256", F.concat(F.lit("in/"), k.cast("string")).alias("path"))
     strange = d.where(k % 40 == 8).select("path", F.lit("someone").alias("sha256"))

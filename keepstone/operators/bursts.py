@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstone.config import NO_TIME
@@ -10,39 +13,63 @@ from keepstone.functions.scalars import hash_halves
 
 
 def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap_seconds: float, name: str = "island") -> DataFrame:
-    """Number runs of rows whose neighbours in time are at most the gap apart; the gap itself doesn't split."""
-    w = Window.partitionBy(*keys).orderBy(time, *order)
-    before = F.lag(time).over(w)
-    apart = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > int(gap_seconds * 1_000_000)
-    return df.withColumn(name, F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """df plus the number of each row's run of rows whose neighbours in time are at most the gap apart, by keys.
+
+    Rows are only ever ordered within a day of their keys, so one busy key is many tasks; what a day needs of the days
+    before (the last time and the number of breaks) comes from one row for each key and day.
+    """
+    gap, own = int(gap_seconds * 1_000_000), df.columns
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = df.withColumns({"_day": F.to_date(time), "_at": micros})
+    day = Window.partitionBy(*keys, "_day").orderBy(time, *order)
+    within = F.when(F.col("_at") - F.lag("_at").over(day) > gap, 1).otherwise(0)
+    rows = rows.withColumn("_break", within).withColumn("_sum", F.sum("_break").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy(*keys, "_day").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("_break").alias("_breaks"))
+    over = Window.partitionBy(*keys).orderBy("_day") if keys else Window.orderBy("_day")
+    days = days.withColumn("_new", F.when(F.col("_first") - F.lag("_last").over(over) > gap, 1).otherwise(0))
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("_before", F.sum(F.col("_new") + F.col("_breaks")).over(so_far) - F.col("_breaks"))
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    offsets = days.select(*names, F.col("_day").alias("_d"), "_before")
+    same = F.col("_day") == F.col("_d")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(offsets, same).select(*own, (F.col("_before") + F.col("_sum")).alias(name))
+
+
+def _fold(most_bits: int):
+    """A fold over sorted (camera, island, sha256, hi, lo); the open group goes on from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, moment, held = None, None, {}
+        for batch in batches:
+            out = []
+            for camera, island, sha, hi, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = hi << 32 | lo
+                joins = place == (camera, island) and (x in held or any((x ^ y).bit_count() <= most_bits for y in held))
+                if not joins:
+                    place, moment, held = (camera, island), sha, {}
+                held[x] = True
+                out.append(moment)
+            yield pa.record_batch([batch.column(2), pa.array(out, pa.string())], names=["sha256", "moment_id"])
+
+    return run
 
 
 def bursts(records: DataFrame, gap_seconds: float, most_bits: int) -> DataFrame:
     """(sha256, moment_id): a record joins the open group if it comes within the gap of the last member and its hash is
     within ``most_bits`` of any member; a failed test closes the group for good. Records without a real time stand alone.
 
-    A gap always breaks a group, so islands of time are independent and only they are folded, one array each.
+    A gap always breaks a group, so islands of time are independent: they are dealt to tasks, sorted and folded in one
+    pass that holds the distinct hashes of the open group only.
     """
     real = ~F.col("date_source").isin(*NO_TIME)
     alone = records.where(~real).select("sha256", F.col("sha256").alias("moment_id"))
     timed = records.where(real).select("sha256", "taken_at", F.coalesce("camera", F.lit("")).alias("camera"), hash_halves(F.col("phash")).alias("h"))
     runs = islands(timed, ["camera"], "taken_at", ["sha256"], gap_seconds)
-    member = F.struct("taken_at", "sha256", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"))
-    lists = runs.groupBy("camera", "island").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    folded = lists.select(
-        F.expr(f"""
-            aggregate(members,
-                named_struct('done', cast(array() as array<struct<sha256:string,moment_id:string>>),
-                             'held', cast(array() as array<struct<hi:bigint,lo:bigint>>), 'id', cast(null as string)),
-                (a, x) -> CASE WHEN exists(a.held, y -> bit_count(y.hi ^ x.hi) + bit_count(y.lo ^ x.lo) <= {int(most_bits)})
-                    THEN named_struct('done', array_append(a.done, named_struct('sha256', x.sha256, 'moment_id', a.id)),
-                                      'held', array_append(a.held, named_struct('hi', x.hi, 'lo', x.lo)), 'id', a.id)
-                    ELSE named_struct('done', array_append(a.done, named_struct('sha256', x.sha256, 'moment_id', x.sha256)),
-                                      'held', cast(array(named_struct('hi', x.hi, 'lo', x.lo)) as array<struct<hi:bigint,lo:bigint>>),
-                                      'id', x.sha256) END,
-                a -> a.done)""").alias("done")
-    )
-    return folded.select(F.explode("done").alias("d")).select("d.sha256", "d.moment_id").unionByName(alone)
+    sorted_runs = runs.repartition("camera", "island").sortWithinPartitions("camera", "island", "taken_at", "sha256")
+    rows = sorted_runs.select("camera", "island", "sha256", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"))
+    return rows.mapInArrow(_fold(most_bits), "sha256 string, moment_id string").unionByName(alone)
 
 
 def apply_overrides(groups: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -53,18 +80,10 @@ def apply_overrides(groups: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def sessions(records: DataFrame, gap_hours: float) -> DataFrame:
-    """Suggested events over all records with a real time: (id, start, end, records), split where a pause is longer.
-
-    One pause decides for all cameras together, so this is a single order; it runs on (day, least, greatest) summaries
-    of runs within a day, of which there are as many as days and runs, not records.
-    """
-    timed = records.where(~F.col("date_source").isin(*NO_TIME)).select("taken_at", F.to_date("taken_at").alias("day"))
-    within = islands(timed, ["day"], "taken_at", [], gap_hours * 3600, "run")
-    runs = within.groupBy("day", "run").agg(F.min("taken_at").alias("start"), F.max("taken_at").alias("end"), F.count("*").alias("n"))
-    w = Window.orderBy("start")
-    apart = F.unix_micros(F.col("start").cast("timestamp")) - F.unix_micros(F.lag("end").over(w).cast("timestamp")) > int(gap_hours * 3_600_000_000)
-    joined = runs.withColumn("event", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = joined.groupBy("event").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("records"))
+    """Suggested events over all records with a real time: (id, start, end, records), split where a pause is longer."""
+    timed = records.where(~F.col("date_source").isin(*NO_TIME)).select("taken_at")
+    runs = islands(timed, [], "taken_at", [], gap_hours * 3600, "event")
+    out = runs.groupBy("event").agg(F.min("taken_at").alias("start"), F.max("taken_at").alias("end"), F.count("*").alias("records"))
     return out.select(F.date_format("start", "yyyyMMdd_HHmmss").alias("id"), "start", "end", "records")
 
 
@@ -73,9 +92,3 @@ def user_sessions(events: DataFrame, keys: list[str], time: str, gap: str) -> Da
     w = F.session_window(time, gap)
     out = events.groupBy(*keys, w.alias("w")).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
     return out.drop("w")
-
-
-def typical_gap(records: DataFrame, keys: list[str], time: str) -> Column:
-    """Seconds since the row before of the same keys."""
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    return F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))
