@@ -9,8 +9,8 @@ boundary's. Matrices are combined associatively, which fixes the state at every
 traced back by itself.
 
 No piece goes from another character to a blank mark, so a word with the marks before it is a unit that is encoded by
-itself. Units between a chunk's first and last such place go through the library and a cache, as do all units of
-ordinary documents; the lattice is only walked where a chunk's boundary cuts a unit.
+itself. What lies between a chunk's first and last such place goes through the library, as do ordinary documents as a
+whole; the lattice is only walked where a chunk's boundary cuts a unit.
 """
 
 from __future__ import annotations
@@ -27,14 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, texts, utf8
+from keepstone.llm.common import released, Scratch, slices, texts, utf8
 
 #: Characters of a chunk; longer documents are split.
 CHUNK = 32_768
-#: Units that a worker keeps.
-CACHE_UNITS = 400_000
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Weights of the max-plus semiring that occur: an allowed step, and none.
 ALLOWED, NONE = 0.0, float("-inf")
 
@@ -94,29 +91,15 @@ class PieceEncoder:
         for i in range(len(pieces)):
             if m.is_control(i):
                 self.text[i] = b""
-        self.units: dict[str, list[int]] = {}
         self.allowed: dict[tuple[str, str], bool] = {}
 
     # Units ------------------------------------------------------------------------------------------------------
 
-    def encode_units(self, units: list[str]) -> list[int]:
-        """Ids of whole units, each of which begins with a mark (the library adds one before a text)."""
-        known = self.units
-        new = set(units).difference(known)
-        if new:
-            if len(known) > CACHE_UNITS:
-                known.clear()
-                new = set(units)
-            ordered = list(new)
-            for unit, ids in zip(ordered, self.model.encode([u[1:] for u in ordered]), strict=True):
-                known[unit] = ids if len(unit) > 1 else [self.ids[MARK]]
-        out: list[int] = []
-        for unit in units:
-            out += known[unit]
-        for unit in new:
-            if len(unit) > 64:
-                del known[unit]
-        return out
+    def encode_units(self, text: str) -> list[int]:
+        """Ids of a normalised text of whole units; it begins with a mark, which the library adds by itself."""
+        if len(text) < 2:
+            return [self.ids[MARK]] if text else []
+        return self.model.encode(text[1:])
 
     def normalise(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
@@ -162,7 +145,7 @@ class PieceEncoder:
                         yield marks - back + len(piece), piece
 
     def marks_before(self, unit_text: str, piece_start: int) -> list[int]:
-        return self.encode_units([unit_text[:piece_start]]) if piece_start else []
+        return self.encode_units(unit_text[:piece_start])
 
     def walk(self, text: str, start: int, stop: int, first: list[State]) -> dict[State, dict[State, list[State]]]:
         """From boundary states at ``start`` to those at ``stop`` (both places in text): every path's states in between.
@@ -240,14 +223,14 @@ class PieceEncoder:
             return self._back(text, 0, size, first, goal)
         a, b = found
         head = self._back(text, 0, a, first, (a, None)) if first != (a, None) else []
-        ids = head + self.encode_units(UNIT.findall(text[a:b]))
+        ids = head + self.encode_units(text[a:b])
         if last == (0, None):
-            return ids + self.encode_units(UNIT.findall(text[b:size]))
+            return ids + self.encode_units(text[b:size])
         return ids + self._back(text, b, size, (b, None), goal)
 
     def _back(self, text: str, start: int, stop: int, first: State, goal: State) -> list[int]:
         if first[1] is None and goal[1] is None:
-            return self.encode_units(UNIT.findall(text[first[0] : goal[0]]))
+            return self.encode_units(text[first[0] : goal[0]])
         came = self.walk(text, start, stop, [first])
         targets = [s for s in came if s == goal or (goal[1] is None and s[0] == goal[0])]
         # Keep the states from which the goal was reached; the path is unique.
@@ -266,7 +249,7 @@ class PieceEncoder:
     # Whole texts ------------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_units(UNIT.findall(self.normalise(text)))
+        return self.model.encode(text)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the blank that encoding puts before a text is taken off."""
@@ -324,7 +307,7 @@ def _encode_short(rows: DataFrame, model: str) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.record_batch(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(released(run), SCHEMA)
 
 
 def _encode_long(spark: SparkSession, rows: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -403,4 +386,4 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if x is None else e.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, text string")
