@@ -5,86 +5,147 @@ Round r probes, in every segment, all values at exactly r bits from the query's
 d has a segment at d / 4 bits or fewer, so after round r every code at distance 4r + 3 or less has been verified: a
 query whose k-th verified distance is within that radius is done; the others grow their radius by one.
 
-Equal codes are one posting that carries its k + 1 least ids, which is all that ties can ask for, so copies neither
-crowd a bucket nor repeat in the candidates. A pair is reported only by the first probe that meets it.
+Rows are dealt at random into shards, each with tables of its own, and queries into blocks; one task searches one
+shard for one block and passes on the k best of each query, of which the k best over all shards are the answer. In a
+shard, equal codes are one posting that carries its k + 1 least ids, which is all that ties can ask for, so copies
+neither crowd a bucket nor repeat among the candidates. A code is verified by the first probe that meets it.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepstone.llm.common import Scratch
 
 SEGMENTS, SEGMENT_BITS = 4, 16
+#: Rows of a shard and queries of a block. A shard's codes and tables take a few MB.
+SHARD_ROWS, BLOCK_QUERIES = 1 << 17, 512
+#: Probes that are held at a time.
+PROBES = 1 << 21
 
 
 def sign_code(vector: Column) -> Column:
-    """64-bit code of a vector: bit i is set if component i is above zero. Null unless 64 finite components exist."""
+    """64-bit code of a vector: bit i is set if component i is above zero. Null unless 64 components that are numbers
+    exist."""
     whole = (F.size(vector) == 64) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
     bits = F.transform(vector, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0)))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
     return F.when(F.coalesce(whole, F.lit(False)), code)
 
 
-def _segment(code: str, i: int) -> Column:
-    return F.shiftrightunsigned(F.col(code), SEGMENT_BITS * i).bitwiseAND((1 << SEGMENT_BITS) - 1).cast("int")
+@functools.cache
+def _masks(r: int) -> np.ndarray:
+    """All segment masks of r bits."""
+    every = np.arange(1 << SEGMENT_BITS, dtype=np.int64)
+    return every[np.bitwise_count(every) == r]
+
+
+def _segments(codes: np.ndarray) -> np.ndarray:
+    """Segment values, a row for each segment."""
+    return np.stack([((codes >> np.uint64(SEGMENT_BITS * s)) & np.uint64(0xFFFF)).astype(np.int64) for s in range(SEGMENTS)])
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start, start + 1, ... of the given lengths."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Shard:
+    """Segment tables over distinct codes, with the least ids of each."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int):
+        order = np.lexsort((ids, codes))
+        ids, codes = ids[order], codes[order]
+        again = np.concatenate([[False], (codes[1:] == codes[:-1]) & (ids[1:] == ids[:-1])])
+        ids, codes = ids[~again], codes[~again]
+        self.codes, first, count = np.unique(codes, return_index=True, return_counts=True)
+        self.ids, self.first, self.count = ids, first, np.minimum(count, k + 1)
+        self.k = k
+        self.segments = _segments(self.codes)
+        self.order = np.stack([np.argsort(s, kind="stable") for s in self.segments])
+        self.starts = np.stack([np.searchsorted(s[o], np.arange((1 << SEGMENT_BITS) + 1)) for s, o in zip(self.segments, self.order, strict=True)])
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, distance, id): the k least of each query by (distance, id), its own id left out."""
+        own = _segments(queries)
+        open_queries = np.arange(len(queries))
+        pool = tuple(np.empty(0, np.int64) for _ in range(3))
+        for r in range(SEGMENT_BITS + 1):
+            masks = _masks(r)
+            for at in range(0, len(open_queries), step := max(1, PROBES // len(masks))):
+                some = open_queries[at : at + step]
+                pool = self._best(pool, *(self._probe(some, own, queries, query_ids, s, r, masks) for s in range(SEGMENTS)))
+            number, distance, _ = pool
+            full = np.bincount(number, distance <= SEGMENTS * r + SEGMENTS - 1, len(queries)) >= self.k
+            open_queries = open_queries[~full[open_queries]]
+            if not len(open_queries):
+                break
+        return pool
+
+    def _probe(self, some, own, queries, query_ids, segment, r, masks):
+        value = (own[segment][some][:, None] ^ masks[None, :]).ravel()
+        start, stop = self.starts[segment][value], self.starts[segment][value + 1]
+        hit = np.flatnonzero(stop > start)
+        size = (stop - start)[hit]
+        code = self.order[segment][_spread(start[hit], size)]
+        number = np.repeat(some[hit // len(masks)], size)
+        met = np.zeros(len(code), bool)  # by a round or a segment before
+        for s in range(SEGMENTS):
+            if s != segment:
+                apart = np.bitwise_count(self.segments[s][code] ^ own[s][number])
+                met |= apart < r + (s < segment)
+        code, number = code[~met], number[~met]
+        distance = np.bitwise_count(self.codes[code] ^ queries[number]).astype(np.int64)
+        count = self.count[code]
+        number, distance = np.repeat(number, count), np.repeat(distance, count)
+        ids = self.ids[_spread(self.first[code], count)]
+        keep = ids != query_ids[number]
+        return number[keep], distance[keep], ids[keep]
+
+    def _best(self, *parts):
+        number, distance, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, distance, number))
+        number, distance, ids = number[order], distance[order], ids[order]
+        first = np.searchsorted(number, number)
+        keep = np.arange(len(number)) - first < self.k
+        return number[keep], distance[keep], ids[keep]
 
 
 def nearest_codes(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
     """(query_id, rank, vec_id, distance): for each query row the k rows of least Hamming distance, exactly.
 
     Every row but those with the query's own id is a candidate; ties go to the smaller id. Rows with a null id or code
-    take no part; a row that repeats counts once; fewer than k candidates give fewer rows. Only id and code are read.
+    take no part; a row that repeats counts once, and an id with two codes may be found by either; fewer than k
+    candidates give fewer rows. Only id and code are read.
     """
     scratch = Scratch(spark, "mih")
-    clean = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(code_col).alias("code")).dropna().distinct()
-    clean = scratch.write(clean, "rows")
-    # The k + 1 least ids of a code: one of them may be the query's own.
-    by_code = Window.partitionBy("code").orderBy("vec_id")
-    ranked = clean.withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k + 1)
-    least = ranked.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    segments = F.array(*[_segment("code", i) for i in range(SEGMENTS)])
-    posted = least.select("code", "ids", F.posexplode(segments).alias("seg", "val"))
-    posted = scratch.write(posted, "posted")
-    open_queries = scratch.write(clean.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries-0")
-    found, done = None, []
-    for r in range(SEGMENT_BITS + 1):
-        probes = open_queries.select(
-            "query_id",
-            "q",
-            F.posexplode(F.array(*[_segment("q", i) for i in range(SEGMENTS)])).alias("seg", "own"),
-        ).select(
-            "query_id",
-            "q",
-            "seg",
-            F.explode(F.expr(f"transform(filter(sequence(0, {(1 << SEGMENT_BITS) - 1}), m -> bit_count(m) = {r}), m -> m ^ own)")).alias("val"),
-        )
-        apart = [F.bit_count(_segment("q", i).bitwiseXOR(_segment("code", i))) for i in range(SEGMENTS)]
-        # Met before in an earlier round, or in this round in an earlier segment.
-        met = F.lit(False)
-        for i in range(SEGMENTS):
-            met = met | (apart[i] < r) | ((apart[i] == r) & (F.col("seg") > i))
-        pairs = probes.join(posted, ["seg", "val"]).where(~met)
-        fresh = pairs.select(
-            "query_id", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("vec_id")
-        ).where("vec_id != query_id")
-        pool = fresh if found is None else fresh.unionByName(found)
-        order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        best = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        best = scratch.write(best, f"found-{r}")
-        covered = 4 * r + 3
-        last = best.where((F.col("rank") == k) & (F.col("distance") <= covered)).select("query_id")
-        left = open_queries.join(last, "query_id", "left_anti")
-        left = scratch.write(left, f"queries-{r + 1}")
-        done.append(best.join(last, "query_id", "left_semi"))
-        open_queries = left
-        found = best.join(left, "query_id", "left_semi").select("query_id", "distance", "vec_id")
-        if left.isEmpty():
-            break
-    else:
-        done.append(best.join(open_queries, "query_id", "left_semi"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select("query_id", "rank", "vec_id", "distance")
+    clean = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(code_col).cast("long").alias("code")).dropna()
+    queries = clean.where(is_query).distinct()
+    n_shards = max(1, -(-clean.count() // SHARD_ROWS))
+    n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = clean.select(deal(n_shards).alias("s"), every(n_blocks).alias("b"), "vec_id", "code")
+    right = queries.select(every(n_shards).alias("qs"), deal(n_blocks).alias("qb"), F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+
+    def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "q", "vec_id", "distance"]
+        if not len(shard) or not len(asked):
+            return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
+        codes, wanted = (x.to_numpy(np.int64).view(np.uint64) for x in (shard["code"], asked["q"]))
+        query_ids = asked["query_id"].to_numpy()
+        number, distance, ids = Shard(shard["vec_id"].to_numpy(), codes, k).search(query_ids, wanted)
+        return pd.DataFrame(dict(zip(names, (query_ids[number], asked["q"].to_numpy()[number], ids, distance), strict=True)))
+
+    found = left.groupBy("s", "b").cogroup(right.groupBy("qs", "qb")).applyInPandas(run, "query_id long, q long, vec_id long, distance int")
+    # Shards may hold one id with two codes, and one query id may stand for two: the nearer counts.
+    nearest = scratch.write(found, "found").groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    ranked = nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "distance")
