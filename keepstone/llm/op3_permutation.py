@@ -25,7 +25,7 @@ from keepstone.llm.common import Scratch
 #: Pivots; each vector's order has all of them.
 PIVOTS = 128
 #: Share of a block that is compared exactly, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.06, 64
+RERANK_SHARE, RERANK_LEAST = 0.1, 384
 #: Rows of a block of vectors, and of a block of queries.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
 
