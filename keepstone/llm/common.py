@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; a cluster gets an error, because executors
-    could not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="keepstone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+from keepstone.sources.shared import shared_folder
 
 
 class Scratch:
@@ -33,7 +22,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/keepstone-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/keepstone-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -74,6 +63,23 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def released(run: Callable) -> Callable:
+    """A function over Arrow batches that hands its memory back when a task ends: idle Python workers stay alive, and
+    an executor's limit covers them."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a libc without it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Split record batches so that one slice holds about ``most`` bytes of ``column``; a long row stands alone."""
     for batch in batches:

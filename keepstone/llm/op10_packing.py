@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import slices, texts, utf8
-from keepstone.llm.tokens import encoder
+from keepstone.llm.common import released, slices, texts, utf8
+from keepstone.llm.tokens import WordEncoder
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -46,7 +46,7 @@ def cut(n: int, capacity: int, least: int) -> list[tuple[int, int]]:
 
 
 class HarmonicPacker:
-    """Bins of one worker. ``put`` and ``finish`` yield closed bins: lists of (item, start, length)."""
+    """Bins of one worker. ``put`` takes a piece of ``cut``; it and ``finish`` yield closed bins: lists of (item, start, length)."""
 
     def __init__(self, capacity: int = 2048, least: int = 64):
         if capacity & (capacity - 1) or least & (least - 1) or not 0 < least <= capacity:
@@ -54,13 +54,12 @@ class HarmonicPacker:
         self.capacity, self.least = capacity, least
         self.open: dict[int, list[tuple[object, int, int]]] = {}
 
-    def put(self, item: object, n: int) -> Iterator[tuple[int, list[tuple[object, int, int]]]]:
-        for start, length in cut(n, self.capacity, self.least):
-            k = self.capacity // length
-            held = self.open.setdefault(k, [])
-            held.append((item, start, length))
-            if len(held) == k:
-                yield k, self.open.pop(k)
+    def put(self, item: object, start: int, length: int) -> Iterator[tuple[int, list[tuple[object, int, int]]]]:
+        k = self.capacity // length
+        held = self.open.setdefault(k, [])
+        held.append((item, start, length))
+        if len(held) == k:
+            yield k, self.open.pop(k)
 
     def finish(self) -> Iterator[tuple[int, list[tuple[object, int, int]]]]:
         """Concatenate what is left, longest class first, and cut it at the capacity and then at powers of two."""
@@ -102,7 +101,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer).encode_batch, HarmonicPacker(capacity, least)
+        encode, packer = WordEncoder(tokenizer).encode_batch, HarmonicPacker(capacity, least)
         number = TaskContext.get().partitionId() << WORKER_BITS
         rows: list[tuple] = []
 
@@ -110,11 +109,9 @@ def pack_documents(
             nonlocal number
             for k, held in bins:
                 offset = 0
-                for (doc_id, ids), start, length in held:
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append(
-                        (doc_id, start, length, zlib.crc32(part), len(ids) // 4, number, offset, k, part if keep_ids else None)
-                    )
+                for (doc_id, total, first, ids), start, length in held:
+                    part = ids[4 * (start - first) : 4 * (start - first + length)]
+                    rows.append((doc_id, start, length, zlib.crc32(part), total, number, offset, k, part if keep_ids else None))
                     offset += length
                 number += 1
 
@@ -126,10 +123,12 @@ def pack_documents(
             rows.clear()
             return out
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             encoded = encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
-                close(packer.put((doc_id, ids), len(ids) // 4))
+                total = len(ids) // 4
+                for start, length in cut(total, capacity, least):  # an open bin holds the pieces' ids alone
+                    close(packer.put((doc_id, total, start, ids[4 * start : 4 * (start + length)]), start, length))
             if len(rows) >= 2048:
                 yield flush()
         close(packer.finish())
@@ -137,7 +136,7 @@ def pack_documents(
             yield flush()
 
     narrow = texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    packed = narrow.mapInArrow(run, SCHEMA)
+    packed = narrow.mapInArrow(released(run), SCHEMA)
     return packed if keep_ids else packed.drop("ids")
 
 

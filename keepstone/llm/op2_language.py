@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import slices, texts, utf8
+from keepstone.llm.common import released, slices, texts, utf8
 
 #: Bytes that the states run through before they start anew.
 WINDOW = 96
@@ -179,7 +179,7 @@ def document_probabilities(model: ByteGru, texts: list[bytes]) -> np.ndarray:
     count = -(-sizes // WINDOW)
     ends = np.cumsum(count)
     n = int(ends[-1]) if len(ends) else 0
-    if not n:
+    if not n or not model.languages:
         return total
     padded = np.full(n * WINDOW, 32, np.uint8)
     for i, t in enumerate(texts):
@@ -260,4 +260,4 @@ def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "t
 
     out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     narrow = texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep), F.col(text_col).rlike(r"\p{L}").alias("_ks_letter"))
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(released(run), out)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, texts, utf8
-from keepstone.llm.tokens import encoder
+from keepstone.llm.common import released, Scratch, slices, texts, utf8
+from keepstone.llm.tokens import WordEncoder
 
 #: Longest code. A decoding table has 2 to this power entries.
 MAX_BITS = 18
@@ -144,13 +144,13 @@ def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """(doc_id, ids): ids of each whole text with the end id, as ``STORED``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_batch
-        for batch in slices(batches, "text", 2 << 20):
+        encode = WordEncoder(tokenizer).encode_batch
+        for batch in slices(batches, "text", 1 << 20):
             ids = pa.array(encode(batch.column("text").to_pylist(), STORED), pa.binary())
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     narrow = texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids binary")
+    return narrow.mapInArrow(released(run), "doc_id long, ids binary")
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def count_ids(encoded: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    partial = encoded.select("ids").mapInArrow(run, "id long, n long")
+    partial = encoded.select("ids").mapInArrow(released(run), "id long, n long")
     return partial.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -223,7 +223,7 @@ def write_files(
 
     # Equal ids are told apart by their content, so that repeated rows have one order.
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = ordered.mapInArrow(run, "shard int, block long, before long, doc_ids array<long>, n_tokens long, payload binary")
+    blocks = ordered.mapInArrow(released(run), "shard int, block long, before long, doc_ids array<long>, n_tokens long, payload binary")
     blocks.write.mode("overwrite").option("compression", "none").parquet(scratch.path("blocks"))
     scratch.drop("ids")
     return lengths
@@ -261,7 +261,7 @@ def read_files(scratch: Scratch, lengths: np.ndarray) -> DataFrame:
 
     if not shard_starts:
         return spark.createDataFrame([], "doc_id long, start long, ids binary")
-    return blocks.select("shard", "before", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.select("shard", "before", "doc_ids", "payload").mapInArrow(released(run), "doc_id long, start long, ids binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import slices, texts, utf8
+from keepstone.llm.common import released, slices, texts, utf8
 
 #: Base phrases and their labels (fixed values).
 BASE_PHRASES = {
@@ -277,4 +277,4 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             arrays = [pa.array(c, k) for c, k in zip(columns, [*kinds, pa.list_(span)], strict=True)]
             yield pa.record_batch(arrays, names=names)
 
-    return texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(released(run), SCHEMA)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, texts, utf8
+from keepstone.llm.common import released, Scratch, slices, texts, utf8
 from keepstone.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -142,38 +142,31 @@ def find_anchors(rows: DataFrame, window: int, group: int) -> DataFrame:
                 yield pa.record_batch(arrays, names=["h", "r", "doc_id", "tag", "s", "n"])
 
     narrow = rows.where("doc_id is not null and text is not null")
-    return narrow.mapInArrow(run, "h long, r long, doc_id long, tag int, s int, n int")
+    return narrow.mapInArrow(released(run), "h long, r long, doc_id long, tag int, s int, n int")
 
 
-def id_map(ids: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit for each hashed id: at most ``bits`` / 8 bytes reach the driver, whatever the number of ids."""
+def id_map(ids: DataFrame, scratch: Scratch, name: str, bits: int = MAP_BITS) -> DataFrame:
+    """(k, bits): a bit for each hashed id, in pieces of 4 KB; at most ``bits`` / 32768 rows whatever the number of ids."""
     place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"))
     parts = place.groupBy(F.expr("p div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        out[row["k"] * 4096 : (row["k"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    return scratch.write(parts, name)
 
 
-def _in_map(rows: DataFrame, found: np.ndarray, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be in the map, and the others. The map is of fixed size and broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(found.tobytes())
-
-    @F.pandas_udf("boolean")
-    def hit(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        data = np.frombuffer(shared.value, np.uint8)
-        return pd.Series((data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
-
+def _in_map(rows: DataFrame, found: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be in the map, and the others. The map's size is fixed, so it is broadcast."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    flag = rows.withColumn("_ks_hit", F.col("doc_id").isNotNull() & hit(place))
-    return flag.where("_ks_hit").drop("_ks_hit"), flag.where("not _ks_hit").drop("_ks_hit")
+    keyed = rows.withColumns({"_ks_k": F.floor(place / 32768).cast("long"), "_ks_p": F.pmod(place, F.lit(32768))})
+    joined = keyed.join(F.broadcast(found.select(F.col("k").alias("_ks_k"), F.col("bits").alias("_ks_bits"))), "_ks_k", "left")
+    byte = F.conv(F.hex(F.expr("substring(_ks_bits, cast(_ks_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.col("doc_id").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_ks_p % 8 as int))")) != 0)
+    flag = joined.withColumn("_ks_hit", F.coalesce(hit, F.lit(False)))
+    return flag.where("_ks_hit").select(*rows.columns), flag.where("not _ks_hit").select(*rows.columns)
 
 
-def read_contents(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def read_contents(rows: DataFrame, wanted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """(h, r, owner, words): words of the wanted regions (h, r, doc_id, tag, s, n) as 64-bit hashes."""
     lists = wanted.groupBy("doc_id", F.col("tag").alias("want")).agg(F.collect_list(F.struct("h", "r", "s", "n")).alias("regions"))
-    maybe, _ = _in_map(rows.where("text is not null"), id_map(wanted))
+    maybe, _ = _in_map(rows.where("text is not null"), id_map(wanted, scratch, "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -189,7 +182,7 @@ def read_contents(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     joined = maybe.join(lists, "doc_id").select("doc_id", "want", "text", "regions")
     # Two equal rows of one id read the same region twice.
-    return joined.mapInArrow(run, "h long, r long, owner long, words binary")
+    return joined.mapInArrow(released(run), "h long, r long, owner long, words binary")
 
 
 def _spans(starts: np.ndarray, window: int) -> list[dict[str, int]]:
@@ -232,7 +225,7 @@ def search_windows(contents: DataFrame, window: int) -> DataFrame:
                 arrays = [_signed(w), pa.array([h] * n, pa.int64()), pa.array([r] * n, pa.int64()), pa.array([owner] * n, pa.int64()), pa.array(range(n), pa.int32())]
                 yield pa.record_batch(arrays, names=["w", "h", "r", "owner", "j"])
 
-    at = contents.select("h", "r", "owner", "words").mapInArrow(run, "w long, h long, r long, owner long, j int")
+    at = contents.select("h", "r", "owner", "words").mapInArrow(released(run), "w long, h long, r long, owner long, j int")
     least = at.groupBy("h", "w").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most")
     found = at.join(least.select("h", "w", "least"), ["h", "w"]).where("least < owner")
     span = F.struct(F.col("j").alias("a"), (F.col("j") + window).cast("int").alias("b"))
@@ -257,7 +250,7 @@ def covered(spark: SparkSession, rows: DataFrame, scratch: Scratch, window: int
     per_anchor = first.groupBy("h").agg(F.count("*").alias("contents"), F.sum(F.col("n") + window - 1).alias("words"))
     many = scratch.write(per_anchor.where(F.col("contents") > ANCHOR_CONTENTS).select("h"), "many")
     total = per_anchor.where(F.col("contents") <= ANCHOR_CONTENTS).agg(F.sum("words")).first()[0] or 0
-    contents = scratch.write(read_contents(rows, first, window), "contents")
+    contents = scratch.write(read_contents(rows, first, scratch, window), "contents")
     few = contents.join(many, "h", "left_anti")
     results = search_shards(few, max(1, -(-int(total) // SHARD_WORDS)), window)
     if not many.isEmpty():
@@ -287,7 +280,7 @@ def _kept(text: bytes, spans: list[dict[str, int]]) -> tuple[int, list[bytes]]:
     return len(words), [w for w, k in zip(words, keep.tolist(), strict=False) if k]
 
 
-def apply_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+def apply_spans(rows: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row.
 
     Only rows that may have spans are shuffled; a map of fixed size tells which.
@@ -305,9 +298,9 @@ def apply_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    maybe, others = _in_map(rows, id_map(spans))
-    read = maybe.join(_by_document(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
-    return read.unionByName(others.select("doc_id", "text").mapInArrow(run, schema))
+    maybe, others = _in_map(rows, id_map(spans, scratch, "marked"))
+    read = maybe.join(_by_document(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(released(run), schema)
+    return read.unionByName(others.select("doc_id", "text").mapInArrow(released(run), schema))
 
 
 def _by_document(spans: DataFrame) -> DataFrame:
@@ -337,7 +330,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
             out.append(b" ".join(_kept(text, own)[1]).decode("utf-8", "replace") if own else None)
         return pd.Series(out, dtype=object)
 
-    maybe, others = _in_map(docs, id_map(spans))
+    maybe, others = _in_map(docs, id_map(spans, scratch, "marked"))
     joined = maybe.join(named, F.col("doc_id") == F.col("_ks_id"), "left")
     marked = joined.where("_ks_spans is not null").withColumn("_ks_rest", rest(utf8("text"), F.col("_ks_spans")))
     kept = marked.where("_ks_rest is null or _ks_rest != ''").withColumns(
@@ -359,4 +352,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "substring")
     rows = _rows(docs, id_col, text_col)
-    return apply_spans(rows, covered(spark, rows, scratch, window))
+    return apply_spans(rows, covered(spark, rows, scratch, window), scratch)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch, slices, texts, utf8
+from keepstone.llm.common import released, Scratch, slices, texts, utf8
 from keepstone.llm.components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     narrow = texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(released(run), "doc_id long, fp long")
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -154,7 +154,7 @@ def links(spark: SparkSession, classes: DataFrame, most: int = MOST_BITS, block:
 
     keys = ["posting", "x", "y"]
     spread = grid.repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepstone.llm.common import slices, texts, utf8
+from keepstone.llm.common import released, slices, texts, utf8
 
 PASSAGE = 512
 BUCKETS = 256
@@ -149,7 +149,7 @@ def _bag_rows(docs: DataFrame, most: int) -> DataFrame:
     """(label, n, features): passages of whole texts; of a long text ``most`` of them, evenly spaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             x, counts = passages([t or b"" for t in batch.column("text").to_pylist()])
             at, sizes, out = 0, [], []
             for n in counts.tolist():
@@ -162,7 +162,7 @@ def _bag_rows(docs: DataFrame, most: int) -> DataFrame:
                 names=["label", "n", "features"],
             )
 
-    return texts(docs).select("label", "text").mapInArrow(run, "label int, n int, features binary")
+    return texts(docs).select("label", "text").mapInArrow(released(run), "label int, n int, features binary")
 
 
 def fit(
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str
     source = text_col if text_col in keep else "_ks_text"  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, source, 2 << 20):
+        for batch in slices(batches, source, 1 << 20):
             x, counts = passages([t or b"" for t in batch.column(source).cast(pa.binary()).to_pylist()])
             p = model.forward(x, counts)[0].astype(np.float64)
             columns = [batch.column(i) for i in range(len(keep))]
@@ -213,4 +213,4 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str
             )
 
     out = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep)).mapInArrow(run, out)
+    return texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep)).mapInArrow(released(run), out)
