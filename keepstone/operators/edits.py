@@ -139,3 +139,58 @@ def identify(vectors: DataFrame, rejections: DataFrame, chosen: list[int], perso
 def orphans(people: DataFrame, vectors: DataFrame) -> DataFrame:
     """People that no vector carries; null labels don't hide them."""
     return people.join(vectors.where("person_id is not null").select(F.col("person_id").alias("id")), "id", "left_anti")
+
+
+def set_favourites(favourites: DataFrame, chosen: DataFrame, star: bool | None, top: bool | None) -> DataFrame:
+    """favourites (sha256, top) after a click on each chosen record.
+
+    Starring keeps what is known of the top mark; unstarring drops the row and so the mark; the top mark implies a star.
+    """
+    keys = chosen.select("sha256").distinct()
+    others = favourites.join(keys, "sha256", "left_anti")
+    if star is False:
+        return others
+    mine = keys.join(favourites, "sha256", "left")
+    value = F.coalesce("top", F.lit(False)) if top is None else F.lit(top)
+    if star is None and top is False:  # only the mark goes, and only where there is a star
+        mine = mine.where("top is not null")
+    return others.unionByName(mine.select("sha256", value.alias("top")))
+
+
+def set_flag(records: DataFrame, chosen: DataFrame, flag: str, value: bool | None = None) -> DataFrame:
+    """A boolean of the chosen records set, or flipped without a value."""
+    c = chosen.select("sha256", F.lit(True).alias("_c")).distinct()
+    new = ~F.col(flag) if value is None else F.lit(value)
+    return records.join(c, "sha256", "left").withColumn(flag, F.when(F.col("_c"), new).otherwise(F.col(flag))).select(*records.columns)
+
+
+def unlabel(vectors: DataFrame, rejections: DataFrame, chosen: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Take names off: what was given by a user or automatically becomes a rejection."""
+    hit = F.col("id").isin(chosen)
+    old = vectors.where(hit & F.col("person_id").isNotNull()).select("id", "person_id")
+    blank = {c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in ("person_id", "label_source")}
+    return vectors.withColumns(blank), rejections.select("id", "person_id").unionByName(old).distinct()
+
+
+def ignore(vectors: DataFrame, chosen: list[int], value: bool = True) -> DataFrame:
+    """Ignored vectors lose their name; taking it back only lifts the mark."""
+    hit = F.col("id").isin(chosen)
+    out = vectors.withColumn("ignored", F.when(hit, F.lit(value)).otherwise(F.col("ignored")))
+    if value:
+        out = out.withColumns({c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in ("person_id", "label_source")})
+    return out
+
+
+def forget_missing(records: DataFrame, tombstones: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that were removed by hand become purged tombstones, so they don't come back."""
+    left, stones, _ = delete(records, missing, {})
+    return left, tombstones.unionByName(stones.withColumn("purged", F.lit(True)), allowMissingColumns=True)
+
+
+def empty_trash(tombstones: DataFrame) -> DataFrame:
+    return tombstones.withColumn("purged", F.lit(True))
+
+
+def drop_stale_pins(pins: DataFrame, records: DataFrame) -> DataFrame:
+    """Pins of groups that still have members."""
+    return pins.join(records.select("moment_id").distinct(), "moment_id", "left_semi")

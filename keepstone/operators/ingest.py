@@ -134,3 +134,26 @@ def moved_files(expected: DataFrame, listing: DataFrame) -> DataFrame:
     both = m.join(u, ["root", "sha256", "n"], "full")
     kind = F.when(F.col("path").isNull(), "unknown").when(F.col("new_path").isNull(), "missing").otherwise("moved")
     return both.select("root", "sha256", "path", "new_path", kind.alias("kind"))
+
+
+def companions(listing: DataFrame, ext: str, of: list[str]) -> DataFrame:
+    """(path, companion) of files with one extension beside files of the same folder and stem with others."""
+    stem = F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))
+    rows = listing.select("path", stem.alias("stem"), extension(F.col("path")).alias("ext"))
+    mine = rows.where(F.col("ext") == ext).groupBy("stem").agg(F.min("path").alias("companion"))
+    return rows.where(F.col("ext").isin(*of)).join(mine, "stem").select("path", "companion")
+
+
+def record_outcomes(recoveries: DataFrame, tried: DataFrame) -> DataFrame:
+    """recoveries with new outcomes (sha256, outcome), which replace old ones."""
+    return upsert(recoveries, tried, "sha256")
+
+
+def drop_replaced(others: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Unsorted files without those whose content has become a record."""
+    return others.join(recovered.select("sha256"), "sha256", "left_anti")
+
+
+def ingest_counts(plan: DataFrame) -> DataFrame:
+    """(kind, action, n): the counters of a run."""
+    return plan.groupBy("kind", "action").agg(F.count("*").alias("n"))

@@ -47,3 +47,16 @@ def mark(marks: DataFrame, current: DataFrame, days: DataFrame) -> DataFrame:
 def backfill(marks: DataFrame, current: DataFrame) -> DataFrame:
     """Marks from before fingerprints take today's."""
     return mark(marks, current, marks.where("members_sig is null"))
+
+
+def toggle_reviewed(marks: DataFrame, current: DataFrame, days: DataFrame) -> DataFrame:
+    """Take the mark off days that are reviewed as they are; mark all others as they are now."""
+    reviewed = day_status(current, marks).where("status = 'reviewed'").select("day")
+    off = days.select("day").join(reviewed, "day", "left_semi")
+    return mark(marks.join(off, "day", "left_anti"), current, days.select("day").join(reviewed, "day", "left_anti"))
+
+
+def keep_reviewed(marks: DataFrame, before: DataFrame, after: DataFrame, days: DataFrame) -> DataFrame:
+    """One's own edit keeps a reviewed day reviewed: days reviewed before it are marked as they are after it."""
+    reviewed = day_status(before, marks).where("status = 'reviewed'").select("day")
+    return mark(marks, after, days.select("day").join(reviewed, "day", "left_semi"))

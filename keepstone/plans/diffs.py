@@ -142,3 +142,36 @@ def manifest(favourites: DataFrame, people: DataFrame, tags: DataFrame, ranges:
         F.when(F.col("top"), ',"top":true').otherwise(""), F.lit("}"),
     )
     return j.select("name", text.alias("entry"))
+
+
+def export_plan(picks: DataFrame, there: DataFrame, originals: bool = False) -> DataFrame:
+    """(sha256, target, action): copies of picks (sha256, name, path) into one flat folder; files there are skipped."""
+    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1) if originals else F.lit(".jpg")
+    wanted = picks.select("sha256", F.concat("name", ext).alias("target"))
+    have = there.select(F.col("path").alias("target"), F.lit(True).alias("_there")).distinct()
+    return wanted.join(have, "target", "left").select("sha256", "target", F.when(F.col("_there"), "skip").otherwise("copy").alias("action"))
+
+
+def strays(desired: DataFrame, listing: DataFrame) -> DataFrame:
+    """(sha256, path, found): files of the right name and content elsewhere in the folders of their day."""
+    d = desired.select("sha256", "path", F.substring(F.element_at(F.split("path", "/"), 2), 1, 10).alias("day"), F.substring_index("path", "/", -1).alias("file"))
+    parts = F.split("path", "/")
+    there = listing.where(F.size(parts) >= 3).select(
+        "sha256", F.col("path").alias("found"), F.substring(F.element_at(parts, 2), 1, 10).alias("day"), F.substring_index("path", "/", -1).alias("file")
+    )
+    missing = d.join(listing.select("path"), "path", "left_anti").where(F.size(F.split("path", "/")) >= 3)
+    return missing.join(there, ["sha256", "day", "file"]).groupBy("sha256", "path").agg(F.min("found").alias("found"))
+
+
+def tables_as_json(tables: dict[str, DataFrame]) -> DataFrame:
+    """(relation, row): every row of every relation as one JSON object, nulls left out."""
+    out = None
+    for name, df in tables.items():
+        rows = df.select(F.lit(name).alias("relation"), F.to_json(F.struct(*df.columns)).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def weighted_progress(stages: DataFrame) -> DataFrame:
+    """(done): the share of all work that is done; stages (weight, fraction)."""
+    return stages.agg((F.sum(F.col("weight") * F.col("fraction")) / F.sum("weight")).alias("done"))

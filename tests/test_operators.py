@@ -284,3 +284,63 @@ def test_paths_of_undated_and_alternates(spark):
     found = dict(paths.desired_paths(df, _ranges(spark, [("party", "2024-01-01 10:00:00", "2024-01-01 13:00:00", None)])).collect())
     top = "2024/2024-01-01_party"
     assert found == {"a": f"{top}/n1.jpg", "b": f"{top}/_alternates/n1/n2.jpg", "c": f"{top}/_duplicates/n1/n3.jpg", "d": "_undated/n4.png", "e": "2024/2024-01_unknown-day/n5.png"}
+
+
+def _png(path, gray):
+    import zlib
+
+    h, w = gray.shape
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    raw = b"".join(b"\0" + row.tobytes() for row in gray)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_pictures_are_measured_and_bad_ones_reported(spark, tmp_path):
+    from keepstone.sources.images import image_features, upright
+
+    gray = np.random.default_rng(0).integers(0, 255, (40, 60)).astype(np.uint8)
+    _png(tmp_path / "a.png", gray)
+    (tmp_path / "b.png").write_bytes(b"not a picture")
+    rows = {r["path"][-5:]: r for r in image_features(spark, str(tmp_path)).collect()}
+    assert (rows["a.png"]["width"], rows["a.png"]["height"], rows["a.png"]["error"]) == (60, 40, None)
+    assert abs(rows["a.png"]["sharpness"] - media.sharpness(gray)) < 1e-6 and rows["a.png"]["phash"] == media.picture_hash(gray)
+    assert rows["b.png"]["error"] and rows["b.png"]["phash"] is None
+    assert upright(60, 40, 6) == (40, 60) and upright(60, 40, None) == (60, 40)
+
+
+def test_front_matter(spark, tmp_path):
+    from keepstone.sources.files import front_matter
+
+    (tmp_path / "a.md").write_text("---\nauthor: ann\ntags: [x, y]\n---\ntags: [no]\n")
+    (tmp_path / "b.md").write_text("---\nauthor: ann\ntags: [y]\n---\n")
+    assert {tuple(r) for r in front_matter(spark, str(tmp_path)).collect()} == {("author", "ann", 2), ("tags", "x", 1), ("tags", "y", 2)}
+
+
+def test_own_edits_keep_a_day_reviewed(spark):
+    rows = "day string, moment_id string, sha256 string"
+    before = status.fingerprints(spark.createDataFrame([("d", "m", "a"), ("d", "n", "b"), ("e", "o", "c")], rows))
+    after = status.fingerprints(spark.createDataFrame([("d", "m", "a"), ("d", "m", "b"), ("e", "o", "c")], rows))
+    marks = before.where("day = 'd'")
+    kept = status.keep_reviewed(marks, before, after, before.select("day"))
+    assert {tuple(r) for r in status.day_status(after, kept).collect()} == {("d", "reviewed"), ("e", "new")}
+
+
+def test_removed_by_hand_never_comes_back(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "sha256 string, n int")
+    stones = spark.createDataFrame([], "sha256 string, data string, purged boolean")
+    left, stones = edits.forget_missing(df, stones, df.where("n = 1"))
+    assert [r["sha256"] for r in left.collect()] == ["b"]
+    assert edits.restore(left, stones, df, []).count() == 1
+    batch = spark.createDataFrame([("x", "a")], "path string, sha256 string")
+    assert ingest.route_content(batch, left, stones).first()["outcome"] == "deleted"
+
+
+def test_streams_go_on_from_a_checkpoint(spark, tmp_path):
+    rows = "sha256 string, at timestamp"
+    made = lambda names: spark.createDataFrame([(n, T0) for n in names], rows)
+    made(["a", "a", "b"]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: incremental.run_available(incremental.first_of_content(incremental.stream_table(spark, str(tmp_path / "in"), made([]).schema), "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "log"))
+    run()
+    made(["b", "c"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("sha256").collect()) == ["a", "b", "c"]
