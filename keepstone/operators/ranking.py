@@ -39,16 +39,24 @@ def score_groups(records: DataFrame, cfg: Curation) -> DataFrame:
     score = score + w.resolution * pixels / nonzero("_px")
     df = df.withColumn("score", F.when(F.col("_in"), score))
 
-    # A pick of a copy stands for its keeper where the keeper is a member. Both lie in one group, so the group's
-    # picked targets come from its own picks: a target is looked up by a self join on (group, sha256).
-    members = df.select(F.col("moment_id").alias("_g"), F.col("sha256").alias("_s"))
-    marked = df.where("user_best or favorite").select("moment_id", "sha256", "duplicate_of", "taken_at", "user_best", "favorite")
-    aimed = marked.join(members, (F.col("moment_id") == F.col("_g")) & (F.col("duplicate_of") == F.col("_s")), "left")
-    aimed = aimed.select("moment_id", F.coalesce("_s", "sha256").alias("target"), "user_best", "favorite", "taken_at", "sha256")
-    targets = aimed.groupBy(F.col("moment_id").alias("_g"), F.col("target").alias("_t")).agg(
-        F.min(F.when(F.col("user_best"), F.struct("taken_at", "sha256"))).alias("_pick"), F.max("favorite").alias("_fav")
+    # A pick of a copy stands for its keeper where the keeper is a member. Every row stands for itself, and a marked
+    # copy also sends a row to its keeper's name; windows by (group, name) then meet both without another shuffle.
+    marked = F.col("user_best") | F.col("favorite")
+    itself = F.struct(F.col("sha256").alias("name"), F.lit(False).alias("sent"))
+    sent = F.struct(F.col("duplicate_of").alias("name"), F.lit(True).alias("sent"))
+    copies = F.when(marked & F.col("duplicate_of").isNotNull(), F.array(itself, sent)).otherwise(F.array(itself))
+    df = df.withColumn("_e", F.explode(copies)).withColumns({"_name": F.col("_e.name"), "_sent": F.col("_e.sent")})
+    named, own = Window.partitionBy("moment_id", "_name"), Window.partitionBy("moment_id", "sha256")
+    df = df.withColumn("_there", F.max(~F.col("_sent")).over(named))
+    df = df.withColumn("_lost", F.max(F.col("_sent") & ~F.col("_there")).over(own))
+    aims = F.when(F.col("_sent"), F.col("_there")).otherwise(marked & (F.col("duplicate_of").isNull() | F.col("_lost")))
+    df = df.withColumn("_aims", aims).withColumns(
+        {
+            "_pick": F.min(F.when(F.col("_aims") & F.col("user_best"), F.struct("taken_at", "sha256"))).over(named),
+            "_fav": F.max(F.col("_aims") & F.col("favorite")).over(named),
+        }
     )
-    df = df.join(targets, (F.col("moment_id") == F.col("_g")) & (F.col("sha256") == F.col("_t")), "left").drop("_g", "_t")
+    df = df.where(~F.col("_sent"))
     favoured = F.coalesce(F.col("_fav"), F.lit(False)) & F.col("_in")
     order = group.orderBy(
         F.asc_nulls_last("_pick"), F.desc(favoured.cast("int")), F.desc(F.col("_in").cast("int")), F.desc_nulls_last("score"), "taken_at", "sha256"
