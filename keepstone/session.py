@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that every result of this library depends on.
@@ -29,3 +34,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@functools.cache
+def _archive() -> str:
+    """This package as a zip file; one for each driver process."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="keepstone-code-")), "keepstone.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    return path
+
+
+@functools.cache
+def _ship(application: str, session: SparkSession) -> None:
+    session.sparkContext.addPyFile(_archive())
+
+
+def ship(session: SparkSession) -> None:
+    """Let Python workers on executors import this package, wherever it lies on the driver; once for each application."""
+    _ship(session.sparkContext.applicationId, session)
