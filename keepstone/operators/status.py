@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepstone.config import EMPTY_SHA256
 from keepstone.functions.scalars import set_digest
 
-EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+# The states of a day.
+NEW, REVIEWED, ADDED, UPDATED = "new", "reviewed", "pics added", "moments updated"
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
@@ -25,13 +27,13 @@ def day_status(current: DataFrame, marks: DataFrame) -> DataFrame:
     """(day, status): new, reviewed, pics added or moments updated, for days with records or a mark."""
     m = marks.select("day", F.col("members_sig").alias("_m"), F.col("groups_sig").alias("_g"), F.col("records").alias("_n"), F.lit(True).alias("_marked"))
     both = current.join(m, "day", "full")
-    members, groups, n = F.coalesce("members_sig", F.lit(EMPTY)), F.coalesce("groups_sig", F.lit(EMPTY)), F.coalesce("records", F.lit(0))
+    members, groups, n = F.coalesce("members_sig", F.lit(EMPTY_SHA256)), F.coalesce("groups_sig", F.lit(EMPTY_SHA256)), F.coalesce("records", F.lit(0))
     status = (
-        F.when(F.col("_marked").isNull(), "new")
-        .when(F.col("_m").isNull(), "reviewed")
-        .when(F.col("_m") != members, F.when(n > F.coalesce("_n", F.lit(0)), "pics added").otherwise("moments updated"))
-        .when(F.col("_g") != groups, "moments updated")
-        .otherwise("reviewed")
+        F.when(F.col("_marked").isNull(), NEW)
+        .when(F.col("_m").isNull(), REVIEWED)
+        .when(F.col("_m") != members, F.when(n > F.coalesce("_n", F.lit(0)), ADDED).otherwise(UPDATED))
+        .when(F.col("_g") != groups, UPDATED)
+        .otherwise(REVIEWED)
     )
     return both.select("day", status.alias("status"))
 
@@ -39,7 +41,7 @@ def day_status(current: DataFrame, marks: DataFrame) -> DataFrame:
 def mark(marks: DataFrame, current: DataFrame, days: DataFrame) -> DataFrame:
     """marks with the given days as they are now; a day without records is marked as empty."""
     now = days.select("day").distinct().join(current, "day", "left").select(
-        "day", F.coalesce("members_sig", F.lit(EMPTY)).alias("members_sig"), F.coalesce("groups_sig", F.lit(EMPTY)).alias("groups_sig"), F.coalesce("records", F.lit(0)).alias("records")
+        "day", F.coalesce("members_sig", F.lit(EMPTY_SHA256)).alias("members_sig"), F.coalesce("groups_sig", F.lit(EMPTY_SHA256)).alias("groups_sig"), F.coalesce("records", F.lit(0)).alias("records")
     )
     return marks.join(now.select("day"), "day", "left_anti").unionByName(now, allowMissingColumns=True)
 
@@ -51,12 +53,12 @@ def backfill(marks: DataFrame, current: DataFrame) -> DataFrame:
 
 def toggle_reviewed(marks: DataFrame, current: DataFrame, days: DataFrame) -> DataFrame:
     """Take the mark off days that are reviewed as they are; mark all others as they are now."""
-    reviewed = day_status(current, marks).where("status = 'reviewed'").select("day")
+    reviewed = day_status(current, marks).where(F.col("status") == REVIEWED).select("day")
     off = days.select("day").join(reviewed, "day", "left_semi")
     return mark(marks.join(off, "day", "left_anti"), current, days.select("day").join(reviewed, "day", "left_anti"))
 
 
 def keep_reviewed(marks: DataFrame, before: DataFrame, after: DataFrame, days: DataFrame) -> DataFrame:
     """One's own edit keeps a reviewed day reviewed: days reviewed before it are marked as they are after it."""
-    reviewed = day_status(before, marks).where("status = 'reviewed'").select("day")
+    reviewed = day_status(before, marks).where(F.col("status") == REVIEWED).select("day")
     return mark(marks, after, days.select("day").join(reviewed, "day", "left_semi"))
