@@ -158,13 +158,13 @@ def g_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {SQL}, {_REJECT}, b AS (SELECT v.id, n.person_id, max(list_dot_product(v.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS s FROM vectors v JOIN vectors n ON n.label_source = 'user' WHERE v.label_source IS NULL AND NOT v.ignored GROUP BY 1, 2),
 auto AS (SELECT id, arg_max(person_id, s) AS p FROM b WHERE s >= 0.4 GROUP BY id)
-SELECT v.id, CASE WHEN v.label_source = 'user' THEN v.person_id ELSE p END AS person_id, CASE WHEN v.label_source = 'user' THEN 'user' WHEN p IS NOT NULL THEN 'auto' END AS label_source, v.label_source IS NULL AND NOT v.ignored AND p IS NULL AS grouped
+SELECT v.id, coalesce(CASE WHEN v.label_source = 'user' THEN v.person_id ELSE p END, -1) AS person_id, CASE WHEN v.label_source = 'user' THEN 'user' WHEN p IS NOT NULL THEN 'auto' END AS label_source, v.label_source IS NULL AND NOT v.ignored AND p IS NULL AS grouped
 FROM vectors v LEFT JOIN auto ON auto.id = v.id
 """)
 def i_label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "id long, person_id long")
     out = V.assign(vectors(spark, sf_dir), none, 0.4, 0.5, 10)
-    return out.select("id", "person_id", "label_source", F.col("group_id").isNotNull().alias("grouped"))
+    return out.fillna(-1, ["person_id"]).select("id", "person_id", "label_source", F.col("group_id").isNotNull().alias("grouped"))
 
 
 _KNOWN = f"""{SQL}, k AS (SELECT path, size, CASE WHEN doc_id % 6 = 0 THEN mtime - 5 ELSE mtime END AS mtime, status, CASE WHEN status = 'junk' THEN NULL ELSE sha256 END AS sha256 FROM sources WHERE doc_id % 4 != 0)"""
@@ -316,13 +316,13 @@ def j_name_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT id, CASE WHEN id % 11 = 0 THEN 3 ELSE person_id END AS person_id, CASE WHEN id % 11 = 0 THEN 'user' ELSE label_source END AS label_source, id % 11 != 0 AND ignored AS ignored FROM vectors
+WITH {SQL} SELECT id, coalesce(CASE WHEN id % 11 = 0 THEN 3 ELSE person_id END, -1) AS person_id, CASE WHEN id % 11 = 0 THEN 'user' ELSE label_source END AS label_source, id % 11 != 0 AND ignored AS ignored FROM vectors
 """)
 def j_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     chosen = [r[0] for r in v.where("id % 11 = 0").select("id").collect()]  # what a user picked
     named, _ = edits.identify(v, v.where("false").select("id", F.col("label").cast("long").alias("person_id")), chosen, 3)
-    return named.select("id", "person_id", "label_source", "ignored")
+    return named.fillna(-1, ["person_id"]).select("id", "person_id", "label_source", "ignored")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 8 = 0 AND l_suppkey IS NOT NULL)")

@@ -133,12 +133,16 @@ def l_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, list_sort(list_distinct([least(p_size * 50, s) for s in [640, 1024, 2048]])) AS widths, map_from_entries([('make', p_brand)]) AS kept FROM part
+SELECT p_partkey, array_to_string(list_sort(list_distinct([least(p_size * 50, s) for s in [640, 1024, 2048]])), ',') AS widths, p_brand AS kept, 1 AS tags FROM part
 """)
 def l_export_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.create_map(F.lit("make"), F.col("p_brand"), F.lit("place"), F.lit("secret"))
+    allowed = diffs.allowed_metadata(tags, ["make"])
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.array_sort(diffs.render_sizes(F.col("p_size") * 50, [640, 1024, 2048])).alias("widths"), diffs.allowed_metadata(tags, ["make"]).alias("kept")
+        "p_partkey",
+        F.array_join(F.array_sort(diffs.render_sizes(F.col("p_size") * 50, [640, 1024, 2048])), ",").alias("widths"),
+        allowed["make"].alias("kept"),
+        F.size(allowed).alias("tags"),
     )
 
 

@@ -67,10 +67,10 @@ def d_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT slug, list_filter(list_slice(list(slug) OVER (ORDER BY start, slug ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 2, 3), lambda x: x IS NOT NULL) AS later FROM ranges
+WITH {SQL} SELECT slug, coalesce(string_agg(slug, ',') OVER (ORDER BY start, slug ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS later FROM ranges
 """)
 def f_later_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.later_siblings(ranges(spark), 2).select("slug", "later")
+    return intervals.later_siblings(ranges(spark), 2).select("slug", F.array_join("later", ",").alias("later"))
 
 
 @query(f"""
@@ -154,22 +154,22 @@ def e_status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT person_id, count(*) AS vectors, sum(CASE WHEN label_source = 'user' THEN 1 ELSE 0 END)::BIGINT AS named, min(id) AS first, max(id) AS last FROM vectors GROUP BY person_id
+WITH {SQL} SELECT coalesce(person_id, -1) AS person_id, count(*) AS vectors, sum(CASE WHEN label_source = 'user' THEN 1 ELSE 0 END)::BIGINT AS named, min(id) AS first, max(id) AS last FROM vectors GROUP BY 1
 """)
 def e_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).groupBy("person_id").agg(
+    return vectors(spark, sf_dir).fillna(-1, ["person_id"]).groupBy("person_id").agg(
         F.count("*").alias("vectors"), F.count_if(F.col("label_source") == "user").alias("named"), F.min("id").alias("first"), F.max("id").alias("last")
     )
 
 
 @query("""
-SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities, list_sort(list(DISTINCT o_orderstatus)) AS statuses,
+SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses,
     string_agg(DISTINCT CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END, ', ' ORDER BY CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END) AS open FROM orders GROUP BY o_custkey
 """)
 def e_ordered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ", "), F.lit(""))
     return T(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        joined(F.col("o_orderpriority")).alias("priorities"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"),
+        joined(F.col("o_orderpriority")).alias("priorities"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"),
         joined(F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))).alias("open"),
     )
 
@@ -206,20 +206,21 @@ def e_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FOLDERS + """
-SELECT month, """ + ", ".join(f"max(CASE WHEN d = {i} THEN n END) AS d{i:02d}" for i in range(1, 32)) + """
+SELECT month, """ + ", ".join(f"coalesce(max(CASE WHEN d = {i} THEN n END), -1) AS d{i:02d}" for i in range(1, 32)) + """
 FROM (SELECT strftime(x, '%Y-%m') AS month, day(x) AS d, coalesce((SELECT sum(records)::BIGINT FROM folders f WHERE f.day = strftime(x, '%Y-%m-%d')), 0) AS n
     FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS x)) GROUP BY month
 """)
 def e_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.calendar(_folders(spark, sf_dir), 2024)
+    """Places beyond a month's end are -1 here."""
+    return rollups.calendar(_folders(spark, sf_dir), 2024).fillna(-1)
 
 
 @query(f"""
-WITH {SQL} SELECT strftime(taken_at, '%Y') AS year, strftime(taken_at, '%Y-%m') AS month, count(*) AS n, list(sha256 ORDER BY taken_at, event_id, sha256) AS items FROM records WHERE favorite GROUP BY 1, 2
+WITH {SQL} SELECT strftime(taken_at, '%Y') AS year, strftime(taken_at, '%Y-%m') AS month, count(*) AS n, string_agg(sha256, ',' ORDER BY taken_at, event_id, sha256) AS items FROM records WHERE favorite GROUP BY 1, 2
 """)
 def e_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = records(spark, sf_dir).where("favorite").select("taken_at", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("name"), "sha256")
-    return rollups.gallery(picks).select("year", "month", "n", F.col("items.sha256").alias("items"))
+    return rollups.gallery(picks).select("year", "month", "n", F.array_join("items.sha256", ",").alias("items"))
 
 
 @query(f"""

@@ -87,13 +87,13 @@ def j_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT id, CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE person_id END AS person_id, CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE label_source END AS label_source, id % 10 = 1 OR ignored AS ignored FROM vectors
+WITH {SQL} SELECT id, coalesce(CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE person_id END, -1) AS person_id, CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE label_source END AS label_source, id % 10 = 1 OR ignored AS ignored FROM vectors
 """)
 def j_unlabel_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     picked = lambda n: [r[0] for r in v.where(f"id % 10 = {n}").select("id").collect()]  # noqa: E731  what a user picked
     plain, _ = edits.unlabel(v, v.where("false").select("id", F.col("label").cast("long").alias("person_id")), picked(0))
-    return edits.ignore(plain, picked(1)).select("id", "person_id", "label_source", "ignored")
+    return edits.ignore(plain, picked(1)).fillna(-1, ["person_id"]).select("id", "person_id", "label_source", "ignored")
 
 
 @query(f"""
