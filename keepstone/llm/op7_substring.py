@@ -242,15 +242,14 @@ def covered(spark: SparkSession, rows: DataFrame, scratch: Scratch, window: int
     places = scratch.write(found.join(shared, "h"), "places")
     scratch.drop("anchors")
     whole = F.array(F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("b")))
-    plain = places.where("single and doc_id > lo").select("doc_id", "tag", whole.alias("spans"))
-
-    several = places.where("not single")
-    first = several.groupBy("h", "r").agg(F.min(F.struct("doc_id", "tag", "s", "n")).alias("x")).select("h", "r", "x.*")
-    first = scratch.write(first, "first")
-    per_anchor = first.groupBy("h").agg(F.count("*").alias("contents"), F.sum(F.col("n") + window - 1).alias("words"))
+    # Every content with its least document, and those of anchors with several contents, which have to be searched.
+    first = places.groupBy("h", "r").agg(F.min(F.struct("doc_id", "tag", "s", "n")).alias("x"), F.first("single").alias("single"))
+    first = scratch.write(first.select("h", "r", "single", "x.*"), "first")
+    several = first.where("not single")
+    per_anchor = several.groupBy("h").agg(F.count("*").alias("contents"), F.sum(F.col("n") + window - 1).alias("words"))
     many = scratch.write(per_anchor.where(F.col("contents") > ANCHOR_CONTENTS).select("h"), "many")
     total = per_anchor.where(F.col("contents") <= ANCHOR_CONTENTS).agg(F.sum("words")).first()[0] or 0
-    contents = scratch.write(read_contents(rows, first, scratch, window), "contents")
+    contents = scratch.write(read_contents(rows, several, scratch, window), "contents")
     few = contents.join(many, "h", "left_anti")
     results = search_shards(few, max(1, -(-int(total) // SHARD_WORDS)), window)
     if not many.isEmpty():
@@ -260,13 +259,15 @@ def covered(spark: SparkSession, rows: DataFrame, scratch: Scratch, window: int
     scratch.drop("contents")
     # The owner of a content has what the search found; every later document has all of it.
     owners = first.select("h", "r", F.col("doc_id").alias("owner"))
-    places_of = several.join(owners, ["h", "r"])
-    later = places_of.where("doc_id > owner").select("doc_id", "tag", whole.alias("spans"))
+    known = owners.join(results.select("h", "r", "spans"), ["h", "r"], "left")
     shift = F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b")))
-    own = several.join(results, ["h", "r"]).where("doc_id = owner").select("doc_id", "tag", shift.alias("spans"))
-    spans = plain.unionByName(later).unionByName(own)
+    mine = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(shift)
+    spans = places.join(known, ["h", "r"]).select("doc_id", "tag", mine.alias("spans"))
     grouped = spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return scratch.write(grouped, "covered")
+    out = scratch.write(grouped.where(F.size("spans") > 0), "covered")
+    for name in ("shared", "places", "first", "many", "results", "wanted"):
+        scratch.drop(name)
+    return out
 
 
 def _kept(text: bytes, spans: list[dict[str, int]]) -> tuple[int, list[bytes]]:
