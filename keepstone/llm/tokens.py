@@ -2,7 +2,7 @@
 
 The vocabulary's split pattern never matches across white space and no normaliser step reaches across it, so the
 ids of a text are those of its white-space separated words, one after another; a full stop or comma between a letter
-or digit and white space is a unit by itself. Each task keeps the ids of the words that it has met in a table
+or digit and white space is a unit by itself. Each Python worker keeps the ids of the words that it has met in a table
 by 64-bit hash. Words of a batch are cut, hashed and looked up as arrays; new ones go through the library together.
 A word of letters is one unit of the split pattern, whose last id alone stands for a word's end, so many such words
 are encoded as one string and told apart afterwards. All other words are encoded one by one.
@@ -10,6 +10,7 @@ are encoded as one string and told apart afterwards. All other words are encoded
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -18,7 +19,7 @@ import numpy as np
 END_ID = 1
 END_BYTES = np.asarray([END_ID], "<u4").tobytes()
 #: Slots of the table (a power of two); it starts anew when half of them are taken, which costs time only.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Words beyond this length are encoded each time they are met.
 LONGEST = 64
 #: Words of letters that are encoded as one string.
@@ -217,3 +218,9 @@ class WordEncoder:
         last = np.asarray([END_ID], dtype).tobytes()
         bounds = [0, *(ends * width).tolist()]
         return [data[a:b] + last for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each tokenizer file and Python worker; it outlives a task. Its table takes some 60 MB at most."""
+    return WordEncoder(path)
