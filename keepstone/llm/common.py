@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepstone.session import ship
 from keepstone.sources.shared import shared_folder
 
 
@@ -22,6 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_folder(spark)}/keepstone-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -57,6 +59,7 @@ BATCH_ROWS = 1024
 
 def texts(docs: DataFrame) -> DataFrame:
     """docs, with the session's Arrow batches bounded for rows of text (only ever made smaller)."""
+    ship(docs.sparkSession)
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

@@ -47,4 +47,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             break
         seen = now
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    both = ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = scratch.write(both, name)
+    scratch.drop(f"{name}-{turn}")
+    return out

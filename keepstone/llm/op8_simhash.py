@@ -183,6 +183,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
-    return prints.join(scratch.write(named, "named"), "fp").select(
+    named = scratch.write(named, "named")
+    for name in ("classes", "links", "cc"):
+        scratch.drop(name)
+    return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "n_links"
     )
