@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepstone.llm.common import released, slices, texts, utf8
-from keepstone.llm.tokens import encoder
+from keepstone.llm.tokens import SLOTS, WordEncoder
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -101,7 +101,8 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer).encode_batch, HarmonicPacker(capacity, least)
+        # A table for each task: what outlived it would add to every later stage of a pipeline.
+        encode, packer = WordEncoder(tokenizer, SLOTS // 2).encode_batch, HarmonicPacker(capacity, least)
         number = TaskContext.get().partitionId() << WORKER_BITS
         rows: list[tuple] = []
 
