@@ -1,4 +1,4 @@
-"""Corpus pipeline over ``documents``: language, quality, near-duplicates, repeated passages, packing.
+"""Corpus pipeline over ``documents``: language, quality, near-duplicates, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the runner writes a stage's
 result as Parquet in the shared folder and reads it again. All stages but the last return the columns of documents.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepstone.llm import near_copies as copies
 from keepstone.llm import op2_language, op7_substring, op8_simhash, op9_quality
 from keepstone.llm.common import Scratch, table
 from keepstone.llm.op10_packing import pack_documents
@@ -41,6 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group that is linked by a Jaccard similarity of 0.8 or more.
+
+    Fingerprints of the stage before reach few of these pairs. Ids are unique there, but for rows without one, which stay.
+    """
+    later = copies.near_copies(spark, docs).where("node != component").select(F.col("node").alias("_ks_id"))
+    return docs.join(later, F.col("doc_id") == F.col("_ks_id"), "left_anti")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove runs of 50 words or more that stand in an earlier document.
 
@@ -59,6 +69,7 @@ STAGES = [
     ("language", language),
     ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("near_copies", near_copies),
     ("repeated_passages", repeated_passages),
     ("packing", packing),
 ]
