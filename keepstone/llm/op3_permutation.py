@@ -106,7 +106,8 @@ def nearest(
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims[0]["dim"]
-    clean = clean.where(F.col("dim") == dim).drop("dim")
+    # Repeats go before anything is cut to a number of rows: they would take the places of other neighbours.
+    clean = clean.where(F.col("dim") == dim).drop("dim").dropDuplicates(["vec_id", "v"])
     sample = clean.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()
     points = np.asarray([r["v"] for r in sample])
     points /= np.sqrt((points * points).sum(axis=1, keepdims=True))

@@ -48,3 +48,10 @@ def test_edges(spark):
     out = [tuple(r) for r in P.nearest(spark, df, F.col("vec_id").isin(0, 3, 4, 5)).orderBy("rank").collect()]
     assert out == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 10, 0.0)]
     assert P.nearest(spark, df.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeats_take_no_places(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 6 + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = P.nearest(spark, df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [1, 2, 3, 4, 5]
