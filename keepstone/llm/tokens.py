@@ -18,7 +18,8 @@ import numpy as np
 #: Id appended to every document.
 END_ID = 1
 END_BYTES = np.asarray([END_ID], "<u4").tobytes()
-#: Slots of the table (a power of two); it starts anew when half of them are taken, which costs time only.
+#: Slots of the table (a power of two); it starts anew when half of them are taken, and a text with more
+#: distinct words than that is encoded in parts, which costs time only.
 SLOTS = 1 << 21
 #: Words beyond this length are encoded each time they are met.
 LONGEST = 64
@@ -186,6 +187,11 @@ class WordEncoder:
         place = np.arange(first[-1] + sizes[-1], dtype=np.int32) - np.repeat(first, sizes)
         code = ((place & (LONGEST - 1)) << 8) | data[inside]
         hashes = np.add.reduceat(_RANDOM[code], first) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ids, size = self._ids(raw, starts, stops, sizes, hashes)
+        return ids, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[word_ends]
+
+    def _ids(self, raw: bytes, starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each word has."""
         entry = self.table.find(hashes)
         entry[sizes > LONGEST] = -1
         new = np.flatnonzero(entry < 0)
@@ -196,6 +202,11 @@ class WordEncoder:
                 entry[:], new = -1, np.arange(len(entry))
             short = new[sizes[new] <= LONGEST]
             keys, where, back = np.unique(hashes[short], return_index=True, return_inverse=True)
+            half = self.table.slots // 2
+            if self.table.used + len(keys) > half:  # more than the table holds: in parts that fit an empty one
+                cuts = [slice(i, i + half) for i in range(0, len(sizes), half)]
+                parts = [self._ids(raw, starts[c], stops[c], sizes[c], hashes[c]) for c in cuts]
+                return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
             words = [raw[a:b].lower() for a, b in zip(starts[short[where]].tolist(), stops[short[where]].tolist(), strict=True)]
             entry[short] = self.table.add(keys, self._learn(words))[back]
             long = new[sizes[new] > LONGEST]
@@ -208,8 +219,7 @@ class WordEncoder:
             at[long], size[long] = len(pool) + np.cumsum(count) - count, count
             pool = np.concatenate([pool, *extra])
         end = np.cumsum(size, dtype=np.int64)
-        ids = pool[np.repeat(at - (end - size), size) + np.arange(end[-1])]
-        return ids, np.concatenate([[0], end])[word_ends]
+        return pool[np.repeat(at - (end - size), size) + np.arange(end[-1])], size
 
     def encode_batch(self, texts: list[bytes | None], dtype: str = "<u4") -> list[bytes]:
         """Ids of each whole text and the end id, as bytes."""
