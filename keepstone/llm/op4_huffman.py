@@ -2,11 +2,13 @@
 
 Steps: (1) texts become ids, written once; (2) ids are counted over the whole corpus, pre-aggregated in each worker;
 the driver sees at most one count for each id of the vocabulary; (3) package-merge gives code lengths of at most
-``MAX_BITS``, from which canonical codes follow, so a header is the lengths alone; (4) documents are ranged by
-ascending id into shards, and each shard is a file of blocks; (5) blocks are read back and decoded by table.
+``MAX_BITS``, from which canonical codes follow, so the header, a file beside the blocks, is the lengths alone; (4)
+documents are ranged by ascending id into shards, and each shard is a file of blocks; (5) header and blocks are read
+back, by another reader than the writer if need be, and decoded by table.
 
-A block holds whole documents and about ``block_tokens`` ids. Its payload begins with a bit-offset checkpoint for
-every ``STEP`` ids, so a reader can start at any of them; the decoder runs all checkpoints of a block in step.
+A block holds whole documents and about ``block_tokens`` ids, so a task's memory grows with the longest document. Its
+payload begins with a bit-offset checkpoint for every ``STEP`` ids, so a reader can start at any of them; the decoder
+runs all checkpoints of a block in step.
 """
 
 from __future__ import annotations
@@ -22,15 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.llm.common import released, Scratch, slices, texts, utf8
-from keepstone.llm.tokens import encoder
+from keepstone.llm.tokens import encoder, vocabulary_size
 
 #: Longest code. A decoding table has 2 to this power entries.
 MAX_BITS = 18
 #: Ids between two checkpoints of a block.
 STEP = 128
 MAGIC = b"KSH1"
-#: Ids on their way from tokenizer to encoder: vocabularies of up to 65,536 ids take two bytes.
-STORED, STORED_BYTES = "<u2", 2
 BLOCK = struct.Struct("<4sIII")  # magic, documents, ids, bytes of the bit string
 
 
@@ -96,22 +96,41 @@ def decoding_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     return table
 
 
+def stored_type(vocabulary: int) -> str:
+    """Ids on their way from tokenizer to encoder: vocabularies of up to 65,536 ids take two bytes, others four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def pack_bits(codes: np.ndarray, bits: np.ndarray, starts: np.ndarray) -> bytes:
+    """Codes one after another, most significant bit first. They enter 64-bit words whole; what crosses a word's end
+    is put into the next one. No code is longer than a word, so each word but the last has a code that starts in it."""
+    if not len(codes):
+        return b""
+    total = int(starts[-1] + bits[-1])
+    word, room = starts >> 6, 64 - (starts & 63) - bits
+    wide = codes.astype(np.uint64)
+    high = np.where(room >= 0, wide << np.maximum(room, 0).astype(np.uint64), wide >> np.maximum(-room, 0).astype(np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    words = np.zeros((total + 63) // 64 + 1, np.uint64)
+    words[word[first]] = np.bitwise_or.reduceat(high, first)
+    over = np.flatnonzero(room < 0)
+    words[word[over] + 1] |= wide[over] << (64 + room[over]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[: (total + 7) // 8]
+
+
 # --- blocks ------------------------------------------------------------------------------------------------------
 
 
-def encode_block(documents: list[bytes], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    """Documents (ids as ``STORED``) as one self-contained payload."""
-    ids = np.frombuffer(b"".join(documents), STORED)
+def encode_block(documents: list[bytes], lengths: np.ndarray, codes: np.ndarray, stored: str = "<u2") -> bytes:
+    """Documents (ids as ``stored``) as one payload, which the header's lengths alone decode."""
+    ids = np.frombuffer(b"".join(documents), stored)
     bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(bits)
-    starts = ends - bits
-    total = int(ends[-1]) if len(ends) else 0
-    # Every bit of every code: its distance from the code's last bit selects it.
-    shift = np.repeat(ends, bits) - 1 - np.arange(total)
-    stream = np.packbits(((np.repeat(codes[ids], bits) >> shift.astype(np.uint32)) & 1).astype(np.uint8))
+    starts = np.cumsum(bits) - bits
+    stream = pack_bits(codes[ids], bits, starts)
     head = BLOCK.pack(MAGIC, len(documents), len(ids), len(stream))
-    sizes = np.asarray([len(d) // STORED_BYTES for d in documents], "<u4").tobytes()
-    return head + sizes + starts[::STEP].astype("<u8").tobytes() + stream.tobytes()
+    width = np.dtype(stored).itemsize
+    sizes = np.asarray([len(d) // width for d in documents], "<u4").tobytes()
+    return head + sizes + starts[::STEP].astype("<u8").tobytes() + stream
 
 
 def decode_block(payload: bytes, table: np.ndarray, max_bits: int = MAX_BITS) -> list[np.ndarray]:
@@ -140,26 +159,26 @@ def decode_block(payload: bytes, table: np.ndarray, max_bits: int = MAX_BITS) ->
 # --- Spark -------------------------------------------------------------------------------------------------------
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of each whole text with the end id, as ``STORED``; a null text is empty."""
+def encode_ids(docs: DataFrame, tokenizer: str, stored: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): ids of each whole text with the end id, as ``stored``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_batch
         for batch in slices(batches, "text", 1 << 20):
-            ids = pa.array(encode(batch.column("text").to_pylist(), STORED), pa.binary())
+            ids = pa.array(encode(batch.column("text").to_pylist(), stored), pa.binary())
             yield pa.record_batch([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     narrow = texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     return narrow.mapInArrow(released(run), "doc_id long, ids binary")
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
+def count_ids(encoded: DataFrame, stored: str) -> DataFrame:
     """(id, n) over the whole corpus: each worker sums its own part, then one row for each id and worker is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), STORED))
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), stored))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -175,17 +194,22 @@ def write_files(
     tokenizer: str,
     scratch: Scratch,
     block_tokens: int = 1 << 16,
-    vocabulary: int = 1 << 16,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> np.ndarray:
-    """Write ``blocks`` (shard, block, before, doc_ids, n_tokens, payload) under the scratch folder; return the code lengths (header)."""
-    encoded = scratch.write(encode_ids(docs, tokenizer, id_col, text_col), "ids")
+) -> None:
+    """Write ``header`` (magic, max_bits, lengths) and ``blocks`` (shard, block, before, doc_ids, n_tokens, payload)
+    under the scratch folder."""
+    vocabulary = vocabulary_size(tokenizer)
+    stored = stored_type(vocabulary)
+    width = np.dtype(stored).itemsize
+    encoded = scratch.write(encode_ids(docs, tokenizer, stored, id_col, text_col), "ids")
     counts = np.zeros(vocabulary, np.int64)
-    for row in count_ids(encoded).toLocalIterator():  # at most one row for each id of the vocabulary
+    for row in count_ids(encoded, stored).toLocalIterator():  # at most one row for each id of the vocabulary
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
+    header = [(bytearray(MAGIC), MAX_BITS, bytearray(lengths.tobytes()))]
+    scratch.write(scratch.spark.createDataFrame(header, "magic binary, max_bits int, lengths binary"), "header")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,7 +228,7 @@ def write_files(
                     pa.array([before], pa.int64()),
                     pa.array([names], pa.list_(pa.int64())),
                     pa.array([size], pa.int64()),
-                    pa.array([encode_block(held, lengths, codes)], pa.binary()),
+                    pa.array([encode_block(held, lengths, codes, stored)], pa.binary()),
                 ],
                 names=["shard", "block", "before", "doc_ids", "n_tokens", "payload"],
             )
@@ -215,43 +239,46 @@ def write_files(
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append(ids)
                 names.append(doc_id)
-                size += len(ids) // STORED_BYTES
+                size += len(ids) // width
                 if size >= block_tokens:
                     yield close()
         if held:
             yield close()
 
-    # Equal ids are told apart by their content, so that repeated rows have one order.
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # Equal ids are told apart by their content, so that repeated rows have one order and many nulls don't share a task.
+    keyed = encoded.withColumn("h", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     blocks = ordered.mapInArrow(released(run), "shard int, block long, before long, doc_ids array<long>, n_tokens long, payload binary")
     blocks.write.mode("overwrite").option("compression", "none").parquet(scratch.path("blocks"))
     scratch.drop("ids")
-    return lengths
 
 
 @functools.lru_cache(maxsize=1)
-def _table(lengths: bytes) -> np.ndarray:
-    return decoding_table(np.frombuffer(lengths, np.uint8))
+def _table(lengths: bytes, max_bits: int) -> np.ndarray:
+    return decoding_table(np.frombuffer(lengths, np.uint8), max_bits)
 
 
-def read_files(scratch: Scratch, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, start, ids) from the written blocks: start counts the ids of all documents before.
+def read_files(scratch: Scratch) -> DataFrame:
+    """(doc_id, start, ids) from the written files alone: start counts the ids of all documents before.
 
     Sums by shard (as many rows as shards) give where a shard begins; a block knows its own start in the shard.
     """
     spark = scratch.spark
     blocks = scratch.read("blocks")
-    header = lengths.tobytes()
+    head = scratch.read("header").first()  # one row of a byte for each id of the vocabulary
+    if bytes(head["magic"]) != MAGIC:
+        raise ValueError("not a header of this format")
+    lengths, max_bits = bytes(head["lengths"]), head["max_bits"]
     shard_starts, at = {}, 0
     for row in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # one for a shard
         shard_starts[row["shard"]] = at
         at += row["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(header)
+        table = _table(lengths, max_bits)
         for batch in slices(batches, "payload", 1 << 20):
             for shard, before, names, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ids = [x.astype("<u4").tobytes() for x in decode_block(payload, table)]
+                ids = [x.astype("<u4").tobytes() for x in decode_block(payload, table, max_bits)]
                 at = shard_starts[shard] + before
                 starts = at + np.cumsum([0, *(len(x) // 4 for x in ids)])[:-1]
                 yield pa.record_batch(
@@ -278,9 +305,9 @@ def digests(decoded: DataFrame) -> DataFrame:
 def huffman_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, block_tokens: int = 1 << 16) -> DataFrame:
     """Write the files of ``docs`` and read them back.
 
-    Null text counts as empty (the end id alone). Null ids come first; rows that share an id are ordered by their
-    ids' bytes. An empty table gives empty files and no row. Only id and text are read.
+    Null text counts as empty (the end id alone). Null ids come first; rows that share an id are ordered by a
+    hash of their token ids, then by their bytes. An empty table gives empty files and no row. Only id and text are read.
     """
     scratch = Scratch(spark, "huffman")
-    lengths = write_files(docs, tokenizer, scratch, block_tokens)
-    return digests(read_files(scratch, lengths))
+    write_files(docs, tokenizer, scratch, block_tokens)
+    return digests(read_files(scratch))

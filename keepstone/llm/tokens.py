@@ -234,3 +234,14 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """One encoder for each tokenizer file and Python worker; it outlives a task. Its table takes some 60 MB at most."""
     return WordEncoder(path)
+
+
+@functools.cache
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file, the end id counted."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return max(END_ID, *Tokenizer.from_file(path).get_vocab().values()) + 1

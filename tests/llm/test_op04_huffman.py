@@ -41,17 +41,29 @@ def test_limit_holds_for_steep_counts():
         H.code_lengths(np.ones(5, int), 2)
 
 
-def test_blocks_round_trip():
+def test_bits_are_packed_in_order():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 63, 64, 65, 1000):
+        bits = rng.integers(1, 19, n)
+        codes = (rng.integers(0, 1 << 18, n) & ((1 << bits) - 1)).astype(np.uint32)
+        plain = "".join(format(c, f"0{b}b") for c, b in zip(codes.tolist(), bits.tolist(), strict=True))
+        plain += "0" * (-len(plain) % 8)
+        want = bytes(int(plain[i : i + 8], 2) for i in range(0, len(plain), 8))
+        assert H.pack_bits(codes, bits, np.cumsum(bits) - bits) == want
+
+
+@pytest.mark.parametrize("stored", ["<u2", "<u4"])
+def test_blocks_round_trip(stored):
     rng = np.random.default_rng(0)
     counts = (rng.pareto(0.8, 3000) * 5).astype(int)
     lengths = H.code_lengths(counts)
     used = np.flatnonzero(counts)
-    docs = [rng.choice(used, k).astype(H.STORED).tobytes() for k in (0, 1, 127, 128, 129, 5000, 0)]
-    out = H.decode_block(H.encode_block(docs, lengths, H.canonical_codes(lengths)), H.decoding_table(lengths))
-    assert [x.astype(H.STORED).tobytes() for x in out] == docs
+    docs = [rng.choice(used, k).astype(stored).tobytes() for k in (0, 1, 127, 128, 129, 5000, 0)]
+    out = H.decode_block(H.encode_block(docs, lengths, H.canonical_codes(lengths), stored), H.decoding_table(lengths))
+    assert [x.astype(stored).tobytes() for x in out] == docs
     one = H.code_lengths(np.asarray([0, 9]))
-    same = [np.ones(300, H.STORED).tobytes()]
-    assert [x.astype(H.STORED).tobytes() for x in H.decode_block(H.encode_block(same, one, H.canonical_codes(one)), H.decoding_table(one))] == same
+    same = [np.ones(300, stored).tobytes()]
+    assert [x.astype(stored).tobytes() for x in H.decode_block(H.encode_block(same, one, H.canonical_codes(one), stored), H.decoding_table(one))] == same
     with pytest.raises(ValueError):
         H.decode_block(bytes(40), H.decoding_table(one))
 
@@ -80,10 +92,18 @@ def test_edges(spark):
     assert H.huffman_round_trip(spark, df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_that_take_four_bytes(spark, monkeypatch):
+    assert H.stored_type(1 << 16) == "<u2" and H.stored_type((1 << 16) + 1) == "<u4"
+    monkeypatch.setattr(H, "stored_type", lambda vocabulary: "<u4")
+    rows = [(1, "two words"), (2, None), (3, "words, again " * 3000)]
+    out = H.huffman_round_trip(spark, spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), 1000)
+    assert [tuple(r) for r in out.orderBy("start").collect()] == _expected(rows)
+
+
 def test_files_shrink(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     scratch = Scratch(spark, "test")
-    lengths = H.write_files(docs, queries.tokenizer_path(), scratch, block_tokens=4096)
+    H.write_files(docs, queries.tokenizer_path(), scratch, block_tokens=4096)
     blocks = scratch.read("blocks").collect()
-    assert len(blocks) > 5 and max(lengths) <= H.MAX_BITS
+    assert len(blocks) > 5 and max(scratch.read("header").first()["lengths"]) <= H.MAX_BITS
     assert sum(len(b["payload"]) for b in blocks) < 2 * sum(b["n_tokens"] for b in blocks)
