@@ -6,9 +6,12 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,16 +56,19 @@ def utf8(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("binary")
 
 
-#: Rows of an Arrow batch of texts. Spark's own default of 10,000 rows of long texts takes hundreds of MB a task.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch of texts. Spark's own default of 10,000 rows of long texts takes hundreds of MB a task.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """docs, with the session's Arrow batches bounded for rows of text (only ever made smaller)."""
     ship(docs.sparkSession)
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    conf = docs.sparkSession.conf
+    for name, least in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= least:
+            conf.set(key, str(least))
     return docs
 
 
@@ -100,3 +106,69 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
+
+
+#: Bits of a piece of a map, and of a map unless it is told otherwise (1 MB).
+PIECE_BITS, MAP_BITS = 1 << 15, 1 << 23
+
+
+def key_map(rows: DataFrame, key: str, scratch: Scratch, name: str, bits: int = MAP_BITS) -> DataFrame:
+    """(k, words): a bit for each hashed ``key``, in pieces of 4 KB; at most ``bits`` / 32768 rows whatever the number of keys.
+
+    A full map lets every row through ``in_map``, which costs time only.
+    """
+    place = rows.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p"))
+    parts = place.groupBy(F.expr(f"p div {PIECE_BITS}").alias("k")).agg(F.expr(f"bitmap_construct_agg(p % {PIECE_BITS})").alias("bits"))
+    longs = F.expr(f"transform(sequence(0, {PIECE_BITS // 64 - 1}), i -> cast(conv(hex(substring(bits, 8 * i + 1, 8)), 16, -10) as long))")
+    return scratch.write(parts.select("k", longs.alias("words")), name)
+
+
+def in_map(rows: DataFrame, key: str, found: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in the map, and the others (a null key is in no map). The map's size is fixed, so it is broadcast."""
+    keyed = rows.withColumn("_ks_p", F.pmod(F.xxhash64(key), F.lit(bits)))
+    keyed = keyed.withColumn("_ks_k", F.expr(f"_ks_p div {PIECE_BITS}"))
+    joined = keyed.join(F.broadcast(found.select(F.col("k").alias("_ks_k"), F.col("words").alias("_ks_words"))), "_ks_k", "left")
+    # The bytes of a long stand most significant first, the bits of a byte least significant first.
+    word = f"element_at(_ks_words, cast((_ks_p % {PIECE_BITS}) div 64 as int) + 1)"
+    hit = F.expr(f"shiftright({word}, cast(56 - 8 * ((_ks_p div 8) % 8) + _ks_p % 8 as int)) & 1L") == 1
+    flag = joined.withColumn("_ks_hit", F.col(key).isNotNull() & F.coalesce(hit, F.lit(False)))
+    return flag.where("_ks_hit").select(*rows.columns), flag.where("not _ks_hit").select(*rows.columns)
+
+
+def search_blocks(
+    rows: DataFrame, queries: DataFrame, n_blocks: int, build: Callable[[pa.RecordBatch], Any], search: Callable[[Any, pa.RecordBatch], pa.RecordBatch],
+    schema: str, query_rows: int = 512,
+) -> DataFrame:
+    """Search all ``rows`` for all ``queries`` (the same columns, but far fewer rows), block by block.
+
+    Rows are dealt to blocks by a hash of all their columns, so that no id or value fills one, and queries are sent to
+    every block. A task builds the index of a block once, by ``build``, and streams the queries through it: it holds a
+    block and ``query_rows`` queries at a time, however many queries there are.
+    """
+    columns = rows.columns
+    left = rows.select(F.pmod(F.xxhash64(*columns), F.lit(n_blocks)).cast("int").alias("_ks_b"), F.lit(0).alias("_ks_side"), *columns)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    right = queries.select(every.alias("_ks_b"), F.lit(1).alias("_ks_side"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index = -1, None
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            b, side = batch.column("_ks_b").to_numpy(), batch.column("_ks_side").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(b) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(b)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if start == stop:
+                    continue
+                if b[start] != block:
+                    block, index, held = b[start], None, []
+                part = batch.slice(start, stop - start).select(columns)
+                if side[start] == 0:
+                    held.append(part)
+                elif held or index is not None:
+                    if index is None:
+                        index, held = build(pa.Table.from_batches(held).combine_chunks().to_batches()[0]), []
+                    for at in range(0, part.num_rows, query_rows):
+                        yield search(index, part.slice(at, query_rows))
+
+    dealt = left.unionByName(right).repartition(n_blocks, "_ks_b").sortWithinPartitions("_ks_b", "_ks_side")
+    return dealt.mapInArrow(released(run), schema)

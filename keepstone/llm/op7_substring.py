@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import released, Scratch, slices, texts, utf8
+from keepstone.llm.common import in_map, key_map, released, Scratch, slices, texts, utf8
 from keepstone.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -33,8 +33,8 @@ GROUP = 16
 SHARD_WORDS = 300_000
 #: Contents of one anchor that share a shard; anchors with more are compared by hashes of windows.
 ANCHOR_CONTENTS = 1024
-#: Bits of the map of documents that have to be read again (1 MB); a full map costs time only.
-MAP_BITS = 1 << 23
+#: Bits of the map of anchors that stand in several documents (8 MB); a full map costs time only.
+ANCHOR_BITS = 1 << 26
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -145,28 +145,10 @@ def find_anchors(rows: DataFrame, window: int, group: int) -> DataFrame:
     return narrow.mapInArrow(released(run), "h long, r long, doc_id long, tag int, s int, n int")
 
 
-def id_map(ids: DataFrame, scratch: Scratch, name: str, bits: int = MAP_BITS) -> DataFrame:
-    """(k, bits): a bit for each hashed id, in pieces of 4 KB; at most ``bits`` / 32768 rows whatever the number of ids."""
-    place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"))
-    parts = place.groupBy(F.expr("p div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-    return scratch.write(parts, name)
-
-
-def _in_map(rows: DataFrame, found: DataFrame, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be in the map, and the others. The map's size is fixed, so it is broadcast."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    keyed = rows.withColumns({"_ks_k": F.floor(place / 32768).cast("long"), "_ks_p": F.pmod(place, F.lit(32768))})
-    joined = keyed.join(F.broadcast(found.select(F.col("k").alias("_ks_k"), F.col("bits").alias("_ks_bits"))), "_ks_k", "left")
-    byte = F.conv(F.hex(F.expr("substring(_ks_bits, cast(_ks_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.col("doc_id").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_ks_p % 8 as int))")) != 0)
-    flag = joined.withColumn("_ks_hit", F.coalesce(hit, F.lit(False)))
-    return flag.where("_ks_hit").select(*rows.columns), flag.where("not _ks_hit").select(*rows.columns)
-
-
 def read_contents(rows: DataFrame, wanted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """(h, r, owner, words): words of the wanted regions (h, r, doc_id, tag, s, n) as 64-bit hashes."""
     lists = wanted.groupBy("doc_id", F.col("tag").alias("want")).agg(F.collect_list(F.struct("h", "r", "s", "n")).alias("regions"))
-    maybe, _ = _in_map(rows.where("text is not null"), id_map(wanted, scratch, "wanted"))
+    maybe, _ = in_map(rows.where("text is not null"), "doc_id", key_map(wanted, "doc_id", scratch, "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -239,7 +221,9 @@ def covered(spark: SparkSession, rows: DataFrame, scratch: Scratch, window: int
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("r") == F.max("r")).alias("single")
     )
     shared = scratch.write(shared.where("lo < hi").select("h", "lo", "single"), "shared")
-    places = scratch.write(found.join(shared, "h"), "places")
+    # Most anchors stand in one document only; the map keeps them out of the join.
+    maybe, _ = in_map(found, "h", key_map(shared, "h", scratch, "map", ANCHOR_BITS), ANCHOR_BITS)
+    places = scratch.write(maybe.join(shared, "h"), "places")
     scratch.drop("anchors")
     whole = F.array(F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("b")))
     # Every content with its least document, and those of anchors with several contents, which have to be searched.
@@ -259,13 +243,14 @@ def covered(spark: SparkSession, rows: DataFrame, scratch: Scratch, window: int
     scratch.drop("contents")
     # The owner of a content has what the search found; every later document has all of it.
     owners = first.select("h", "r", F.col("doc_id").alias("owner"))
-    known = owners.join(results.select("h", "r", "spans"), ["h", "r"], "left")
+    known = owners.join(results.select("h", "r", "spans"), ["h", "r"], "left").select(F.bitwise_not("h").alias("k"), "r", "owner", "spans")
     shift = F.transform("spans", lambda x: F.struct((x["a"] + F.col("s")).alias("a"), (x["b"] + F.col("s")).alias("b")))
     mine = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(shift)
-    spans = places.join(known, ["h", "r"]).select("doc_id", "tag", mine.alias("spans"))
+    # A key of its own: both sides are dealt anew, so a content with very many places can be split among tasks.
+    spans = places.withColumn("k", F.bitwise_not("h")).join(known, ["k", "r"]).select("doc_id", "tag", mine.alias("spans"))
     grouped = spans.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = scratch.write(grouped.where(F.size("spans") > 0), "covered")
-    for name in ("shared", "places", "first", "many", "results", "wanted"):
+    for name in ("shared", "map", "places", "first", "many", "results", "wanted"):
         scratch.drop(name)
     return out
 
@@ -299,7 +284,7 @@ def apply_spans(rows: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFram
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.record_batch(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    maybe, others = _in_map(rows, id_map(spans, scratch, "marked"))
+    maybe, others = in_map(rows, "doc_id", key_map(spans, "doc_id", scratch, "marked"))
     read = maybe.join(_by_document(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(released(run), schema)
     return read.unionByName(others.select("doc_id", "text").mapInArrow(released(run), schema))
 
@@ -331,7 +316,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
             out.append(b" ".join(_kept(text, own)[1]).decode("utf-8", "replace") if own else None)
         return pd.Series(out, dtype=object)
 
-    maybe, others = _in_map(docs, id_map(spans, scratch, "marked"))
+    maybe, others = in_map(docs, "doc_id", key_map(spans, "doc_id", scratch, "marked"))
     joined = maybe.join(named, F.col("doc_id") == F.col("_ks_id"), "left")
     marked = joined.where("_ks_spans is not null").withColumn("_ks_rest", rest(utf8("text"), F.col("_ks_spans")))
     kept = marked.where("_ks_rest is null or _ks_rest != ''").withColumns(
