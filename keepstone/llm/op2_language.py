@@ -24,6 +24,8 @@ WINDOW = 96
 LANES = 1536
 #: What a document without a letter, or a null text, is called.
 UNDETERMINED = "und"
+#: What matches a letter.
+LETTER = r"\p{L}"
 
 
 @dataclass
@@ -201,19 +203,21 @@ def document_probabilities(model: ByteGru, texts: list[bytes]) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, text: Column, lang: Column, per_language: int, crop: int, languages: int) -> DataFrame:
-    """(lang, crop of text): at most ``per_language`` rows of each of the ``languages`` most frequent languages.
+    """(lang, crop of text): at most ``per_language`` rows of each of the ``languages`` most frequent languages (ties by name).
 
-    Rows are drawn in the order of a hash of their text; the crop starts at a hashed place of the text. The rank limit
-    goes below the shuffle, so one frequent language doesn't gather in a task.
+    Languages are counted over all rows; at most ``languages`` of them are kept, so they are broadcast. Rows are drawn in
+    the order of a hash of their text; the crop starts at a hashed place of the text. The rank limit goes below the
+    shuffle, so one frequent language doesn't gather in a task.
     """
     rows = docs.select(text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
-    rows = rows.withColumn("h", F.xxhash64("text")).select(
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    rows = rows.join(F.broadcast(most), "lang").withColumn("h", F.xxhash64("text")).select(
         "lang",
         "h",
         F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {crop})) as int), {crop})").alias("text"),
     )
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    return first.where(F.col("rank") <= per_language).select("lang", "text").limit(per_language * languages)
+    return first.where(F.col("rank") <= per_language).select("lang", "text")
 
 
 def fit(
@@ -232,8 +236,8 @@ def fit(
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows], **training)
 
 
-def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row plus lang_pred and score (the pooled probability of lang_pred).
+def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every row plus lang_pred and score (the pooled probability of lang_pred), both behind ``prefix``.
 
     Whole texts are read. A null text, or one without any letter, is ``und`` with score 0, as is every text if nothing
     could be learned. Ties go to the first language in alphabetical order. An empty table gives no row.
@@ -253,11 +257,11 @@ def predict(docs: DataFrame, model: ByteGru, keep: list[str], text_col: str = "t
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch(
                 [*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, f"{prefix}lang_pred", f"{prefix}score"],
             )
 
     from pyspark.sql import types as T
 
-    out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    narrow = texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep), F.col(text_col).rlike(r"\p{L}").alias("_ks_letter"))
+    out = T.StructType([*schema.fields, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
+    narrow = texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep), F.col(text_col).rlike(LETTER).alias("_ks_letter"))
     return narrow.mapInArrow(released(run), out)

@@ -9,6 +9,7 @@ template that is covered to a sufficient share adds its label.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -72,8 +73,8 @@ TEMPLATES = [
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Shortest run of words that counts as a match, and the share of a template that must be covered.
 LEAST_MATCH, LEAST_COVER = 3, 0.8
-#: Matches before one that may precede it in a chain, and the most text words between two matches of a chain.
-LOOK_BACK, LARGEST_GAP = 64, 32
+#: The most text words between two matches of a chain.
+LARGEST_GAP = 32
 #: Bytes of a text that are split into words at a time.
 SEGMENT = 4 << 20
 
@@ -219,7 +220,11 @@ class LicenseScanner:
         return out
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """Best chain for each template: text and template order agree, overlaps count once."""
+        """Chains of each template that share no text word, best first: all that reach ``least_cover``, or the best one.
+
+        Text and template order agree in a chain, and overlaps count once. A match looks back as far as ``LARGEST_GAP``
+        words before its start; what lies there is bounded by the sizes of templates, however long the text is.
+        """
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for end, run, v in matches:
             for template, template_end in self.automaton.ends[v]:
@@ -228,20 +233,27 @@ class LicenseScanner:
         spans = []
         for template, found in by_template.items():
             found.sort()
-            best: list[tuple[int, int]] = []  # covered words, first text word
-            top = (0, 0, 0)
+            chains: list[tuple[int, int, int]] = []  # covered words, first text word, end
             for i, (end, t_end, run) in enumerate(found):
                 covered, first = run, end - run
-                for j in range(max(0, i - LOOK_BACK), i):
+                j = i - 1
+                while j >= 0 and found[j][0] >= end - run - LARGEST_GAP:
                     p_end, p_t_end, _ = found[j]
-                    if p_end < end and p_t_end < t_end and end - run - p_end <= LARGEST_GAP:
+                    if p_end < end and p_t_end < t_end:
                         new = run - max(0, p_end - (end - run), p_t_end - (t_end - run))
-                        if new > 0 and best[j][0] + new > covered:
-                            covered, first = best[j][0] + new, best[j][1]
-                best.append((covered, first))
-                if covered > top[0]:
-                    top = (covered, first, end)
-            spans.append((self.labels[template], min(1.0, top[0] / self.sizes[template]), top[1], top[2]))
+                        if new > 0 and chains[j][0] + new > covered:
+                            covered, first = chains[j][0] + new, chains[j][1]
+                    j -= 1
+                chains.append((covered, first, end))
+            taken: list[tuple[int, int]] = []  # by place
+            for covered, first, end in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+                cover = min(1.0, covered / self.sizes[template])
+                if taken and cover < self.least_cover:
+                    break
+                at = bisect.bisect(taken, (first, end))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (first, end))
+                    spans.append((self.labels[template], cover, first, end))
         return sorted(spans, key=lambda s: (-s[1], s[0], s[2]))
 
 

@@ -178,14 +178,16 @@ def fit(
 ) -> AttentionModel:
     """Train on at most ``most_rows`` labelled rows (first by a hash of the id) where ``learn`` holds on the id column.
 
-    A null id or label takes no part; an id with two labels counts for both. The picked ids are at most ``most_rows``,
-    so they are sent to all executors, and the driver gets at most ``most_rows`` x ``most_passages`` passages.
+    A null id or label takes no part; an id with two labels counts for both, as does one that stands for several texts.
+    The picked ids are at most ``most_rows``, so they are sent to all executors. Of the rows that carry them, the first
+    ``most_rows`` by a hash of their features go on, so the driver gets at most ``most_rows`` x ``most_passages`` passages.
     """
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).dropna().where(learn)
     known = known.where("label in (0, 1)").orderBy(F.xxhash64(F.col(id_col)), "label").limit(most_rows)
     known = known.select(F.col(id_col).alias("_ks_id"), "label")
     rows = docs.select(F.col(id_col).alias("_ks_id"), utf8(text_col).alias("text")).join(F.broadcast(known), "_ks_id")
-    found = _bag_rows(rows, most_passages).collect()
+    bags = _bag_rows(rows, most_passages)
+    found = bags.orderBy(F.xxhash64("features", "label"), "features", "label").limit(most_rows).collect()
     found.sort(key=lambda r: (r["label"], bytes(r["features"])))
     if not found:
         return train(np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
@@ -193,8 +195,8 @@ def fit(
     return train(x, np.asarray([r["n"] for r in found]), np.asarray([r["label"] for r in found], float), **training)
 
 
-def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row plus score (0 to 1) over all passages of the whole text, and predicted.
+def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every row plus score (0 to 1) over all passages of the whole text, and predicted, behind ``prefix``.
 
     A null text counts as empty: one passage of zeros. An empty table gives no row. If labels of one kind only were
     there to learn from, every score is that prior.
@@ -209,8 +211,8 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch(
                 [*columns, pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
-                names=[*keep, "score", "predicted"],
+                names=[*keep, f"{prefix}score", f"{prefix}predicted"],
             )
 
-    out = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    out = T.StructType([*schema.fields, T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
     return texts(docs).select(*keep, *[utf8(text_col).alias(source)] * (source not in keep)).mapInArrow(released(run), out)

@@ -57,3 +57,36 @@ def test_edges(spark):
     nothing = L.fit(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in L.predict(docs.drop("score"), nothing, ["doc_id"]).collect()} == {"und"}
     assert L.predict(docs.limit(0).drop("score"), model, ["doc_id"]).count() == 0
+
+
+def test_sample_takes_the_most_frequent_languages(spark):
+    rows = [(f"text {k} {i}", f"l{k:03d}") for k in range(40) for i in range(1 + k % 7)] + [(f"zz {i}", "zz") for i in range(9)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    found = L.sample_rows(df, F.col("text"), F.col("lang"), 2, 100, 4).collect()
+    assert sorted(r["lang"] for r in found) == ["l006"] * 2 + ["l013"] * 2 + ["l020"] * 2 + ["zz"] * 2
+
+
+def test_probabilities_against_plain_loops():
+    model = L.train([b"abc abd abe " * 40, b"xyz xyw xyv " * 40], ["a", "x"], steps=5, hidden=6)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, d):
+        h, out = np.zeros(model.hidden), []
+        for byte in data:
+            w, u, n = model.w[d][byte].astype(float) + model.b[d][0], h @ model.u[d].astype(float), model.hidden
+            z, r = sigmoid(w[:n] + u[:n]), sigmoid(w[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(w[2 * n :] + r * (u[2 * n :] + model.c[d][0]))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    for text in (b"ab xy", b"abd xyw " * 30):
+        total = np.zeros(2)
+        for at in range(0, len(text), L.WINDOW):
+            part = text[at : at + L.WINDOW].ljust(L.WINDOW)
+            forth, back = states(part, 0), states(part[::-1], 1)[::-1]
+            for i in range(min(L.WINDOW, len(text) - at)):
+                logits = forth[i] @ model.v[0] + back[i] @ model.v[1] + model.d
+                p = np.exp(logits - logits.max())
+                total += p / p.sum()
+        assert np.allclose(L.document_probabilities(model, [text])[0], total / len(text), atol=1e-4)

@@ -67,6 +67,26 @@ def test_templates_add_labels_and_spans():
     assert not scanner.scan(b"redistribution and use of this text").spans[0][1] >= L.LEAST_COVER
 
 
+def test_every_notice_is_a_span():
+    scanner = L.LicenseScanner()
+    bsd = dict(L.TEMPLATES)["bsd"]
+    size = len(L.words_of(bsd))
+    text = f"{bsd} one two three {'x ' * 40}{bsd} {'y ' * 40}{bsd[: len(bsd) // 3]}"
+    found = [s for s in scanner.scan(text.encode()).spans if s[0] == "bsd"]
+    assert [(s[1], s[2], s[3]) for s in found] == [(1.0, 0, size), (1.0, size + 43, 2 * size + 43)]
+
+
+def test_a_chain_looks_back_past_many_matches():
+    # 200 matches that end between the two halves of the template, within the gap
+    words = [f"a{i}" for i in range(20)]
+    halves = " ".join(words[:10]), " ".join(words[10:])
+    noise = " ".join(words[12:15])
+    scanner = L.LicenseScanner(templates=[("t", f"{halves[0]} {halves[1]}")] + [("t", noise)] * 90, phrases={})
+    text = f"{halves[0]} x {noise} x {noise} x {halves[1]}"
+    spans = [s for s in scanner.scan(text.encode()).spans if s[3] - s[2] > 15]
+    assert spans and spans[0][1] == 1.0
+
+
 def test_query_and_edges(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

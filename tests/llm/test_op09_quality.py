@@ -65,3 +65,38 @@ def test_edges(spark):
         prior = Q.fit(docs, few, F.lit(True))
         assert len({round(r["score"], 9) for r in Q.score(docs.drop("score"), prior, ["doc_id"]).collect()}) == 1
     assert Q.score(docs.limit(0).drop("score"), model, ["doc_id"]).count() == 0
+
+
+def test_score_against_plain_loops(spark):
+    rows = [(i, ("plain prose of a kind. " if i % 2 else "$$ # 12 @@ ") * (5 + 40 * (i % 3))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    m = Q.fit(docs, labels, F.lit(True), epochs=3)
+    for r in Q.score(docs, m, ["doc_id", "text"]).collect():
+        data = r["text"].encode()
+        h = []
+        for at in range(0, len(data), Q.PASSAGE):
+            text = data[at : at + Q.PASSAGE + 1]  # a passage's last pair reaches into the next one
+            x = np.zeros(Q.FEATURES)
+            pairs = np.zeros(Q.BUCKETS)
+            size = min(Q.PASSAGE, len(data) - at)
+            for i in range(size):
+                pairs[Q._BUCKET[text[i] * 256 + (text[i + 1] if i + 1 < len(text) else 10)]] += 1
+                x[Q.BUCKETS + Q._KIND[text[i]]] += 1 / size
+            x[: Q.BUCKETS] = np.sqrt(pairs / size)
+            again = sum(c * (c - 1) for c in pairs) / max(size * (size - 1), 1)
+            x[-3:] = np.log(again + 1e-4), np.count_nonzero(pairs) / np.sqrt(size), np.log(size)
+            h.append(np.tanh(((x - m.mean) / m.scale) @ m.w + m.b))
+        e = np.asarray([m.a @ (np.tanh(v @ m.v) / (1 + np.exp(-(v @ m.u)))) for v in h])
+        weight = np.exp(e - e.max())
+        z = sum(w * v for w, v in zip(weight / weight.sum(), h, strict=True))
+        assert abs(r["score"] - 1 / (1 + np.exp(-(z @ m.c + m.d[0])))) < 1e-4
+
+
+def test_the_driver_gets_a_bounded_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda x, counts, y, **_: seen.append((len(x), len(y))))
+    Q.fit(docs, labels, F.lit(True), most_rows=20)
+    assert seen == [(20, 20)]
