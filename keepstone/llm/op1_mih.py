@@ -5,8 +5,8 @@ Round r probes, in every segment, all values at exactly r bits from the query's
 d has a segment at d / 4 bits or fewer, so after round r every code at distance 4r + 3 or less has been verified: a
 query whose k-th verified distance is within that radius is done; the others grow their radius by one.
 
-Rows are dealt at random into shards, each with tables of its own, and queries into blocks; one task searches one
-shard for one block and passes on the k best of each query, of which the k best over all shards are the answer. In a
+Rows are dealt at random into shards. A task builds the tables of a shard once, streams all queries through them and
+passes on the k best of each query, of which the k best over all shards are the answer. In a
 shard, equal codes are one posting that carries its k + 1 least ids, which is all that ties can ask for, so copies
 neither crowd a bucket nor repeat among the candidates. A code is verified by the first probe that meets it.
 """
@@ -16,15 +16,15 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch
+from keepstone.llm.common import Scratch, search_blocks
 
 SEGMENTS, SEGMENT_BITS = 4, 16
-#: Rows of a shard and queries of a block. A shard's codes and tables take a few MB.
-SHARD_ROWS, BLOCK_QUERIES = 1 << 17, 512
+#: Rows of a shard, whose codes and tables take a few MB.
+SHARD_ROWS = 1 << 17
 #: Probes that are held at a time.
 PROBES = 1 << 21
 
@@ -128,22 +128,16 @@ def nearest_codes(spark: SparkSession, rows: DataFrame, is_query: Column, k: int
     clean = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(code_col).cast("long").alias("code")).dropna()
     queries = clean.where(is_query).distinct()
     n_shards = max(1, -(-clean.count() // SHARD_ROWS))
-    n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = clean.select(deal(n_shards).alias("s"), every(n_blocks).alias("b"), "vec_id", "code")
-    right = queries.select(every(n_shards).alias("qs"), deal(n_blocks).alias("qb"), F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-
-    def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "q", "vec_id", "distance"]
-        if not len(shard) or not len(asked):
-            return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-        codes, wanted = (x.to_numpy(np.int64).view(np.uint64) for x in (shard["code"], asked["q"]))
-        query_ids = asked["query_id"].to_numpy()
-        number, distance, ids = Shard(shard["vec_id"].to_numpy(), codes, k).search(query_ids, wanted)
-        return pd.DataFrame(dict(zip(names, (query_ids[number], asked["q"].to_numpy()[number], ids, distance), strict=True)))
-
-    found = left.groupBy("s", "b").cogroup(right.groupBy("qs", "qb")).applyInPandas(run, "query_id long, q long, vec_id long, distance int")
+    numbers = lambda batch: (batch.column("vec_id").to_numpy(), batch.column("code").to_numpy().view(np.uint64))
+
+    def search(shard: Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        query_ids, wanted = numbers(asked)
+        number, distance, ids = shard.search(query_ids, wanted)
+        found = (query_ids[number], wanted[number].view(np.int64), ids, distance.astype(np.int32))
+        return pa.record_batch([pa.array(x) for x in found], names=["query_id", "q", "vec_id", "distance"])
+
+    build = lambda batch: Shard(*numbers(batch), k)
+    found = search_blocks(clean, queries, n_shards, build, search, "query_id long, q long, vec_id long, distance int")
     # Shards may hold one id with two codes, and one query id may stand for two: the nearer counts.
     nearest = scratch.write(found, "found").groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")

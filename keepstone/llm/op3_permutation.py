@@ -1,80 +1,91 @@
 """Approximate nearest neighbours with a permutation index.
 
-A bounded sample of vectors serves as pivots. Every vector is represented by the order in which the pivots lie around
-it (nearest first). The vectors are dealt at random into blocks; each block keeps inverted files, one for each pivot,
-that hold the position which the pivot has in each vector's order. For a query, the footrule distance between its
-order and a vector's order is the sum over pivots of the difference in position, accumulated pivot by pivot from the
-inverted files. The nearest share of each block by footrule is compared with the query on the original vectors, in
-double precision, and each block passes on its k best; the k best of those over all blocks are the answer.
-
-Blocks are dealt by a hash of the row, so copies of one vector spread evenly, and one task holds one block of
-vectors and one block of queries.
+A bounded sample of vectors serves as pivots. A vector is represented by its nearest pivots in order, a prefix of the
+permutation of all pivots. The vectors are dealt at random into blocks, and a block keeps an inverted file for each
+pivot: the vectors that have it in their prefix, with its position there. A query reads the files of the pivots in its
+own prefix and no others. With positions counted from 0, prefixes of m pivots and position m for every pivot outside,
+the footrule distance (the sum over pivots of the difference in position) of two prefixes is a constant less twice the
+sum of m - max(position, position) over the pivots that both have, so the postings that are read give it exactly. The
+nearest share of a block by footrule is compared with the query on the original vectors, in double precision; the k
+best of those over all blocks are the answer.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import Scratch
+from keepstone.llm.common import Scratch, search_blocks
 
-#: Pivots; each vector's order has all of them.
-PIVOTS = 128
+#: Pivots, and how many of them a prefix has.
+PIVOTS, PREFIX = 1024, 64
 #: Share of a block that is compared exactly, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.1, 384
-#: Rows of a block of vectors, and of a block of queries.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
-
-
-def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Position of every pivot in the order around each vector (rows x pivots); ties go to the first pivot."""
-    near = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    position = np.empty(near.shape, np.int16)
-    np.put_along_axis(position, near, np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
-    return position
-
-
-def inverted_files(position: np.ndarray) -> np.ndarray:
-    """A row for each pivot: its position in each vector's order, in the block's row order."""
-    return np.ascontiguousarray(position.T)
-
-
-def footrule(files: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Distance of a query's order to all vectors of a block, pivot by pivot."""
-    total = np.zeros(files.shape[1], np.int16)
-    for pivot, at in enumerate(order):
-        total += np.abs(files[pivot] - at)
-    return total
-
-
-def search_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, cosine) of the k best of a block for each query; a query never finds its own id."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by_id], vectors[by_id]
-    length = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = vectors / length[:, None]
-    files = inverted_files(orders(unit, pivots))
-    lengths = np.sqrt((queries * queries).sum(axis=1))
-    query_orders = orders(queries / lengths[:, None], pivots)
-    most = min(len(ids), max(RERANK_LEAST, k + 1, int(np.ceil(RERANK_SHARE * len(ids)))))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for name, query, size, order in zip(query_ids, queries, lengths, query_orders, strict=True):
-        distance = footrule(files, order)
-        # The rank is (distance, id): rows are in the order of ids, so that is the order of this key.
-        key = distance.astype(np.int64) * len(ids) + np.arange(len(ids))
-        near = np.argpartition(key, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != name]
-        cosine = (vectors[near] * query).sum(axis=1) / (length[near] * size)
-        best = np.lexsort((ids[near], -cosine))[:k]
-        found.append((np.full(len(best), name), ids[near][best], cosine[best]))
-    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return tuple(np.concatenate(x) for x in zip(*(found or [empty]), strict=True))
+RERANK_SHARE, RERANK_LEAST = 0.1, 128
+#: Rows of a block of vectors.
+BLOCK_ROWS = 1 << 15
+#: Vectors whose distances to all pivots are held at a time.
+CHUNK = 4096
+
+
+def prefixes(unit: np.ndarray, pivots: np.ndarray, size: int = PREFIX) -> np.ndarray:
+    """The nearest pivots of each vector in order, nearest first; ties go to the first pivot."""
+    size = min(size, len(pivots))
+    out = np.empty((len(unit), size), np.int32)
+    for at in range(0, len(unit), CHUNK):
+        away = -(unit[at : at + CHUNK] @ pivots.T)
+        if size < len(pivots):  # all that are as near as the last one of the prefix, then in order
+            last = np.partition(away, size - 1, axis=1)[:, size - 1 : size]
+            away = np.where(away <= last, away, np.inf)
+        out[at : at + CHUNK] = np.argsort(away, axis=1, kind="stable")[:, :size]
+    return out
+
+
+class Block:
+    """Vectors of a block in the order of their ids, and its inverted files."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.vectors, self.pivots = ids[by_id], vectors[by_id], pivots
+        self.length = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        near = prefixes(self.vectors / self.length[:, None], pivots)
+        self.size = near.shape[1]
+        flat = near.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.row = (order // self.size).astype(np.int32)
+        self.position = (order % self.size).astype(np.int16)
+        self.start = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
+
+    def closeness(self, prefix: np.ndarray) -> np.ndarray:
+        """For each vector the sum over shared pivots of m less the larger position: half of what the footrule distance
+        to the query's prefix falls short of its largest value."""
+        out = np.zeros(len(self.ids), np.int32)
+        for at, pivot in enumerate(prefix.tolist()):
+            a, b = self.start[pivot], self.start[pivot + 1]
+            out[self.row[a:b]] += self.size - np.maximum(self.position[a:b], at)  # a vector stands once in a file
+        return out
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, cosine) of the k best of the block for each query; a query never finds its own id."""
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        n = len(self.ids)
+        most = min(n, max(RERANK_LEAST, k + 1, int(np.ceil(RERANK_SHARE * n))))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for name, query, size, prefix in zip(query_ids, queries, lengths, prefixes(queries / lengths[:, None], self.pivots), strict=True):
+            own = self.ids == name
+            # In the order of (footrule, id): rows are in the order of ids. Its own rows take no place.
+            key = np.arange(n) - self.closeness(prefix).astype(np.int64) * n
+            key[own] = np.iinfo(np.int64).max
+            near = np.argpartition(key, most - 1)[:most] if most < n else np.arange(n)
+            near = near[~own[near]]
+            cosine = (self.vectors[near] * query).sum(axis=1) / (self.length[near] * size)
+            best = np.lexsort((self.ids[near], -cosine))[:k]
+            found.append((np.full(len(best), name), self.ids[near][best], cosine[best]))
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return tuple(np.concatenate(x) for x in zip(*(found or [empty]), strict=True))
 
 
 def usable(vector: Column) -> Column:
@@ -96,48 +107,39 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row among all rows but its own id.
 
-    Rows with a null id or an unusable vector take no part, nor do rows whose dimension isn't the most frequent one.
-    Ties go to the smaller id; a row that repeats a (id, vector) counts once. Fewer candidates than k give fewer rows.
+    Rows with a null id or an unusable vector take no part. Vectors are compared with those of as many components only,
+    in a search for each such number. Ties go to the smaller id; a row that repeats a (id, vector) counts once, and of an
+    id with several vectors the nearest counts. Fewer candidates than k give fewer rows. Only id and vector are read.
     """
     scratch = Scratch(spark, "permutation")
     clean = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
-    dims = clean.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dims[0]["dim"]
+    clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     # Repeats go before anything is cut to a number of rows: they would take the places of other neighbours.
-    clean = clean.where(F.col("dim") == dim).drop("dim").dropDuplicates(["vec_id", "v"])
-    sample = clean.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()
-    points = np.asarray([r["v"] for r in sample])
-    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
-    queries = clean.where(is_query)
-    n_blocks = max(1, -(-dims[0]["count"] // BLOCK_ROWS))
-    n_query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-
-    def block(n: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = clean.select(block(n_blocks).alias("b"), grid(n_query_blocks).alias("q"), "vec_id", "v")
-    right = queries.select(grid(n_blocks).alias("b"), block(n_query_blocks).alias("q"), "vec_id", "v")
-
-    def run(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if not len(vectors) or not len(asked):
-            return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
-        out = search_block(
-            vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy()),
-            asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), points, k,
-        )
-        return pd.DataFrame(dict(zip(names, out, strict=True)))
-
-    found = (
-        left.groupBy("b", "q")
-        .cogroup(right.groupBy("b", "q"))
-        .applyInPandas(run, "query_id long, vec_id long, score double")
-    )
-    found = scratch.write(found, f"found-{uuid.uuid4().hex[:6]}").distinct()
+    distinct = clean.dropDuplicates(["vec_id", "v"])
+    schema = "query_id long, vec_id long, score double"
+    found = [
+        _search(distinct.where(F.size("v") == dim), is_query, n, dim, k, pivots, schema)
+        for dim, n in clean.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()
+    ]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = scratch.write(functools.reduce(DataFrame.unionByName, found), "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, is_query: Column, count: int, dim: int, k: int, pivots: int, schema: str) -> DataFrame:
+    """(query_id, vec_id, score) over vectors of ``dim`` components: the k best of each block."""
+    sample = rows.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()
+    points = np.asarray([r["v"] for r in sample])
+    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+
+    def numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, dim)
+
+    def search(block: Block, asked: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in block.search(*numbers(asked), k)], names=["query_id", "vec_id", "score"])
+
+    build = lambda batch: Block(*numbers(batch), points)
+    return search_blocks(rows, rows.where(is_query), max(1, -(-count // BLOCK_ROWS)), build, search, schema)

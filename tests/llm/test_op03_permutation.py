@@ -32,13 +32,27 @@ def test_recall_against_brute_force(spark):
     assert set(found) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.9
 
 
-def test_footrule_and_files():
+def test_postings_give_the_footrule_distance():
     rng = np.random.default_rng(0)
-    x, pivots = rng.normal(size=(40, 8)), rng.normal(size=(12, 8))
-    position = P.orders(x, pivots)
-    assert all(sorted(p) == list(range(12)) for p in position)
-    files = P.inverted_files(position)
-    assert (P.footrule(files, position[3]) == np.abs(position - position[3]).sum(axis=1)).all()
+    x, pivots = rng.normal(size=(60, 8)), rng.normal(size=(40, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = P.prefixes(unit, pivots, 12)
+    assert (near == np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :12]).all()
+    block = P.Block(np.arange(60), x, pivots[:12])
+    assert block.size == 12 and all(len(set(block.row[block.start[i] : block.start[i + 1]])) == 60 for i in range(12))
+    block = P.Block(np.arange(60), x, pivots)
+    block_near = P.prefixes(block.vectors / block.length[:, None], pivots)
+    size = block.size
+    position = np.full((60, len(pivots)), size)
+    np.put_along_axis(position, block_near, np.arange(size)[None, :], axis=1)
+    for q in range(5):
+        footrule = np.abs(position - position[q]).sum(axis=1)
+        assert (size * (size + 1) - 2 * block.closeness(block_near[q]) == footrule).all()
+
+
+def test_ties_of_a_prefix():
+    pivots = np.asarray([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
+    assert P.prefixes(np.asarray([[1.0, 0.0]]), pivots, 3).tolist() == [[0, 2, 1]]
 
 
 def test_edges(spark):
@@ -47,6 +61,8 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     out = [tuple(r) for r in P.nearest(spark, df, F.col("vec_id").isin(0, 3, 4, 5)).orderBy("rank").collect()]
     assert out == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 10, 0.0)]
+    more = df.unionByName(spark.createDataFrame([(11, [3.0])], "vec_id long, embedding array<double>").withColumn("score", F.lit("y")))
+    assert [tuple(r) for r in P.nearest(spark, more, F.col("vec_id") == 9).collect()] == [(9, 1, 11, 1.0)]
     assert P.nearest(spark, df.limit(0), F.lit(True)).count() == 0
 
 
