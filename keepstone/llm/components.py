@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from keepstone.llm.common import Scratch
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the m of their u. The key is one that neither side is dealt by yet, so that both are shuffled
+    for the join and the edges of a node with very many neighbours can be split among tasks."""
+    keyed = least.select(F.bitwise_not("u").alias("k"), "m")
+    return edges.withColumn("k", F.bitwise_not("u")).join(keyed, "k").drop("k")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v), u > v. Neighbourhoods are only ever reduced to their minimum, never gathered.
 
@@ -17,10 +24,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u != v").distinct()
 

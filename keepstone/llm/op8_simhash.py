@@ -11,11 +11,12 @@ salt, and pairs of blocks are dealt to different tasks. Links go to connected co
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.llm.common import released, Scratch, slices, texts, utf8
@@ -69,10 +70,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(released(run), "doc_id long, fp long")
 
 
-def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Hamming distances of unsigned fingerprints to fixed reference fingerprints (a row for each pivot)."""
-    refs = np.random.default_rng(8).integers(0, 1 << 64, pivots, np.uint64)
-    return np.stack([np.bitwise_count(fps ^ r).astype(np.int8) for r in refs])
+def references() -> np.ndarray:
+    """The fixed reference fingerprints."""
+    return np.random.default_rng(8).integers(0, 1 << 64, PIVOTS, np.uint64)
+
+
+def coordinates(fp: Column) -> list[Column]:
+    """The pivot table's row of a fingerprint: Hamming distances to the reference fingerprints, eight to a long."""
+    distance = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(int(r))))).cast("long") for r in references()]
+    eights = [distance[i : i + 8] for i in range(0, PIVOTS, 8)]
+    return [functools.reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * i) for i, d in enumerate(part)]) for part in eights]
+
+
+def unpacked(longs: list[np.ndarray]) -> np.ndarray:
+    """The pivot table of packed coordinates: a row for each pivot."""
+    return np.concatenate([np.ascontiguousarray(x).view(np.int8).reshape(-1, 8).T for x in longs])
 
 
 def close_pairs(left: np.ndarray, right: np.ndarray, fps: np.ndarray, table: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -85,9 +97,8 @@ def close_pairs(left: np.ndarray, right: np.ndarray, fps: np.ndarray, table: np.
     return alive[np.bitwise_count(fps[left[alive]] ^ fps[right[alive]]) <= most]
 
 
-def _pairs_in_runs(key: np.ndarray, fps: np.ndarray, side: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_in_runs(key: np.ndarray, fps: np.ndarray, side: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs among rows of equal key (sorted); rows of side 1 and 2 meet each other only, side 0 meets all."""
-    table = pivot_table(fps)
     active = np.arange(len(key))
     out_a, out_b = [], []
     step = 1
@@ -112,15 +123,18 @@ def links(spark: SparkSession, classes: DataFrame, most: int = MOST_BITS, block:
     """
     if most > 3:
         raise ValueError("four segments cover three bits at most")
-    posted = classes.select(
+    packed = [c.alias(f"c{i}") for i, c in enumerate(coordinates(F.col("fp")))]  # once for a class, before it is posted
+    coords = [f"c{i}" for i in range(len(packed))]
+    posted = classes.select("id", "fp", *packed).select(
         "id",
         "fp",
+        *coords,
         F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("seg", "val"),
     )
     # Postings beyond one block; as many rows as such postings, each of which has over ``block`` classes.
     large = posted.groupBy("seg", "val").count().where(F.col("count") > block)
     salts = F.coalesce(F.ceil(F.col("count") / block).cast("int"), F.lit(1))
-    dealt = posted.join(large, ["seg", "val"], "left").select("id", "fp", "seg", "val", salts.alias("n"))
+    dealt = posted.join(large, ["seg", "val"], "left").select("id", "fp", *coords, "seg", "val", salts.alias("n"))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), "n").cast("int"))
     # A block meets itself and every other block of its posting.
     grid = dealt.withColumn("t", F.explode(F.expr("sequence(0, n - 1)"))).select(
@@ -130,15 +144,16 @@ def links(spark: SparkSession, classes: DataFrame, most: int = MOST_BITS, block:
         F.least("s", "t").alias("x"),
         F.greatest("s", "t").alias("y"),
         F.expr("case when s = t then 0 when s < t then 1 else 2 end").alias("side"),
+        *coords,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def solve(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            ids, fps, posting, x, y, side = rows
+            ids, fps, posting, x, y, side, *longs = rows
             key = np.cumsum(np.concatenate([[0], (np.diff(posting) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)]))
-            a, b = _pairs_in_runs(key, fps.view(np.uint64), side, most)
+            a, b = _pairs_in_runs(key, fps.view(np.uint64), side, unpacked(longs), most)
             return pa.record_batch([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
 
         for batch in batches:

@@ -53,10 +53,20 @@ def test_coordinates_never_discard_a_link():
     near = fps ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
     both = np.concatenate([fps, near])
     left, right = (x.ravel() for x in np.meshgrid(np.arange(800), np.arange(800)))
-    hits = H.close_pairs(left, right, both, H.pivot_table(both))
+    table = np.stack([np.bitwise_count(both ^ r) for r in H.references()]).astype(np.int8)
+    hits = H.close_pairs(left, right, both, table)
     assert set(hits.tolist()) == set(np.flatnonzero(np.bitwise_count(both[left] ^ both[right]) <= 3).tolist())
 
 
+def test_packed_coordinates(spark):
+    fps = np.random.default_rng(3).integers(0, 1 << 64, 50, np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    rows = df.select("fp", *H.coordinates(df["fp"])).collect()
+    found = H.unpacked([np.asarray([r[i] for r in rows], np.int64) for i in (1, 2, 3)])
+    mine = np.asarray([r[0] for r in rows], np.int64).view(np.uint64)
+    assert (found == np.stack([np.bitwise_count(mine ^ r) for r in H.references()])).all()
+
+
 @pytest.mark.parametrize("block", [2, 1024])
 def test_links_against_all_pairs(spark, block):
     rng = random.Random(1)
