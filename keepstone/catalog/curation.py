@@ -156,15 +156,21 @@ def g_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL}, {_REJECT}, b AS (SELECT v.id, n.person_id, max(list_dot_product(v.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS s FROM vectors v JOIN vectors n ON n.label_source = 'user' WHERE v.label_source IS NULL AND NOT v.ignored GROUP BY 1, 2),
-auto AS (SELECT id, arg_max(person_id, s) AS p FROM b WHERE s >= 0.4 GROUP BY id)
-SELECT v.id, coalesce(CASE WHEN v.label_source = 'user' THEN v.person_id ELSE p END, -1) AS person_id, CASE WHEN v.label_source = 'user' THEN 'user' WHEN p IS NOT NULL THEN 'auto' END AS label_source, v.label_source IS NULL AND NOT v.ignored AND p IS NULL AS grouped
-FROM vectors v LEFT JOIN auto ON auto.id = v.id
+WITH RECURSIVE {SQL}, {_REJECT}, b AS (SELECT v.id, n.person_id, max(list_dot_product(v.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS s FROM vectors v JOIN vectors n ON n.label_source = 'user' WHERE v.label_source IS NULL AND NOT v.ignored GROUP BY 1, 2),
+ok AS (SELECT * FROM b WHERE s >= 0.3 AND NOT EXISTS (SELECT 1 FROM rej WHERE rej.id = b.id AND rej.person_id = b.person_id)),
+auto AS (SELECT id, person_id AS p, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, person_id) AS rn FROM ok) WHERE rn = 1),
+u AS (SELECT id, embedding::DOUBLE[] AS v FROM vectors WHERE NOT ignored AND label_source IS NULL AND id NOT IN (SELECT id FROM auto)), s AS (SELECT a.id, b.id AS other, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON TRUE),
+near AS (SELECT id, other, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, other) AS rn FROM s) WHERE rn <= 10),
+links AS (SELECT id, other FROM near WHERE s >= 0.25 AND id != other), mutual AS (SELECT a.id, a.other FROM links a JOIN links b ON a.id = b.other AND a.other = b.id),
+reach AS (SELECT id AS node, id AS other FROM u UNION SELECT r.node, m.other FROM reach r JOIN mutual m ON m.id = r.other), gr AS (SELECT node, min(other) AS g FROM reach GROUP BY node)
+SELECT v.id, coalesce(CASE WHEN v.label_source = 'user' THEN v.person_id ELSE p END, -1) AS person_id, CASE WHEN v.label_source = 'user' THEN 'user' WHEN p IS NOT NULL THEN 'auto' END AS label_source, coalesce(round(auto.s, 6), -2) AS similarity, coalesce(g, -1) AS group_id
+FROM vectors v LEFT JOIN auto ON auto.id = v.id LEFT JOIN gr ON gr.node = v.id
 """)
 def i_label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "id long, person_id long")
-    out = V.assign(vectors(spark, sf_dir), none, 0.4, 0.5, 10)
-    return out.fillna(-1, ["person_id"]).select("id", "person_id", "label_source", F.col("group_id").isNotNull().alias("grouped"))
+    v = vectors(spark, sf_dir)
+    rejected = v.where("id % 7 = 3").select("id", F.col("label").cast("long").alias("person_id"))
+    out = V.assign(v, rejected, 0.3, 0.25, 10)
+    return out.select("id", F.coalesce("person_id", F.lit(-1)).alias("person_id"), "label_source", F.coalesce(F.round("similarity", 6), F.lit(-2.0)).alias("similarity"), F.coalesce("group_id", F.lit(-1)).alias("group_id"))
 
 
 _KNOWN = f"""{SQL}, k AS (SELECT path, size, CASE WHEN doc_id % 6 = 0 THEN mtime - 5 ELSE mtime END AS mtime, status, CASE WHEN status = 'junk' THEN NULL ELSE sha256 END AS sha256 FROM sources WHERE doc_id % 4 != 0)"""
@@ -243,12 +249,20 @@ def b_redate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.redate(r, paths, r.where("favorite"), 2026).select("sha256", "taken_at", "date_source", "name")
 
 
+
+
+def _digest(c: str) -> str:
+    """SQL of ``unordered_digest``."""
+    return f"count({c}) || '-' || bit_xor(CAST('0x' || substr({c}, 1, 15) AS BIGINT)) || '-' || CAST(sum(CAST('0x' || substr({c}, 16, 8) AS BIGINT)) AS BIGINT)"
+
+
 _DAYS = f"""{SQL}, d AS (SELECT strftime(taken_at, '%Y-%m-%d') AS day, moment_id, list(sha256 ORDER BY sha256) AS m FROM grouped GROUP BY 1, 2)"""
 
 
 @query(f"""
-WITH {_DAYS} SELECT day, sha256(list_aggregate(list_sort(flatten(list(m))), 'string_agg', chr(10))) AS members_sig,
-    sha256(list_aggregate(list_sort(list(list_aggregate(m, 'string_agg', ','))), 'string_agg', chr(10))) AS groups_sig, sum(len(m))::BIGINT AS records FROM d GROUP BY day
+WITH {_DAYS}, g AS (SELECT day, sha256(d) AS h, n FROM (SELECT strftime(taken_at, '%Y-%m-%d') AS day, moment_id, {_digest('sha256')} AS d, count(*) AS n FROM grouped GROUP BY 1, 2)),
+m AS (SELECT strftime(taken_at, '%Y-%m-%d') AS day, {_digest('sha256')} AS members_sig FROM grouped GROUP BY 1)
+SELECT day, any_value(members_sig) AS members_sig, {_digest('h')} AS groups_sig, sum(n)::BIGINT AS records FROM g JOIN m USING (day) GROUP BY day
 """)
 def e_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.fingerprints(grouped(spark, sf_dir).withColumn("day", F.date_format("taken_at", "yyyy-MM-dd")))
@@ -276,8 +290,7 @@ SELECT sha256, (SELECT arg_min(moment_id, strftime(taken_at, '%Y%m%d%H%M%S') ||
 def j_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ranking.score_groups(grouped(spark, sf_dir), Curation())
     two = scored.groupBy("moment_id").agg(F.min("taken_at").alias("t")).orderBy("t", "moment_id").limit(2)
-    chosen = [r[0] for r in scored.where("is_best").join(F.broadcast(two), "moment_id").select("sha256").collect()]
-    return edits.combine(scored, chosen)
+    return edits.combine(scored, scored.where("is_best").join(F.broadcast(two), "moment_id", "left_semi"))
 
 
 @query("""
@@ -300,12 +313,16 @@ def j_set_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT sha256, camera, CASE WHEN event_id % 202 = 0 THEN NULL ELSE sharpness END AS sharpness FROM records WHERE NOT (deleted AND event_id % 202 != 0)
+WITH {SQL} SELECT 'record' AS kind, sha256, camera, CASE WHEN event_id % 202 = 0 THEN NULL ELSE sharpness END AS sharpness FROM records WHERE NOT (deleted AND event_id % 202 != 0)
+UNION ALL SELECT 'tag', sha256, 'x', NULL FROM records WHERE event_id % 3 = 0 AND NOT deleted
 """)
 def j_delete_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after a deletion and a part of it taken back, and tags, of which those of deleted records are gone."""
     r = records(spark, sf_dir)
-    left, stones, _ = edits.delete(r, r.where("deleted"), {})
-    return edits.restore(left, stones, r.where("event_id % 202 = 0"), ["sharpness"]).select("sha256", "camera", "sharpness")
+    tags = r.where("event_id % 3 = 0").select("sha256", F.lit("x").alias("camera"))
+    left, stones, dependents = edits.delete(r, r.where("deleted"), {"tags": tags})
+    back = edits.restore(left, stones, r.where("event_id % 202 = 0"), ["sharpness"]).select(F.lit("record").alias("kind"), "sha256", "camera", "sharpness")
+    return back.unionByName(dependents["tags"].withColumn("kind", F.lit("tag")), allowMissingColumns=True)
 
 
 @query(f"WITH {SQL} SELECT slug, start, \"end\", parent FROM ranges WHERE slug NOT LIKE 'winter-trip%' UNION ALL SELECT 'spring', TIMESTAMP '2024-03-01', TIMESTAMP '2024-03-05', NULL")
@@ -315,14 +332,21 @@ def j_name_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_range(unname(ranges(spark), "winter-trip"), "spring", "2024-03-05", "2024-03-01")
 
 
+_WAS = "was AS (SELECT id, label AS person_id FROM vectors WHERE id % 3 = 0)"
+
+
 @query(f"""
-WITH {SQL} SELECT id, coalesce(CASE WHEN id % 11 = 0 THEN 3 ELSE person_id END, -1) AS person_id, CASE WHEN id % 11 = 0 THEN 'user' ELSE label_source END AS label_source, id % 11 != 0 AND ignored AS ignored FROM vectors
+WITH {SQL}, {_WAS}, r AS (SELECT * FROM was WHERE NOT (id % 11 = 0 AND person_id = 3) UNION SELECT id, person_id FROM vectors WHERE id % 11 = 0 AND person_id IS NOT NULL AND person_id != 3)
+SELECT id, coalesce(CASE WHEN id % 11 = 0 THEN 3 ELSE person_id END, -1) AS person_id, CASE WHEN id % 11 = 0 THEN 'user' ELSE label_source END AS label_source, id % 11 != 0 AND ignored AS ignored, FALSE AS rejected FROM vectors
+UNION ALL SELECT id, person_id, NULL, NULL, TRUE FROM r
 """)
 def j_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after every eleventh was named, and the rejections that this leaves."""
     v = vectors(spark, sf_dir)
-    chosen = [r[0] for r in v.where("id % 11 = 0").select("id").collect()]  # what a user picked
-    named, _ = edits.identify(v, v.where("false").select("id", F.col("label").cast("long").alias("person_id")), chosen, 3)
-    return named.fillna(-1, ["person_id"]).select("id", "person_id", "label_source", "ignored")
+    before = v.where("id % 3 = 0").select("id", F.col("label").cast("long").alias("person_id"))
+    named, rejected = edits.identify(v, before, v.where("id % 11 = 0"), 3)
+    rows = named.fillna(-1, ["person_id"]).select("id", "person_id", "label_source", "ignored", F.lit(False).alias("rejected"))
+    return rows.unionByName(rejected.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 8 = 0 AND l_suppkey IS NOT NULL)")

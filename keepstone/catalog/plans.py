@@ -148,11 +148,10 @@ def l_export_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def m_exact_copies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each content once, read as a stream of files to its end."""
+    """Each content once, read as a stream of files to its end; what is stored is the state."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     stream = incremental.stream_table(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "documents").schema)
-    keyed = stream.select(F.sha2("text", 256).alias("sha256"), F.lit("2024-01-01").cast("timestamp").alias("at"))
-    incremental.run_available(incremental.first_of_content(keyed, "at", "1 hour"), f"{root}/out", f"{root}/log")
+    incremental.store_new(stream.select(F.sha2("text", 256).alias("sha256")), ["sha256"], f"{root}/out", f"{root}/log")
     return spark.read.parquet(f"{root}/out").select("sha256")
 
 

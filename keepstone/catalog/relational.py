@@ -67,10 +67,17 @@ def d_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT slug, coalesce(string_agg(slug, ',') OVER (ORDER BY start, slug ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS later FROM ranges
+WITH {SQL}, h AS (SELECT date_trunc('hour', taken_at) AS h, min(taken_at) AS start, max(taken_at) AS "end" FROM records GROUP BY 1),
+s AS (SELECT *, strftime(start, '%Y%m%d_%H%M%S') AS id, list(struct_pack(id := strftime(start, '%Y%m%d_%H%M%S'), e := "end")) OVER (ORDER BY start ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS l FROM h),
+p AS (SELECT s.*, (SELECT arg_min(r."end", r.start) FROM ranges r WHERE r.parent IS NULL AND r.start <= s.start AND s."end" <= r."end") AS until FROM s)
+SELECT id, coalesce(array_to_string(list_transform(list_filter(l, lambda x: until IS NULL OR x.e <= until), lambda x: x.id), ','), '') AS later FROM p
 """)
 def f_later_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.later_siblings(ranges(spark), 2).select("slug", F.array_join("later", ",").alias("later"))
+    """Hours with records as suggestions; those after each one, but none beyond the range that it lies in."""
+    h = records(spark, sf_dir).groupBy(F.date_trunc("hour", "taken_at").alias("h")).agg(F.min("taken_at").alias("start"), F.max("taken_at").alias("end"))
+    found = h.select(F.date_format("start", "yyyyMMdd_HHmmss").alias("slug"), "start", "end")
+    out = intervals.later_within(found, ranges(spark), 15)
+    return out.select(F.col("slug").alias("id"), F.array_join("later", ",").alias("later"))
 
 
 @query(f"""

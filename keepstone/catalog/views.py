@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstone.adapters import SQL, grouped, ranges, records, sources, table, vectors
 from keepstone.catalog import query
-from keepstone.catalog.curation import _DAYS, _SCORED
+from keepstone.catalog.curation import _SCORED, _digest
 from keepstone.config import Curation
 from keepstone.operators import edits, ingest, status, views
 from keepstone.operators.ranking import score_groups
@@ -87,23 +87,29 @@ def j_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL} SELECT id, coalesce(CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE person_id END, -1) AS person_id, CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE label_source END AS label_source, id % 10 = 1 OR ignored AS ignored FROM vectors
+WITH {SQL} SELECT id, coalesce(CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE person_id END, -1) AS person_id, CASE WHEN id % 10 IN (0, 1) THEN NULL ELSE label_source END AS label_source, id % 10 = 1 OR ignored AS ignored, FALSE AS rejected FROM vectors
+UNION ALL SELECT id, person_id, NULL, NULL, TRUE FROM vectors WHERE id % 10 = 0 AND person_id IS NOT NULL UNION ALL SELECT id, label, NULL, NULL, TRUE FROM vectors WHERE id % 15 = 1
 """)
 def j_unlabel_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after some lost their names and others were ignored, and the rejections that this leaves."""
     v = vectors(spark, sf_dir)
-    picked = lambda n: [r[0] for r in v.where(f"id % 10 = {n}").select("id").collect()]  # noqa: E731  what a user picked
-    plain, _ = edits.unlabel(v, v.where("false").select("id", F.col("label").cast("long").alias("person_id")), picked(0))
-    return edits.ignore(plain, picked(1)).fillna(-1, ["person_id"]).select("id", "person_id", "label_source", "ignored")
+    before = v.where("id % 15 = 1").select("id", F.col("label").cast("long").alias("person_id"))
+    plain, rejected = edits.unlabel(v, before, v.where("id % 10 = 0"))
+    rows = edits.ignore(plain, v.where("id % 10 = 1")).fillna(-1, ["person_id"])
+    rows = rows.select("id", "person_id", "label_source", "ignored", F.lit(False).alias("rejected"))
+    return rows.unionByName(rejected.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
 
 
 @query(f"""
-WITH {_DAYS}, c AS (SELECT DISTINCT day FROM d) SELECT day FROM c WHERE CAST(substr(day, 9, 2) AS INTEGER) % 2 = 1 AND CAST(substr(day, 9, 2) AS INTEGER) % 3 != 0 OR CAST(substr(day, 9, 2) AS INTEGER) % 2 = 0 AND CAST(substr(day, 9, 2) AS INTEGER) % 3 = 0
+WITH {SQL}, m AS (SELECT strftime(taken_at, '%Y-%m-%d') AS day, CAST(strftime(taken_at, '%d') AS INTEGER) AS n, {_digest('sha256')} AS members_sig, count(*) AS records FROM grouped GROUP BY 1, 2)
+SELECT day, CASE WHEN n % 2 = 1 AND n % 7 = 0 AND n % 3 != 0 THEN 'other' ELSE members_sig END AS members_sig, records FROM m WHERE n % 2 = 1 AND n % 3 != 0 OR n % 2 = 0 AND n % 3 = 0 OR n % 2 = 1 AND n % 3 = 0 AND n % 7 = 0
 """)
 def j_toggle_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked odd days; every third day is clicked."""
+    """Marked odd days, of which every seventh has changed since; every third day is clicked."""
     now = status.fingerprints(grouped(spark, sf_dir).withColumn("day", F.date_format("taken_at", "yyyy-MM-dd")))
     n = F.substring("day", 9, 2).cast("int")
-    return status.toggle_reviewed(now.where(n % 2 == 1), now, now.where(n % 3 == 0)).select("day")
+    marks = now.where(n % 2 == 1).withColumn("members_sig", F.when(n % 7 == 0, "other").otherwise(F.col("members_sig")))
+    return status.toggle_reviewed(marks, now, now.where(n % 3 == 0)).select("day", "members_sig", "records")
 
 
 @query(f"""

@@ -235,3 +235,11 @@ def unit(v: Column) -> Column:
 def set_digest(values: Column) -> Column:
     """SHA-256 of sorted texts, one a line."""
     return F.sha2(F.array_join(F.array_sort(values), "\n"), 256)
+
+
+def unordered_digest(value: Column) -> Column:
+    """Aggregate: a digest of a set of SHA-256 texts that doesn't depend on their order and is added up in parts: their
+    number, the exclusive or of their first 60 bits and the sum of the 32 bits behind. Nulls don't count."""
+    bits = lambda at, n: F.conv(F.substring(value, at, n), 16, 10).cast("long")
+    parts = F.count(value), F.coalesce(F.bit_xor(bits(1, 15)), F.lit(0)), F.coalesce(F.sum(bits(16, 8)), F.lit(0))
+    return F.concat_ws("-", *[p.cast("string") for p in parts])

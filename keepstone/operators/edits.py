@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepstone.functions.scalars import clean_tag
+from keepstone.functions.scalars import clean_tag, unordered_digest
 
 
 def latest(log: DataFrame, key: list[str]) -> DataFrame:
@@ -21,40 +21,85 @@ def pick_best(records: DataFrame, moment_id: str, sha256: str | None) -> DataFra
     return records.withColumn("user_best", F.when(here, F.col("sha256") == F.lit(sha256) if sha256 else F.lit(False)).otherwise(F.col("user_best")))
 
 
-def combine(records: DataFrame, chosen: list[str]) -> DataFrame:
-    """(sha256, moment_id) overrides that put the groups of the chosen best members into one.
+def combine(records: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(sha256, moment_id) overrides that put the groups of the chosen (sha256) best members into one.
 
     The target is the group of the earliest member. Fewer than two groups, or a member that isn't best, is an error.
     """
-    picked = records.where(F.col("sha256").isin(chosen)).select("sha256", "moment_id", "is_best").collect()  # as many as chosen
-    if len(picked) != len(set(chosen)) or not all(r["is_best"] for r in picked):
+    keys = chosen.select("sha256").distinct()
+    picked = records.join(keys, "sha256", "left_semi")
+    groups = picked.select("moment_id").distinct()
+    found, best, several = picked.agg(F.count("*"), F.count_if("is_best"), F.count_distinct("moment_id")).first()
+    if found != keys.count() or best != found:
         raise ValueError("choose best members only")
-    groups = sorted({r["moment_id"] for r in picked})
-    if len(groups) < 2:
+    if several < 2:
         raise ValueError("choose members of two groups at least")
-    members = records.where(F.col("moment_id").isin(groups))
+    members = records.join(groups, "moment_id", "left_semi")
     target = members.agg(F.min_by("moment_id", F.struct("taken_at", "sha256"))).first()[0]
     return members.select("sha256", F.lit(target).alias("moment_id"))
 
 
-def split_id(moment_id: str, chosen: list[str], occupied: set[str] = frozenset()) -> str:
-    """A stable id for the part that leaves a group."""
-    seed, n = f"split:{moment_id}:{':'.join(sorted(chosen))}", 0
+def split_id(moment_id: str, digest: str, occupied: DataFrame | None = None) -> str:
+    """A stable id for the part that leaves a group, from a digest of its members; ids that ``occupied`` (moment_id) has
+    are passed over."""
+    n = 0
     while True:
-        made = hashlib.sha256((seed if not n else f"{seed}:{n}").encode()).hexdigest()
-        if made not in occupied:
+        made = hashlib.sha256(f"split:{moment_id}:{digest}{f':{n}' if n else ''}".encode()).hexdigest()
+        if occupied is None or occupied.where(F.col("moment_id") == made).isEmpty():
             return made
         n += 1
 
 
-def split(records: DataFrame, moment_id: str, chosen: list[str]) -> DataFrame:
-    """(sha256, moment_id) overrides for both parts of a group; refuses an empty or a full part."""
-    members = records.where(F.col("moment_id") == moment_id).select("sha256")
-    total, inside = members.agg(F.count("*"), F.count_if(F.col("sha256").isin(chosen))).first()
-    if not chosen or inside != len(set(chosen)) or inside == total:
+def split(records: DataFrame, moment_id: str, chosen: DataFrame) -> DataFrame:
+    """(sha256, moment_id) overrides for both parts of a group, of which the chosen (sha256) leave; refuses an empty or a
+    full part."""
+    keys = chosen.select("sha256", F.lit(True).alias("_out")).distinct()
+    members = records.where(F.col("moment_id") == moment_id).select("sha256").join(keys, "sha256", "left")
+    out = F.when(F.col("_out"), F.col("sha256"))
+    total, inside, digest = members.agg(F.count("*"), F.count(out), unordered_digest(out)).first()
+    if not inside or inside != keys.count() or inside == total:
         raise ValueError("choose some, but not all, members of the group")
-    new = split_id(moment_id, chosen)
-    return members.select("sha256", F.when(F.col("sha256").isin(chosen), new).otherwise(F.lit(moment_id)).alias("moment_id"))
+    new = split_id(moment_id, digest, records.select("moment_id"))
+    return members.select("sha256", F.when(F.col("_out"), new).otherwise(F.lit(moment_id)).alias("moment_id"))
+
+
+def regroup(records: DataFrame, overrides: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, touched, pins) after manual changes of groups, overrides (sha256, moment_id), for those records alone.
+
+    touched (moment_id) has old and new groups; pins of touched groups that have no member left go.
+    """
+    o = overrides.select("sha256", F.col("moment_id").alias("_m"))
+    joined = records.join(o, "sha256", "left")
+    old = joined.where("_m is not null").select("moment_id")
+    moved = joined.withColumn("moment_id", F.coalesce("_m", "moment_id")).select(*records.columns)
+    touched = old.unionByName(o.select(F.col("_m").alias("moment_id"))).distinct()
+    empty = touched.join(moved.select("moment_id"), "moment_id", "left_anti")
+    return moved, touched, pins.join(empty, "moment_id", "left_anti")
+
+
+def set_pin(pins: DataFrame, moments: DataFrame, chosen: DataFrame, pinned: bool) -> DataFrame:
+    """pins (moment_id) with the chosen groups added or taken away; groups that have no member are not added."""
+    keys = chosen.select("moment_id").distinct()
+    if not pinned:
+        return pins.join(keys, "moment_id", "left_anti")
+    return pins.unionByName(keys.join(moments.select("moment_id"), "moment_id", "left_semi")).distinct()
+
+
+def pin_starred(pins: DataFrame, records: DataFrame, starred: DataFrame) -> DataFrame:
+    """Starring a record pins its group; taking the star off later leaves the pin."""
+    return set_pin(pins, records, records.join(starred.select("sha256"), "sha256", "left_semi"), True)
+
+
+def save_draft(drafts: DataFrame, name: str, fields: DataFrame) -> DataFrame:
+    """drafts (name, body) with the one row of ``fields`` stored under a name as JSON; nulls are left out."""
+    made = fields.limit(1).select(F.lit(name).alias("name"), F.to_json(F.struct(*fields.columns)).alias("body"))
+    return drafts.where(F.col("name") != name).unionByName(made)
+
+
+def load_draft(drafts: DataFrame, name: str, schema: str) -> DataFrame:
+    """The stored fields; a name that isn't there gives one row of nulls, unknown fields are dropped."""
+    body = drafts.where(F.col("name") == name).agg(F.coalesce(F.max("body"), F.lit("{}")).alias("body"))
+    return body.select(F.from_json("body", schema).alias("d")).select("d.*")
 
 
 def undo(now: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -121,19 +166,25 @@ def restore(records: DataFrame, tombstones: DataFrame, wanted: DataFrame, derive
     return records.unionByName(back.select(*records.columns))
 
 
-def identify(vectors: DataFrame, rejections: DataFrame, chosen: list[int], person: int) -> tuple[DataFrame, DataFrame]:
-    """Name vectors: the old person becomes a rejection, a rejection of the new one goes, ignored is cleared."""
-    hit = F.col("id").isin(chosen)
-    old = vectors.where(hit & F.col("person_id").isNotNull() & (F.col("person_id") != person)).select("id", "person_id")
-    kept = rejections.where(~(hit & (F.col("person_id") == person))).select("id", "person_id")
-    named = vectors.withColumns(
+def _chosen(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """vectors plus ``_hit`` for those that were chosen (id)."""
+    return vectors.join(chosen.select("id", F.lit(True).alias("_c")).distinct(), "id", "left").withColumn("_hit", F.coalesce("_c", F.lit(False))).drop("_c")
+
+
+def identify(vectors: DataFrame, rejections: DataFrame, chosen: DataFrame, person: int) -> tuple[DataFrame, DataFrame]:
+    """Name the chosen (id) vectors: the old person becomes a rejection, a rejection of the new one goes, ignored is cleared."""
+    marked, hit = _chosen(vectors, chosen), F.col("_hit")
+    old = marked.where(hit & F.col("person_id").isNotNull() & (F.col("person_id") != person)).select("id", "person_id")
+    undone = chosen.select("id", F.lit(person).cast("long").alias("person_id")).distinct()
+    kept = rejections.select("id", "person_id").join(undone, ["id", "person_id"], "left_anti")
+    named = marked.withColumns(
         {
             "person_id": F.when(hit, F.lit(person).cast("long")).otherwise(F.col("person_id")),
             "label_source": F.when(hit, "user").otherwise(F.col("label_source")),
             "ignored": F.when(hit, F.lit(False)).otherwise(F.col("ignored")),
         }
     )
-    return named, kept.unionByName(old).distinct()
+    return named.select(*vectors.columns), kept.unionByName(old).distinct()
 
 
 def orphans(people: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -164,21 +215,21 @@ def set_flag(records: DataFrame, chosen: DataFrame, flag: str, value: bool | Non
     return records.join(c, "sha256", "left").withColumn(flag, F.when(F.col("_c"), new).otherwise(F.col(flag))).select(*records.columns)
 
 
-def unlabel(vectors: DataFrame, rejections: DataFrame, chosen: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Take names off: what was given by a user or automatically becomes a rejection."""
-    hit = F.col("id").isin(chosen)
-    old = vectors.where(hit & F.col("person_id").isNotNull()).select("id", "person_id")
+def unlabel(vectors: DataFrame, rejections: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Take names off the chosen (id): what was given by a user or automatically becomes a rejection."""
+    marked, hit = _chosen(vectors, chosen), F.col("_hit")
+    old = marked.where(hit & F.col("person_id").isNotNull()).select("id", "person_id")
     blank = {c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in ("person_id", "label_source")}
-    return vectors.withColumns(blank), rejections.select("id", "person_id").unionByName(old).distinct()
+    return marked.withColumns(blank).select(*vectors.columns), rejections.select("id", "person_id").unionByName(old).distinct()
 
 
-def ignore(vectors: DataFrame, chosen: list[int], value: bool = True) -> DataFrame:
-    """Ignored vectors lose their name; taking it back only lifts the mark."""
-    hit = F.col("id").isin(chosen)
-    out = vectors.withColumn("ignored", F.when(hit, F.lit(value)).otherwise(F.col("ignored")))
+def ignore(vectors: DataFrame, chosen: DataFrame, value: bool = True) -> DataFrame:
+    """Chosen (id) vectors that are ignored lose their name; taking it back only lifts the mark."""
+    marked, hit = _chosen(vectors, chosen), F.col("_hit")
+    out = marked.withColumn("ignored", F.when(hit, F.lit(value)).otherwise(F.col("ignored")))
     if value:
         out = out.withColumns({c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in ("person_id", "label_source")})
-    return out
+    return out.select(*vectors.columns)
 
 
 def forget_missing(records: DataFrame, tombstones: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:

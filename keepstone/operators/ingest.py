@@ -18,13 +18,17 @@ def unchanged(kind: Column) -> Column:
 
 
 def ingest_plan(listing: DataFrame, known: DataFrame, now: float | None = None, settle: float = 120.0) -> DataFrame:
-    """listing (path, size, mtime) plus kind, batch and action: unchanged, arriving, empty, new or changed."""
+    """listing (path, size, mtime) plus kind, batch and action: unchanged, arriving, empty, new or changed.
+
+    A listing may have a ctime as well: a file settles from the later of both on.
+    """
     k = known.select("path", *[F.col(c).alias(f"known_{c}") for c in ("size", "mtime", "status", "sha256")], F.lit(True).alias("_known"))
     joined = listing.join(k, "path", "left").withColumns({"kind": file_kind(F.col("path")), "batch": batch_name(F.col("path"))})
     clock = F.lit(now) if now is not None else F.unix_timestamp().cast("double")
+    touched = F.greatest("mtime", "ctime") if "ctime" in listing.columns else F.col("mtime")
     action = (
         F.when(unchanged(F.col("kind")), "unchanged")
-        .when(clock - F.col("mtime") < settle, "arriving")
+        .when(clock - touched < settle, "arriving")
         .when(F.col("size") == 0, "empty")
         .when(F.col("_known").isNull(), "new")
         .otherwise("changed")
@@ -33,8 +37,9 @@ def ingest_plan(listing: DataFrame, known: DataFrame, now: float | None = None,
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with their key; among equal keys in ``new`` any one must be given."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Rows of ``new`` replace rows of ``old`` with their key; of rows of ``new`` with one key the least counts."""
+    one = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("_row")).select(key, "_row.*").select(*new.columns)
+    return old.join(new.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def route_content(batch: DataFrame, entities: DataFrame, tombstones: DataFrame) -> DataFrame:

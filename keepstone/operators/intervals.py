@@ -75,7 +75,29 @@ def unname(ranges: DataFrame, slug: str) -> DataFrame:
     return ranges.where((F.col("slug") != slug) & (F.coalesce("parent", F.lit("")) != slug))
 
 
-def later_siblings(ranges: DataFrame, most: int, keys: list[str] = ()) -> DataFrame:
-    """ranges plus the next ``most`` slugs by start."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("start", "slug").rowsBetween(1, most)
-    return ranges.withColumn("later", F.collect_list("slug").over(w))
+def later_siblings(ranges: DataFrame, most: int) -> DataFrame:
+    """ranges plus ``later``: (slug, end) of the next ``most`` by start.
+
+    Rows are ordered within their month; what a month needs of those after it are their first ``most`` rows, so no task
+    orders the whole table. A month reaches past months without rows.
+    """
+    rows = ranges.withColumn("_m", F.date_trunc("month", "start"))
+    months = Window.orderBy("_m")
+    named = rows.select("_m").distinct().withColumn("_i", F.row_number().over(months))  # one row for each month
+    rows = rows.join(F.broadcast(named), "_m").drop("_m")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy("start", "slug"))).where(F.col("_r") <= most)
+    ahead = first.select("slug", "start", "end", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("_k"), "_i").select("slug", "start", "end", (F.col("_i") - F.col("_k")).alias("_i"))
+    both = rows.withColumn("_own", F.lit(True)).unionByName(ahead.where("_i > 0").withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("_i").orderBy("start", "slug").rowsBetween(1, most)
+    return both.withColumn("later", F.collect_list(F.struct("slug", "end")).over(w)).where("_own").drop("_i", "_own")
+
+
+def later_within(found: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
+    """found (slug, start, end) plus ``later``: the slugs of the next ``most`` that end before the top-level range ends in
+    which a row lies as a whole; without such a range, all of them. The first range by start counts."""
+    top = ranges.where("parent is null").select(F.col("start").alias("_s"), F.col("end").alias("_e"), _days(F.col("start"), F.col("end")).alias("_d"))
+    inside = found.select("slug", "start", "end", F.to_date("start").alias("_d")).join(top, "_d").where((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")))
+    until = inside.groupBy("slug").agg(F.min_by("_e", "_s").alias("_until"))
+    rows = later_siblings(found, most).join(until, "slug", "left")
+    kept = F.filter("later", lambda x: F.col("_until").isNull() | (x["end"] <= F.col("_until")))
+    return rows.withColumn("later", F.transform(kept, lambda x: x["slug"])).drop("_until")

@@ -66,6 +66,40 @@ def post_name(day: Column, slug: Column) -> Column:
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), slug, F.lit(".md"))
 
 
+def block_quote(text: Column) -> Column:
+    """Each line as a quotation of its own."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.when(x == "", ">  ").otherwise(F.concat(F.lit("> "), x, F.lit("  "))), F.lit("\n  "))), "\n")
+
+
+def post_body(pictures: DataFrame, posts: DataFrame) -> DataFrame:
+    """(post, body) of posts (post, top_text, bottom_text) with their pictures (post, position, name, alt, text_before)
+    in order; what is blank is left out, blank lines stand between the parts."""
+    said = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    picture = F.concat(F.lit("!["), F.coalesce(F.trim("alt"), F.lit("")), F.lit("]({{ site.pics_url }}"), "name", F.lit(".jpg)"))
+    shown = pictures.select("post", F.struct("position", F.concat_ws("\n\n", said(F.col("text_before")), picture).alias("t")).alias("p"))
+    middle = shown.groupBy("post").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # the pictures of one post
+    middle = middle.select("post", F.array_join(F.transform("ps", lambda p: p["t"]), "\n\n").alias("middle"))
+    parts = [said(F.col("top_text")), F.col("middle"), said(F.col("bottom_text"))]
+    return posts.join(middle, "post", "left").select("post", F.concat_ws("\n\n", *parts).alias("body"))
+
+
+def post_head(title: Column, author: Column, categories: Column, tags: Column) -> Column:
+    """The header of a post; categories and tags are arrays, and empty ones are left out."""
+    quoted = F.concat(F.lit('title: "'), F.replace(F.trim(title), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), yaml_list(c)))
+    lines = [F.lit("---"), quoted, F.concat(F.lit("author: "), author), listed("categories", categories), listed("tags", tags), F.lit("---")]
+    return F.concat_ws("\n", *lines)
+
+
+def post_url(site: Column, file: Column, categories: Column) -> Column:
+    """Address of a post by its file's name; the site's own for a name that isn't a post's."""
+    part = lambda i: F.regexp_extract(file, r"^(\d{4})-(\d{2})-(\d{2})-(.+)\.md$", i)
+    base = F.regexp_replace(site, "/+$", "")
+    path = F.concat_ws("/", base, F.transform(categories, url_part), part(1), part(2), part(3), F.concat(part(4), F.lit(".html")))
+    return F.when(part(4) != "", path).otherwise(site)
+
+
 def human_size(size: Column) -> Column:
     """Bytes in the largest unit that leaves at least one, to one decimal from KB on."""
     out = F.format_string("%d B", size)

@@ -16,6 +16,43 @@ def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
+def store_new(stream: DataFrame, key: list[str], sink: str, checkpoint: str) -> StreamingQuery:
+    """Append to a Parquet table what it doesn't hold yet, each key once: a copy is a copy however late it comes.
+
+    What is stored is the state, so nothing grows in memory. A batch that runs again replaces its own part.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark, part = batch.sparkSession, f"{sink}/batch={number}"
+        fresh = batch.dropDuplicates(key)
+        jvm = spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(sink)
+        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            before = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch long").parquet(sink)
+            fresh = fresh.join(before.where(F.col("batch") != number).select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(part)
+
+    return each_batch(stream, handle, checkpoint)
+
+
+def run_latest(counts: DataFrame, key: list[str], sink: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest row of each key of an updating aggregate in a Parquet table; tables take turns, so a batch never
+    reads what it writes."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        here, other = f"{sink}-{number % 2}", f"{sink}-{(number + 1) % 2}"
+        rows = batch
+        if number:
+            rows = spark.read.schema(batch.schema).parquet(other).join(batch.select(*key), key, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(here)
+        spark.read.schema(batch.schema).parquet(here).write.mode("overwrite").parquet(sink)
+
+    query = counts.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def first_of_content(stream: DataFrame, time: str, late: str, key: str = "sha256") -> DataFrame:
     """Each content once; state of contents older than the watermark is dropped."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from keepstone import schema
 from keepstone.config import Curation
 from keepstone.functions import scalars as S
+from keepstone.functions.scalars import unordered_digest
 from keepstone.operators import bursts, copies, edits, graph, ingest, intervals, naming, ranking, status
 from keepstone.operators import vectors as V
 from keepstone.plans import diffs, paths
@@ -193,14 +194,18 @@ def test_scoped_equals_full(spark):
 def test_edits(spark):
     df = spark.createDataFrame([("a", "m", True, 0), ("b", "m", False, 1), ("c", "n", True, 2)], "sha256 string, moment_id string, is_best boolean, t int")
     df = df.withColumns({"taken_at": F.col("t"), "user_best": F.lit(False)})
-    both = edits.combine(df, ["a", "c"])
+    pick = lambda *shas: spark.createDataFrame([(x,) for x in shas], "sha256 string")
+    both = edits.combine(df, pick("a", "c"))
     assert {tuple(r) for r in both.collect()} == {("a", "m"), ("b", "m"), ("c", "m")}
     with pytest.raises(ValueError):
-        edits.combine(df, ["a", "b"])
-    parts = {r[0]: r[1] for r in edits.split(df, "m", ["b"]).collect()}
-    assert parts == {"a": "m", "b": edits.split_id("m", ["b"])}
+        edits.combine(df, pick("a", "b"))
+    parts = {r[0]: r[1] for r in edits.split(df, "m", pick("b")).collect()}
+    digest = df.where("sha256 = 'b'").agg(unordered_digest(F.col("sha256"))).first()[0]
+    assert parts == {"a": "m", "b": edits.split_id("m", digest)}
+    taken = spark.createDataFrame([(parts["b"],)], "moment_id string")
+    assert edits.split_id("m", digest, taken) not in {parts["b"], "m"}
     with pytest.raises(ValueError):
-        edits.split(df, "m", ["a", "b"])
+        edits.split(df, "m", pick("a", "b"))
     moved = df.drop("moment_id").join(both, "sha256").select(*df.columns)
     back = edits.undo(moved, df.select("sha256", "moment_id", "user_best"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
