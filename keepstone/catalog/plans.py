@@ -35,8 +35,11 @@ def l_desired_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _desired(spark, sf_dir)
 
 
+_STORED = f"""{SQL}, paths AS (SELECT sha256, event_id, strftime(taken_at, '%Y/%Y-%m-%d') || '/n' || CAST(event_id AS VARCHAR) || ext AS path FROM records)"""
+
+
 @query(f"""
-WITH {_PATHS}, cur AS (SELECT sha256, CASE WHEN event_id % 5 = 0 THEN 'old/' || path ELSE path END AS path FROM paths WHERE event_id % 4 != 0),
+WITH {_STORED}, cur AS (SELECT sha256, CASE WHEN event_id % 5 = 0 THEN 'old/' || path ELSE path END AS path FROM paths WHERE event_id % 4 != 0),
 src AS (SELECT sha256, 'in/' || CAST(event_id AS VARCHAR) AS path FROM paths WHERE event_id % 3 = 0),
 lib AS (SELECT path, sha256 FROM cur WHERE substr(sha256, 1, 1) != 'a' UNION ALL SELECT path, 'someone' FROM paths WHERE event_id % 40 = 8),
 j AS (SELECT p.sha256, p.path, c.path AS have, s.path AS source, w.sha256 AS at_want, h.sha256 AS at_have FROM paths p LEFT JOIN cur c USING (sha256) LEFT JOIN src s USING (sha256) LEFT JOIN lib w ON w.path = p.path LEFT JOIN lib h ON h.path = c.path),
@@ -44,8 +47,10 @@ a AS (SELECT *, CASE WHEN at_want != sha256 THEN 'conflict' WHEN at_want IS NOT
 SELECT sha256, path, CASE action WHEN 'move' THEN have WHEN 'copy' THEN source END AS from_path, action FROM a
 """)
 def l_curate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = records(spark, sf_dir).select("sha256", "event_id")
-    d, k = _desired(spark, sf_dir).join(e, "sha256").persist(), F.col("event_id")  # a stored snapshot otherwise
+    """Desired paths as they are stored (l_desired_paths makes them), against what is recorded and what is there."""
+    k = F.col("event_id")
+    path = F.concat(F.date_format("taken_at", "yyyy/yyyy-MM-dd"), F.lit("/n"), k.cast("string"), "ext")
+    d = records(spark, sf_dir).select("sha256", k, path.alias("path"))
     current = d.where(k % 4 != 0).select("sha256", F.when(k % 5 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"))
     source = d.where(k % 3 == 0).select("sha256", F.concat(F.lit("in/"), k.cast("string")).alias("path"))
     strange = d.where(k % 40 == 8).select("path", F.lit("someone").alias("sha256"))

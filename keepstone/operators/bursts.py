@@ -15,12 +15,12 @@ from keepstone.functions.scalars import hash_halves
 def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap_seconds: float, name: str = "island") -> DataFrame:
     """df plus the number of each row's run of rows whose neighbours in time are at most the gap apart, by keys.
 
-    Rows are only ever ordered within a day of their keys, so one busy key is many tasks; what a day needs of the days
-    before (the last time and the number of breaks) comes from one row for each key and day.
+    Rows are only ever ordered within an hour of their keys, so one busy key is many tasks; what an hour needs of the
+    hours before (the last time and the number of breaks) comes from one row for each key and hour.
     """
     gap, own = int(gap_seconds * 1_000_000), df.columns
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = df.withColumns({"_day": F.to_date(time), "_at": micros})
+    rows = df.withColumns({"_day": F.date_trunc("hour", time), "_at": micros})
     day = Window.partitionBy(*keys, "_day").orderBy(time, *order)
     within = F.when(F.col("_at") - F.lag("_at").over(day) > gap, 1).otherwise(0)
     rows = rows.withColumn("_break", within).withColumn("_sum", F.sum("_break").over(day.rowsBetween(Window.unboundedPreceding, 0)))

@@ -52,9 +52,15 @@ def copy_pairs(records: DataFrame, cfg: Curation) -> DataFrame:
 def mark_copies(records: DataFrame, cfg: Curation) -> DataFrame:
     """(sha256, duplicate_of): every copy but its group's keeper points at the keeper.
 
-    Keeper: most pixels, then sharpest, then largest file, then earliest, then least sha256. ``size`` may be null.
+    Keeper: most pixels, then sharpest, then largest file, then earliest, then least sha256. ``size`` may be null. Rows
+    that are alike in all that the test looks at are linked to the least of them, and only that one is paired.
     """
-    pairs = copy_pairs(records, cfg)
+    same = ["moment_id", "taken_at", "phash", "exposure", "width", "height", "sharpness"]
+    told = records.where(~F.col("date_source").isin(*NO_TIME) & (F.col("sharpness") >= 0)).dropna(subset=same)
+    least = told.groupBy(*same).agg(F.min("sha256").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = told.join(least, same).where("sha256 != a").select("a", F.col("sha256").alias("b"))
+    ones = records.join(alike.select(F.col("b").alias("sha256")), "sha256", "left_anti")
+    pairs = copy_pairs(ones, cfg).select("a", "b").unionByName(alike)
     groups = connected_components(pairs)
     members = records.join(groups, records["sha256"] == groups["node"]).drop("node")
     order = Window.partitionBy("component").orderBy(

@@ -1,7 +1,9 @@
 """Similarity over unit vectors: labelling from named examples, mutual nearest neighbours, groups, typicality.
 
 Vectors are compared block against block: each side is dealt into blocks by hash, and one task multiplies one pair of
-blocks, so no task sees more than two blocks and only the best of each block leave it.
+blocks, so no task sees more than two blocks and only the best of each block leave it. The work is the product of both
+sides, exactly as labels and mutual neighbours are defined: it is meant for some ten million vectors, beyond which an
+approximate index has to find candidates first.
 """
 
 from __future__ import annotations
