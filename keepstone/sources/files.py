@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.config import EMPTY_SHA256
-from keepstone.functions.scalars import root_key
+from keepstone.functions.scalars import file_kind, root_key
 
 ROOT_PREFIX = "_inbox_"
 
@@ -73,3 +73,8 @@ def load_settings(path: str) -> dict:
 
     with open(path, "rb") as f:
         return tomllib.load(f)
+
+
+def library_files(listing: DataFrame, state: str) -> DataFrame:
+    """Files of a library's tree without its own state folder and without what systems leave behind."""
+    return listing.where(~F.col("path").startswith(f"{state}/") & (file_kind(F.col("path")) != "junk"))
