@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import struct
 import uuid
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,30 @@ def a_container_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(media.container_time(content), F.lit(-1)).alias("seconds"))
 
 
+def _png(width: int, height: int, gray: int) -> bytes:
+    """A picture of one gray value."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = (b"\0" + bytes([gray]) * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+@query("""
+SELECT replace(n_name, ' ', '_') || '.png' AS name, CASE WHEN n_nationkey % 6 != 0 THEN 20 + n_nationkey ELSE -1 END AS width, CASE WHEN n_nationkey % 6 != 0 THEN 16 ELSE -1 END AS height,
+    CASE WHEN n_nationkey % 6 != 0 THEN round(1 - abs((50 + n_nationkey) / 255.0::DOUBLE - 0.46::DOUBLE), 9) ELSE -1 END AS exposure, n_nationkey % 6 = 0 AS broken FROM nation
+""")
+def a_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded pictures; one that can't be decoded is a row with an error."""
+    from keepstone.sources.images import image_features
+
+    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()  # 25 rows
+    found = {f"{n.replace(' ', '_')}.png": _png(20 + k, 16, 50 + k) if k % 6 else b"not a picture" for n, k in rows}
+    out = image_features(spark, _written(spark, found))
+    none = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    return out.select(
+        F.substring_index("path", "/", -1).alias("name"), none("width").alias("width"), none("height").alias("height"), F.coalesce(F.round("exposure", 9), F.lit(-1.0)).alias("exposure"), F.col("error").isNotNull().alias("broken")
+    )
+
+
 @query("""
 WITH v AS (SELECT p_partkey, p_size * 5 AS a, 255 - p_size * 5 AS b, p_partkey % 2 = 0 AS flat FROM part),
 m AS (SELECT *, (CASE WHEN a <= 4 OR a >= 251 THEN 0.5::DOUBLE ELSE 0 END) + CASE WHEN (CASE WHEN flat THEN a ELSE b END) <= 4 OR (CASE WHEN flat THEN a ELSE b END) >= 251 THEN 0.5::DOUBLE ELSE 0 END AS clipped, (a + CASE WHEN flat THEN a ELSE b END) / 2.0::DOUBLE AS mean FROM v)

@@ -137,3 +137,77 @@ def b_empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL} SELECT camera AS kind, date_source AS action, count(*) AS n FROM records GROUP BY ALL")
 def b_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_counts(records(spark, sf_dir).select(F.col("camera").alias("kind"), F.col("date_source").alias("action")))
+
+
+@query("""
+WITH e AS (SELECT doc_id % 3 AS root, 'p' || CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM documents WHERE doc_id % 2 = 0), l AS (SELECT doc_id % 3 AS root, 'p' || CAST(doc_id AS VARCHAR) AS path, n_chars AS size FROM documents WHERE doc_id % 4 != 0)
+SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.root = l.root AND e.path = l.path) AND EXISTS (SELECT 1 FROM e WHERE e.root = l.root AND e.size = l.size AND NOT EXISTS (SELECT 1 FROM l m WHERE m.root = e.root AND m.path = e.path))
+""")
+def d_hash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only unknown files of a missing file's size have to be hashed."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(d, (d % 3).alias("root"), F.concat(F.lit("p"), d.cast("string")).alias("path"), F.col("n_chars").alias("size"))
+    return ingest.hash_candidates(rows.where(d % 2 == 0).drop("doc_id"), rows.where(d % 4 != 0).drop("doc_id"))
+
+
+@query(f"WITH {SQL} SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'retry' END AS status FROM sources WHERE doc_id % 3 = 0 OR status = 'error'")
+def m_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sources(spark, sf_dir)
+    new = s.where("doc_id % 3 = 0").select("path", F.lit("new").alias("status"))
+    return ingest.with_retries(new, s.where("status = 'error'").select("path", F.lit("retry").alias("status")))
+
+
+@query(f"""
+WITH {SQL}, v AS (SELECT path, min(doc_id) OVER (PARTITION BY sha256) AS k, sha256, doc_id FROM sources WHERE doc_id % 5 = 1), d AS (SELECT DISTINCT sha256, k FROM v)
+SELECT sha256, 'videos/' || CAST(k AS VARCHAR) || '.mov' AS path, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'old.mov' || CAST(k AS VARCHAR) ELSE (SELECT min(path) FROM v w WHERE w.sha256 = d.sha256) END AS from_path, CASE k % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'move' ELSE 'copy' END AS action FROM d
+""")
+def l_video_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos by what is recorded, without a look at the files."""
+    from keepstone.plans import diffs
+
+    v = sources(spark, sf_dir).where("doc_id % 5 = 1")
+    k = F.col("k")
+    d = v.groupBy("sha256").agg(F.min("doc_id").alias("k")).withColumn("path", F.concat(F.lit("videos/"), k.cast("string"), F.lit(".mov")))
+    now = d.where(k % 4 < 2).select("sha256", F.when(k % 4 == 0, F.col("path")).otherwise(F.concat(F.lit("old.mov"), k.cast("string"))).alias("path"))
+    return diffs.curate_plan(d.select("sha256", "path"), now, None, v)
+
+
+@query(f"WITH {SQL} SELECT 'p' || sha256 AS package_sha, 'lib/' || CAST(event_id AS VARCHAR) || '.nar' AS path FROM records WHERE event_id % 5 = 0")
+def l_companion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepstone.plans import diffs
+
+    r = records(spark, sf_dir)
+    placed = r.where("event_id % 5 = 0").select("sha256", F.concat(F.lit("lib/"), F.col("event_id").cast("string"), "ext").alias("path"))
+    return diffs.companion_paths(r.select(F.concat(F.lit("p"), "sha256").alias("package_sha"), "sha256"), placed, ".nar")
+
+
+@query(f"""
+WITH {SQL}, n AS (SELECT sha256, event_id, row_number() OVER (PARTITION BY event_id % 300 ORDER BY sha256) AS r FROM records WHERE event_id % 2 = 0)
+SELECT sha256, 'a/' || CAST(event_id % 300 AS VARCHAR) || CASE WHEN r = 1 THEN '' ELSE '_live' || CAST(r AS VARCHAR) END || '.mov' AS target FROM n
+""")
+def f_clip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips beside their photo; further ones of a photo are numbered."""
+    from keepstone.operators.naming import number_paths
+
+    r = records(spark, sf_dir).where("event_id % 2 = 0")
+    path = F.concat(F.lit("a/"), (F.col("event_id") % 300).cast("string"), F.lit(".mov"))
+    return number_paths(r.select("sha256", path.alias("path")), "path", ["sha256"], "_live").select("sha256", "target")
+
+
+@query("""
+SELECT p_partkey, p_brand AS top, p_brand || ' › ' || replace(replace(lower(p_type), ' ', '-'), '-', ' ') AS pretty, list_sum([x * x for x in range(1, p_size % 5 + 2)])::BIGINT AS squares, list_max([p_size % 7, p_size % 11, 3]) AS most, p_size % 7 > 2 AND p_size % 11 > 2 AS all_above,
+    array_to_string(list_sort([x for x in [p_size % 7, p_size % 11, 3] if x > 2]), ',') AS above, round(abs(sin(p_size)), 9) AS wave, CAST(ceil(p_size / 7.0) AS BIGINT) AS up FROM part
+""")
+def k_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of two levels, functions over arrays and maps, arithmetic."""
+    from keepstone.functions.scalars import pretty_slug, top_slug
+
+    size = F.col("p_size")
+    slug = F.concat("p_brand", F.lit("/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))))
+    three = F.array(size % 7, size % 11, F.lit(3))
+    named = F.create_map(F.lit("a"), size % 7, F.lit("b"), size % 11)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", top_slug(slug).alias("top"), pretty_slug(slug).alias("pretty"), F.aggregate(F.sequence(F.lit(1), size % 5 + 1), F.lit(0).cast("long"), lambda a, x: a + x * x).alias("squares"),
+        F.array_max(three).alias("most"), F.forall(F.map_values(named), lambda x: x > 2).alias("all_above"), F.array_join(F.array_sort(F.filter(three, lambda x: x > 2)), ",").alias("above"),
+        F.round(F.abs(F.sin(size)), 9).alias("wave"), F.ceil(size / 7).alias("up"),
+    )

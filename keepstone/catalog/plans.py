@@ -43,8 +43,8 @@ WITH {_STORED}, cur AS (SELECT sha256, CASE WHEN event_id % 5 = 0 THEN 'old/' ||
 src AS (SELECT sha256, 'in/' || CAST(event_id AS VARCHAR) AS path FROM paths WHERE event_id % 3 = 0),
 lib AS (SELECT path, sha256 FROM cur WHERE substr(sha256, 1, 1) != 'a' UNION ALL SELECT path, 'someone' FROM paths WHERE event_id % 40 = 8),
 j AS (SELECT p.sha256, p.path, c.path AS have, s.path AS source, w.sha256 AS at_want, h.sha256 AS at_have FROM paths p LEFT JOIN cur c USING (sha256) LEFT JOIN src s USING (sha256) LEFT JOIN lib w ON w.path = p.path LEFT JOIN lib h ON h.path = c.path),
-a AS (SELECT *, CASE WHEN at_want != sha256 THEN 'conflict' WHEN at_want IS NOT NULL AND have = path THEN 'unchanged' WHEN at_want IS NOT NULL THEN 'adopt' WHEN at_have IS NOT NULL THEN 'move' WHEN source IS NOT NULL THEN 'copy' ELSE 'missing' END AS action FROM j)
-SELECT sha256, path, CASE action WHEN 'move' THEN have WHEN 'copy' THEN source END AS from_path, action FROM a
+a AS (SELECT *, CASE WHEN at_want != sha256 THEN 'conflict' WHEN at_want IS NOT NULL AND have = path THEN 'unchanged' WHEN at_want IS NOT NULL THEN 'adopt' WHEN at_have IS NOT NULL THEN 'move' WHEN source IS NOT NULL AND have = path THEN 'repaired' WHEN source IS NOT NULL THEN 'copy' ELSE 'missing' END AS action FROM j)
+SELECT sha256, path, CASE action WHEN 'move' THEN have WHEN 'copy' THEN source WHEN 'repaired' THEN source END AS from_path, action FROM a
 """)
 def l_curate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Desired paths as they are stored (l_desired_paths makes them), against what is recorded and what is there."""

@@ -141,6 +141,19 @@ def moved_files(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("root", "sha256", "path", "new_path", kind.alias("kind"))
 
 
+def hash_candidates(expected: DataFrame, listing: DataFrame) -> DataFrame:
+    """Listed files (root, path, size) that nobody expects and whose size some missing file of their root has: only their
+    contents have to be read to find what was moved. expected (root, path, size)."""
+    missing = expected.join(listing.select("root", "path"), ["root", "path"], "left_anti").select("root", "size").distinct()
+    unknown = listing.join(expected.select("root", "path"), ["root", "path"], "left_anti")
+    return unknown.join(missing, ["root", "size"], "left_semi").select("root", "path", "size")
+
+
+def with_retries(batch: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:
+    """A batch together with what failed before, each key once: what the batch has of a key counts."""
+    return batch.unionByName(failed.join(batch.select(key), key, "left_anti").select(*batch.columns))
+
+
 def companions(listing: DataFrame, ext: str, of: list[str]) -> DataFrame:
     """(path, companion) of files with one extension beside files of the same folder and stem with others."""
     stem = F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def curate_plan(desired: DataFrame, current: DataFrame, listing: DataFrame | None, sources: DataFrame) -> DataFrame:
-    """(sha256, path, from_path, action): unchanged, adopt, move, copy, missing or conflict.
+    """(sha256, path, from_path, action): unchanged, adopt, move, repaired (it should be there, but isn't), copy, missing
+    or conflict.
 
     desired (sha256, path), current (sha256, path), listing (path, sha256) of the library, or None to trust current;
     sources (sha256, path) of files that could be copied.
@@ -27,11 +28,11 @@ def curate_plan(desired: DataFrame, current: DataFrame, listing: DataFrame | Non
         .when(F.col("at_want").isNotNull() & F.col("have").eqNullSafe(F.col("want")), "unchanged")
         .when(F.col("at_want").isNotNull(), "adopt")
         .when(F.col("at_have").isNotNull(), "move")
-        .when(F.col("source").isNotNull(), "copy")
+        .when(F.col("source").isNotNull(), F.when(F.col("have") == F.col("want"), "repaired").otherwise("copy"))
         .otherwise("missing")
     )
     made = plan.withColumn("action", action)
-    origin = F.when(F.col("action") == "move", F.col("have")).when(F.col("action") == "copy", F.col("source"))
+    origin = F.when(F.col("action") == "move", F.col("have")).when(F.col("action").isin("copy", "repaired"), F.col("source"))
     return made.select("sha256", F.col("want").alias("path"), origin.alias("from_path"), "action")
 
 
@@ -175,3 +176,9 @@ def tables_as_json(tables: dict[str, DataFrame]) -> DataFrame:
 def weighted_progress(stages: DataFrame) -> DataFrame:
     """(done): the share of all work that is done; stages (weight, fraction)."""
     return stages.agg((F.sum(F.col("weight") * F.col("fraction")) / F.sum("weight")).alias("done"))
+
+
+def companion_paths(targets: DataFrame, placed: DataFrame, ext: str) -> DataFrame:
+    """(package_sha, path): beside the photo that a package belongs to; targets (package_sha, sha256), placed (sha256, path)."""
+    base = F.regexp_replace("path", r"\.[^./]*$", "")
+    return targets.join(placed.select("sha256", "path"), "sha256").select("package_sha", F.concat(base, F.lit(ext)).alias("path"))
