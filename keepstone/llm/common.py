@@ -57,7 +57,7 @@ def utf8(col: str | Column) -> Column:
 
 
 #: Rows and bytes of an Arrow batch of texts. Spark's own default of 10,000 rows of long texts takes hundreds of MB a task.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from keepstone.llm.components import components
 
 SHINGLE = 5
 #: One text of so many is sampled for counts; so many of the most frequent shingles are told to all tasks.
-SAMPLE, COMMON = 16, 1 << 20
+SAMPLE, COMMON = 16, 1 << 18
 #: Shingles whose last bits are zero are counted over all nodes.
 COUNTED = np.uint64(3)
 #: Nodes of one posting that meet in one block.

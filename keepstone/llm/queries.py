@@ -105,6 +105,20 @@ FROM ranked WHERE rank <= 10
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS j, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS k FROM d WHERE len(w) >= 50),
+first AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+hit AS (SELECT doc_id, j FROM windows JOIN first USING (k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS j FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+marked AS (SELECT x.doc_id, x.j, x.w, coalesce(max(CASE WHEN h.j IS NOT NULL THEN 1 END) OVER (PARTITION BY x.doc_id ORDER BY x.j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM words x LEFT JOIN hit h ON h.doc_id = x.doc_id AND h.j = x.j),
+kept AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, string_agg(w, ' ' ORDER BY j) FILTER (gone = 0) AS k FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k, '') END) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -125,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express on whole tables."""
-    return {"op1_mih_sign_codes": OP1_SQL}
+    return {"op1_mih_sign_codes": OP1_SQL, "op7_fm_index_substrings": OP7_SQL}
