@@ -72,6 +72,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def hand_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a libc without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run: Callable) -> Callable:
     """A function over Arrow batches that hands its memory back when a task ends: idle Python workers stay alive, and
     an executor's limit covers them."""
@@ -81,10 +89,7 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a libc without it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            hand_back()
 
     return wrapped
 

@@ -23,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import in_map, key_map, released, Scratch, slices, texts, utf8
+from keepstone.llm.common import hand_back, in_map, key_map, released, Scratch, slices, texts, utf8
 from keepstone.llm.fm_index import FmIndex
 
 WINDOW = 50
 #: Words of the group whose hash makes an anchor.
 GROUP = 16
 #: Words that a shard's index holds, about.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 150_000
 #: Contents of one anchor that share a shard; anchors with more are compared by hashes of windows.
 ANCHOR_CONTENTS = 1024
-#: Bits of the map of anchors that stand in several documents (8 MB); a full map costs time only.
-ANCHOR_BITS = 1 << 26
+#: Bits of the map of anchors that stand in several documents (4 MB); a full map costs time only.
+ANCHOR_BITS = 1 << 25
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -190,7 +190,10 @@ def search_shards(contents: DataFrame, shards: int, window: int) -> DataFrame:
         for i, (a, w) in enumerate(zip(at, words, strict=True)):
             found = least[a : a + len(w)]
             spans.append(_spans(np.flatnonzero((found >= 0) & (found < rank[i])) - window + 1, window))
-        return pd.DataFrame({"h": rows["h"], "r": rows["r"], "owner": owner, "spans": spans})
+        out = pd.DataFrame({"h": rows["h"], "r": rows["r"], "owner": owner, "spans": spans})
+        del index, words, least
+        hand_back()  # a worker stays alive behind its task
+        return out
 
     keyed = contents.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     return keyed.groupBy("shard").applyInPandas(run, "h long, r long, owner long, spans array<struct<a:int,b:int>>")
@@ -314,6 +317,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
         for text, by_tag in zip(texts, marks, strict=True):
             own = _own_spans(text, by_tag) if text is not None else []
             out.append(b" ".join(_kept(text, own)[1]).decode("utf-8", "replace") if own else None)
+        hand_back()
         return pd.Series(out, dtype=object)
 
     maybe, others = in_map(docs, "doc_id", key_map(spans, "doc_id", scratch, "marked"))

@@ -9,7 +9,7 @@ import pytest
 from keepstone.llm import op7_substring as D
 from keepstone.llm import queries
 from keepstone.llm.fm_index import FmIndex
-from tests.conftest import DATA
+from tests.conftest import DATA, oracle
 
 
 def brute(rows, window=50):
@@ -82,6 +82,9 @@ def test_small_corpus_with_edges(spark, monkeypatch, contents):
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
     out = queries.queries()["op7_fm_index_substrings"](spark, f"{DATA}/sf0.01")
-    assert sorted(repr(tuple(r)) for r in out.collect()) == brute(rows)
+    found = sorted(repr(tuple(r)) for r in out.collect())
+    assert found == brute(rows)
+    sql = oracle("sf0.01").sql(queries.oracle_sql()["op7_fm_index_substrings"])
+    assert sql.columns == out.columns and sorted(map(repr, sql.fetchall())) == found
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert D.remove_repeats(spark, empty).count() == 0
