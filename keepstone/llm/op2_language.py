@@ -26,6 +26,8 @@ LANES = 1536
 UNDETERMINED = "und"
 #: What matches a letter.
 LETTER = r"\p{L}"
+#: Values of the hash by which texts are drawn.
+DRAWS = 1 << 40
 
 
 @dataclass
@@ -203,20 +205,24 @@ def document_probabilities(model: ByteGru, texts: list[bytes]) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, text: Column, lang: Column, per_language: int, crop: int, languages: int) -> DataFrame:
-    """(lang, crop of text): at most ``per_language`` rows of each of the ``languages`` most frequent languages (ties by name).
+    """(lang, crop of text): at most ``per_language`` distinct texts of each of the ``languages`` most frequent languages
+    (ties by name).
 
-    Languages are counted over all rows; at most ``languages`` of them are kept, so they are broadcast. Rows are drawn in
-    the order of a hash of their text; the crop starts at a hashed place of the text. The rank limit goes below the
-    shuffle, so one frequent language doesn't gather in a task.
+    Languages are counted over all rows; at most ``languages`` of them are kept, so they are broadcast. Texts are drawn in
+    the order of their hash, and the crop starts at a hashed place. Hashes beyond eight times the share that is needed
+    go before the shuffle, so what is ranked doesn't grow with the rows or tasks of a frequent language.
     """
     rows = docs.select(text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    rows = rows.join(F.broadcast(most), "lang").withColumn("h", F.xxhash64("text")).select(
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    early = F.pmod("h", F.lit(DRAWS)) <= F.lit(8.0 * per_language * DRAWS) / F.col("count")
+    drawn = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(most), "lang").where(early).select(
         "lang",
+        F.pmod("h", F.lit(DRAWS)).alias("draw"),
         "h",
         F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {crop})) as int), {crop})").alias("text"),
     )
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    one = drawn.groupBy("lang", "draw", "h").agg(F.min("text").alias("text"))  # copies of a text take one place
+    first = one.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h")))
     return first.where(F.col("rank") <= per_language).select("lang", "text")
 
 
