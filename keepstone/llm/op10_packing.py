@@ -102,7 +102,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         # A table for each task: what outlived it would add to every later stage of a pipeline.
-        encode, packer = WordEncoder(tokenizer, SLOTS // 2).encode_batch, HarmonicPacker(capacity, least)
+        encode, packer = WordEncoder(tokenizer, SLOTS // 4).encode_batch, HarmonicPacker(capacity, least)
         number = TaskContext.get().partitionId() << WORKER_BITS
         rows: list[tuple] = []
 
@@ -124,7 +124,7 @@ def pack_documents(
             rows.clear()
             return out
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             encoded = encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
                 total = len(ids) // 4
