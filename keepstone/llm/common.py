@@ -108,6 +108,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
+_BLANKS = [bytes([c]) for c in b" \t\n\r\x0b\x0c"]
+
+
+def segments(data: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes, cut behind words; one word of any length stays whole."""
+    at = 0
+    while len(data) - at > size:
+        ends = [data.rfind(b, at, at + size) for b in _BLANKS]
+        cut = max(ends)
+        if cut < 0:
+            after = [x for x in (data.find(b, at + size) for b in _BLANKS) if x >= 0]
+            cut = min(after, default=len(data))
+        yield data[at : cut + 1]
+        at = cut + 1
+    yield data[at:]
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
