@@ -264,7 +264,6 @@ def vector_codes(
     finally:
         for table in made:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
-    for name in ("blocks", f"codes{turn}"):
-        scratch.drop(name)
+            scratch.drop(table.rsplit("_", 1)[1])
     found = _with_label_errors(spark, coded, scratch)
     return found.select("vec_id", "code", "error", "label_error", F.lit(model.sha256()).alias("codebooks_sha256"))

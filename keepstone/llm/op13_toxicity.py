@@ -9,6 +9,7 @@ classifier over densities of stems then learns the posterior, and scores whole t
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepstone.llm.common import released, segments, slices, texts, utf8
+from keepstone.llm.common import Scratch, released, segments, slices, texts, utf8
 
 THRESHOLD = 0.5
 #: Letters of the beginnings of words that can be stems; a word of at most ``LONGEST`` letters is one as a whole ("$").
@@ -28,8 +29,9 @@ BEGINNINGS = range(3, 9)
 LONGEST = 24
 #: Least share of the words that a stem takes, for each of its voters.
 DENSITIES = (0.0, 0.005, 0.02)
-#: Least evidence (twice a log likelihood ratio) and rows of label 1 by which a stem is mined.
-LEAST_EVIDENCE, LEAST_ROWS = 20.0, 3
+#: Rows of label 1 that a stem needs. Its evidence (twice a log likelihood ratio) must exceed twice the logarithm of the
+#: number of candidates, about what the best of so many stems without meaning would have.
+LEAST_ROWS = 3
 #: Bytes of a text that are read at a time.
 SEGMENT = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
@@ -175,8 +177,8 @@ def _tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 8) -> tuple[LabelModel, np.ndarray]:
-    """Expectation maximisation from the labels outwards; returns the model and the posterior of each row."""
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 8) -> LabelModel:
+    """Expectation maximisation from the labels outwards; the labels are the votes of an annotator who may err."""
     known = labels >= 0
     share = float((weight * (labels == 1)).sum() / max((weight * known).sum(), 1e-9))
     prior = min(max(share, 0.005), 0.98)
@@ -197,7 +199,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, r
         seen = rate * known
         model.annotator = ((seen @ (labels == 1) + [0.2, 9.5]) / (seen.sum(axis=1) + 10)).clip(0.001, 0.999)
         q = model.posterior(votes, labels)
-    return model, q
+    return model
 
 
 @dataclass
@@ -237,19 +239,31 @@ def votes_of(readings: list[Reading], voters: list[tuple[int, float]]) -> np.nda
     return np.concatenate([lexicon, marks > least], axis=1).astype(np.int8)
 
 
-def _regress(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Logistic regression on probabilities q by reweighted least squares."""
+def _regress(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression on probabilities q by Newton steps, halved until the loss falls."""
     one = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     keep = np.full(one.shape[1], ridge)
     keep[-1] = 1e-6
-    mean = float((q * weight).sum() / weight.sum())
+    mean = float(np.clip((q * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4))
     w = np.zeros(one.shape[1])
     w[-1] = np.log(mean / (1 - mean))
+
+    def loss(w: np.ndarray) -> float:
+        z = one @ w
+        return float((weight * (np.logaddexp(0, z) - q * z)).sum() + 0.5 * (keep * w * w).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         p = 0.5 + 0.5 * np.tanh(0.5 * (one @ w))
-        h = (one * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ one
+        h = (one * (weight * p * (1 - p))[:, None]).T @ one
         step = np.linalg.solve(h + np.diag(keep), one.T @ (weight * (q - p)) - keep * w)
-        w += step * min(1.0, 4.0 / (np.abs(step).max() + 1e-9))
+        size, then = 1.0, loss(w + step)
+        while then > now and size > 1e-4:
+            size /= 2
+            then = loss(w + size * step)
+        if now - then <= 1e-6 * abs(now):
+            break
+        w, now = w + size * step, then
     return w[:-1], float(w[-1])
 
 
@@ -261,7 +275,9 @@ def train(stems: list[str], voters: list[tuple[int, float]], readings: list[Read
         share = 0.98 if known.any() and labels.max() == 1 else 0.0
         bias = float(np.log(share / (1 - share))) if share else -50.0
         return ToxicityModel(stems, voters, None, np.zeros(wide), np.ones(wide), np.zeros(wide), bias)
-    model, q = fit_label_model(votes_of(readings, voters), labels, weight)
+    votes = votes_of(readings, voters)
+    model = fit_label_model(votes[known], labels[known], weight[known])
+    q = model.posterior(votes, np.full(len(votes), -1))  # the classifier learns what the voters tell, for unlabelled rows as well
     x = features(readings)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.05
     weights, bias = _regress((x - mean) / scale, q, weight, ridge)
@@ -286,7 +302,7 @@ def pick_stems(rows: list[tuple[str, int, float]], most: int) -> list[tuple[str,
     return picked
 
 
-def _candidates(rows: DataFrame, most_bytes: int, most: int) -> list[tuple[str, int, float]]:
+def _candidates(rows: DataFrame, most_bytes: int, most: int, scratch: Scratch) -> list[tuple[str, int, float]]:
     """(stem, density, evidence) of the ``most`` stems that tell label 1 best, over labelled rows (label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +326,8 @@ def _candidates(rows: DataFrame, most_bytes: int, most: int) -> list[tuple[str,
     part = lambda x, t, of, whole: F.when(x > 0, x * F.log(x * (p + n) / (of * whole))).otherwise(0.0)
     both = a + b
     evidence = 2 * (part(a, both, both, p) + part(b, both, both, n) + part(p - a, both, p + n - both, p) + part(n - b, both, p + n - both, n))
-    told = each.where(a * n > b * p).select("stem", "level", evidence.alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
+    each = scratch.write(each, "candidates")
+    told = each.where(a * n > b * p).select("stem", "level", evidence.alias("evidence")).where(F.col("evidence") >= 2 * math.log(max(each.count(), 2)))
     return [tuple(r) for r in told.orderBy(F.desc("evidence"), "stem", "level").limit(most).collect()]
 
 
@@ -363,12 +380,15 @@ def fit(
     picked = firsts[0].unionByName(firsts[1]).unionByName(some).distinct()
     rows = texts(docs).select(F.col(id_col).alias("_ks_id"), utf8(text_col).alias("text")).join(F.broadcast(picked), "_ks_id").select("label", "text")
     rows = rows.where("text is not null").dropDuplicates(["label", "text"])
-    found = _candidates(rows.where("label >= 0"), most_bytes, 8 * most_stems)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write(rows, "sample")
+    found = _candidates(rows.where("label >= 0"), most_bytes, 8 * most_stems, scratch)
     chosen = pick_stems(found, most_stems)
     stems = sorted({s for s, _ in chosen})
     place = {s: i for i, s in enumerate(stems)}
     voters = [(place[s], DENSITIES[level]) for s, level in chosen]
     told = _readings(rows, stems, most_bytes).orderBy(F.xxhash64("stems", "words", "patterns"), "label").limit(3 * most_rows).collect()
+    scratch.drop()
     told.sort(key=lambda r: (r["label"], r["words"], bytes(r["stems"]), bytes(r["patterns"])))
     readings = [Reading(r["words"], np.frombuffer(r["stems"], "<i4").astype(np.int64), np.frombuffer(r["patterns"], "<f8")) for r in told]
     said = np.asarray([r["label"] for r in told], int)
