@@ -119,6 +119,43 @@ def f_numbered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.number_paths(table(spark, sf_dir, "documents").select(d, path.alias("path")), "path", ["doc_id"]).select("doc_id", "target")
 
 
+def _clashes(suffix: str) -> str:
+    """The rows of a family (paths that differ in suffixes only) one after the other, with the list of used names."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, doc_id * 7919 % 1009 AS k, source || '/f' || CAST(doc_id % 12 AS VARCHAR) AS stem, CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '' END AS ext,
+    CASE doc_id % 7 WHEN 0 THEN '{suffix}2' WHEN 1 THEN '{suffix}3{suffix}2' WHEN 2 THEN '{suffix}2{suffix}2' WHEN 3 THEN '{suffix}' || CAST(doc_id % 9 AS VARCHAR) ELSE '' END AS tail FROM documents),
+n AS (SELECT *, stem || tail AS base, stem || tail || ext AS path, row_number() OVER (PARTITION BY stem, ext ORDER BY k, doc_id) AS rn FROM d),
+walk AS (
+    SELECT stem, ext, rn, doc_id, path AS target, [path] AS used FROM n WHERE rn = 1
+    UNION ALL
+    SELECT stem, ext, rn, doc_id, target, list_append(used, target) FROM (
+        SELECT n.stem, n.ext, n.rn, n.doc_id, used, CASE WHEN NOT list_contains(used, path) THEN path ELSE
+            list_filter(list_transform(range(2, len(used) + 3), lambda i: base || '{suffix}' || CAST(i AS VARCHAR) || n.ext), lambda c: NOT list_contains(used, c))[1] END AS target
+        FROM walk JOIN n ON n.stem = walk.stem AND n.ext = walk.ext AND n.rn = walk.rn + 1)
+)
+SELECT doc_id, target FROM walk"""
+
+
+def _clashing(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
+    d, kind = F.col("doc_id"), F.col("doc_id") % 7
+    s = lambda *x: F.concat(*[F.lit(suffix) if y is None else F.lit(y) if isinstance(y, str) else y for y in x])
+    tail = F.when(kind == 0, s(None, "2")).when(kind == 1, s(None, "3", None, "2")).when(kind == 2, s(None, "2", None, "2")).when(kind == 3, s(None, (d % 9).cast("string"))).otherwise("")
+    path = F.concat("source", F.lit("/f"), (d % 12).cast("string"), tail, F.when(d % 2 == 0, ".txt").otherwise(""))
+    rows = table(spark, sf_dir, "documents").select(d, (d * 7919 % 1009).alias("k"), path.alias("path"))
+    return naming.number_paths(rows, "path", ["k", "doc_id"], suffix).select("doc_id", "target")
+
+
+@query(_clashes("_"))
+def f_path_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some have by nature the names that others would be numbered to."""
+    return _clashing(spark, sf_dir, "_")
+
+
+@query(_clashes("_live"))
+def f_clip_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clashing(spark, sf_dir, "_live")
+
+
 _REJECT = "rej AS (SELECT id, label AS person_id FROM vectors WHERE id % 7 = 3)"
 
 

@@ -11,27 +11,34 @@ from keepstone.config import EMPTY_SHA256
 from keepstone.functions.scalars import capture_time, is_screenshot
 from keepstone.operators import ingest, intake
 
-_LISTED = f"""{SQL}, l AS (SELECT path, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE size END AS size, mtime, CASE WHEN doc_id % 50 = 7 THEN 1e9 ELSE mtime END AS ctime, sha256, doc_id,
-    CASE doc_id % 5 WHEN 1 THEN 'video' WHEN 2 THEN 'rich' WHEN 3 THEN 'other' ELSE 'image' END AS kind FROM sources),
+_PATH = "CASE WHEN doc_id % 30 = 1 THEN replace(path, '/img_', '/.TEMP-') ELSE path END"
+_LISTED = f"""{SQL}, l AS (SELECT {_PATH} AS path, CASE WHEN doc_id % 41 = 0 THEN 0 ELSE size END AS size, mtime, CASE WHEN doc_id % 50 = 7 THEN 1e9 ELSE mtime END AS ctime,
+    CASE WHEN doc_id % 58 != 0 THEN sha256 END AS sha256, doc_id, CASE doc_id % 5 WHEN 1 THEN 'video' WHEN 2 THEN 'rich' WHEN 3 THEN 'other' ELSE 'image' END AS kind FROM sources),
 todo AS (SELECT * FROM l WHERE NOT (doc_id % 4 = 0 AND doc_id % 41 != 0) AND doc_id % 50 != 7),
 named AS (SELECT path, kind, CASE WHEN size = 0 THEN '{EMPTY_SHA256}' ELSE sha256 END AS sha256,
-    CASE WHEN size = 0 THEN 'junk' WHEN doc_id % 29 = 0 THEN 'error' WHEN doc_id % 43 = 0 THEN 'arriving' WHEN kind = 'video' AND doc_id % 10 = 1 THEN 'clip' WHEN kind = 'rich' THEN 'package' WHEN kind IN ('image', 'video') THEN kind ELSE 'other' END AS status,
-    CASE WHEN size = 0 THEN 'empty file' WHEN doc_id % 29 = 0 THEN 'broken' WHEN doc_id % 43 = 0 THEN 'changed while it was read' END AS reason FROM todo),
-good AS (SELECT path, sha256 FROM named WHERE status NOT IN ('junk', 'error', 'arriving')),
+    CASE WHEN size = 0 THEN 'junk' WHEN doc_id % 43 = 0 THEN 'arriving' WHEN doc_id % 30 = 1 THEN 'other' WHEN doc_id % 29 = 0 THEN 'error' WHEN kind = 'video' AND doc_id % 10 = 1 THEN 'clip'
+        WHEN kind = 'rich' AND doc_id % 3 != 0 THEN 'package' WHEN kind IN ('image', 'video') THEN kind ELSE 'other' END AS status,
+    CASE WHEN size = 0 THEN 'empty file' WHEN doc_id % 43 = 0 THEN 'changed while it was read' WHEN doc_id % 30 = 1 THEN 'unfinished recording' WHEN doc_id % 29 = 0 THEN 'unreadable: broken'
+        WHEN kind = 'other' THEN 'not a photo or video (.txt)' WHEN kind = 'rich' AND doc_id % 3 = 0 THEN 'not a photo or video (.nar)' END AS reason FROM todo),
+good AS (SELECT path, sha256 FROM named WHERE sha256 IS NOT NULL AND status NOT IN ('junk', 'arriving')),
 routed AS (SELECT path, CASE WHEN sha256 IN (SELECT sha256 FROM sources WHERE doc_id % 50 = 1) THEN 'deleted' WHEN sha256 IN (SELECT sha256 FROM sources WHERE doc_id % 9 = 0) THEN 'duplicate'
     WHEN path = min(path) OVER (PARTITION BY sha256) THEN 'new' ELSE 'duplicate' END AS outcome FROM good),
 rows_ AS (SELECT n.*, outcome FROM named n LEFT JOIN routed r ON r.path = n.path)"""
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed files of all kinds: empty, broken with and without a hash, changed while read, unfinished recordings,
+    packages with and without frames."""
     s, d = sources(spark, sf_dir), F.col("doc_id")
-    s = s.withColumns({"size": F.when(d % 41 == 0, 0).otherwise(F.col("size")), "ctime": F.when(d % 50 == 7, 1e9).otherwise(F.col("mtime"))})
+    path = F.when(d % 30 == 1, F.replace("path", F.lit("/img_"), F.lit("/.TEMP-"))).otherwise(F.col("path"))
+    s = s.withColumns({"path": path, "size": F.when(d % 41 == 0, 0).otherwise(F.col("size")), "ctime": F.when(d % 50 == 7, 1e9).otherwise(F.col("mtime"))})
     known = s.where((d % 4 == 0) & (d % 41 != 0)).select("path", "size", "mtime", F.lit("image").alias("status"), "sha256")
     known = known.withColumn("status", F.when(F.col("path").rlike(r"\.(nar|HEIC|jpeg)$"), "image").otherwise("video"))
     plan = ingest.ingest_plan(s.select("path", "size", "mtime", "ctime"), known, 1e9)
-    read = s.select("path", "sha256", F.when(d % 29 == 0, "broken").alias("error"), (F.col("size") + (d % 43 == 0).cast("int")).alias("read_size"), F.col("mtime").alias("read_mtime"))
+    sha = F.when(d % 58 != 0, F.col("sha256")).alias("sha256")
+    read = s.select("path", sha, F.when(d % 29 == 0, "broken").alias("error"), (F.col("size") + (d % 43 == 0).cast("int")).alias("read_size"), F.col("mtime").alias("read_mtime"))
     clips = s.where(d % 10 == 1).select("path", F.lit("p").alias("photo_path"))
-    return intake.ingest_rows(plan, read, clips, s.where(d % 9 == 0), s.where(d % 50 == 1))
+    return intake.ingest_rows(plan, read, clips, s.where(d % 9 == 0), s.where(d % 50 == 1), s.where(d % 3 != 0).select("path"))
 
 
 @query(f"WITH {_LISTED} SELECT path, kind, sha256, status, reason, outcome FROM rows_")

@@ -11,38 +11,52 @@ from keepstone.operators.ingest import companions, route_content
 
 #: Least side of an image that counts as readable, and the least spread of its gray values.
 LEAST_SIDE, LEAST_SPREAD = 16, 2.0
+#: How the names of recordings begin that a camera hasn't finished.
+UNFINISHED = ".temp-"
 
 
-def ingest_rows(plan: DataFrame, read: DataFrame, clips: DataFrame, entities: DataFrame, tombstones: DataFrame) -> DataFrame:
+def ingest_rows(
+    plan: DataFrame, read: DataFrame, clips: DataFrame, entities: DataFrame, tombstones: DataFrame, members: DataFrame | None = None
+) -> DataFrame:
     """(path, kind, sha256, status, reason, outcome) for every file of a plan that has to be looked at.
 
     plan (path, size, mtime, kind, action); read (path, sha256, error, read_size, read_mtime) of what could be read;
-    clips (path, photo_path). A file that fails is a row with its reason, and so is one that changed while it was read;
-    only contents that could be read are routed (new, duplicate or deleted).
+    clips (path, photo_path); members (path) of packages in which frames were found (null: all packages).
+
+    Nothing is lost: a file that can't be understood is an error with its reason, and its bytes are routed among the
+    others as long as they could be hashed. So are a package without frames and a recording that was never finished.
+    Only junk, what changed while it was read, and what has no hash have no outcome.
     """
     todo = plan.where(~F.col("action").isin("unchanged", "arriving"))
-    rows = todo.join(read, "path", "left").join(clips.select("path", "photo_path"), "path", "left")
+    found = (members.select("path").distinct() if members is not None else plan.select("path").distinct()).withColumn("_frames", F.lit(True))
+    rows = todo.join(read, "path", "left").join(clips.select("path", "photo_path"), "path", "left").join(found, "path", "left")
     moved = (F.col("read_size") != F.col("size")) | (F.col("read_mtime") != F.col("mtime"))
+    temporary = (F.col("kind") == "video") & F.lower(F.substring_index("path", "/", -1)).startswith(UNFINISHED)
     clip = (F.col("kind") == "video") & F.col("photo_path").isNotNull()
     status = (
         F.when(F.col("action") == "empty", "junk")
         .when(F.col("kind") == "junk", "junk")
-        .when(F.col("error").isNotNull() | F.col("sha256").isNull(), "error")
         .when(moved, "arriving")
+        .when(temporary & F.col("sha256").isNotNull(), "other")
+        .when(F.col("error").isNotNull() | F.col("sha256").isNull(), "error")
         .when(clip, "clip")
-        .when(F.col("kind") == "rich", "package")
-        .when(F.col("kind").isin("image", "video"), F.col("kind"))
+        .when((F.col("kind") == "rich") & F.col("_frames"), "package")
+        .when(F.col("kind").isin("image", "video", "sidecar"), F.col("kind"))
         .otherwise("other")
     )
+    ext = F.regexp_extract(F.lower("path"), r"(\.[^./]*)$", 1)
     reason = (
         F.when(F.col("action") == "empty", "empty file")
         .when(F.col("kind") == "junk", "junk file")
-        .when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("sha256").isNull(), "not read")
         .when(moved, "changed while it was read")
+        .when(temporary & F.col("sha256").isNotNull(), "unfinished recording")
+        .when(F.col("error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("error")))
+        .when(F.col("sha256").isNull(), "not read")
+        .when(F.col("status") == "other", F.concat(F.lit("not a photo or video ("), F.when(ext == "", "no extension").otherwise(ext), F.lit(")")))
     )
-    named = rows.select("path", "kind", F.when(F.col("action") == "empty", EMPTY_SHA256).otherwise(F.col("sha256")).alias("sha256"), status.alias("status"), reason.alias("reason"))
-    good = named.where(~F.col("status").isin("junk", "error", "arriving")).select("path", "sha256")
+    sha = F.when(F.col("action") == "empty", EMPTY_SHA256).otherwise(F.col("sha256"))
+    named = rows.withColumn("status", status).withColumn("reason", reason).select("path", "kind", sha.alias("sha256"), "status", "reason")
+    good = named.where(F.col("sha256").isNotNull() & ~F.col("status").isin("junk", "arriving")).select("path", "sha256")
     routed = route_content(good, entities, tombstones).select("path", "outcome")
     return named.join(routed, "path", "left")
 

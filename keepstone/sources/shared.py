@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -21,3 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_folder(spark.sparkContext.applicationId)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage, and fixes what a second run would deal anew."""
+    path = f"{shared_folder(df.sparkSession)}/keepstone-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
