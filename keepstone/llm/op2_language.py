@@ -205,17 +205,19 @@ def document_probabilities(model: ByteGru, texts: list[bytes]) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, text: Column, lang: Column, per_language: int, crop: int, languages: int) -> DataFrame:
-    """(lang, crop of text): at most ``per_language`` distinct texts of each of the ``languages`` most frequent languages
-    (ties by name).
+    """(lang, crop of text): min(``per_language``, distinct texts) texts of each of the ``languages`` most frequent
+    languages (ties by name), however often a text stands.
 
     Languages are counted over all rows; at most ``languages`` of them are kept, so they are broadcast. Texts are drawn in
-    the order of their hash, and the crop starts at a hashed place. Hashes beyond eight times the share that is needed
-    go before the shuffle, so what is ranked doesn't grow with the rows or tasks of a frequent language.
+    the order of their hash, and the crop starts at a hashed place. What is drawn from is how many different texts a
+    language has, estimated without a shuffle of texts (HyperLogLog, 5 %): hashes beyond eight times the share that is
+    needed go before the shuffle, so what is ranked doesn't grow with the rows or tasks of a frequent language.
     """
-    rows = docs.select(text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    early = F.pmod("h", F.lit(DRAWS)) <= F.lit(8.0 * per_language * DRAWS) / F.col("count")
-    drawn = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(most), "lang").where(early).select(
+    rows = docs.select(text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h", 0.05).alias("distinct"))
+    most = counted.orderBy(F.desc("rows"), "lang").limit(languages)
+    early = F.pmod("h", F.lit(DRAWS)) <= F.lit(8.0 * per_language * DRAWS) / F.greatest("distinct", F.lit(1))
+    drawn = rows.join(F.broadcast(most), "lang").where(early).select(
         "lang",
         F.pmod("h", F.lit(DRAWS)).alias("draw"),
         "h",

@@ -62,7 +62,7 @@ def test_edges(spark):
 def test_sample_takes_the_most_frequent_languages(spark):
     rows = [(f"text {k} {i}", f"l{k:03d}") for k in range(40) for i in range(1 + k % 7)] + [(f"zz {i}", "zz") for i in range(9)]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
-    found = L.sample_rows(df, F.col("text"), F.col("lang"), 2, 100, 4).collect()
+        found = L.sample_rows(df, F.col("text"), F.col("lang"), 2, 100, 4).collect()
     assert sorted(r["lang"] for r in found) == ["l006"] * 2 + ["l013"] * 2 + ["l020"] * 2 + ["zz"] * 2
 
 
@@ -90,3 +90,13 @@ def test_probabilities_against_plain_loops():
                 p = np.exp(logits - logits.max())
                 total += p / p.sum()
         assert np.allclose(L.document_probabilities(model, [text])[0], total / len(text), atol=1e-4)
+
+
+def test_the_sample_counts_texts_and_not_rows(spark):
+    """Languages that are mostly copies keep min(400, distinct) texts."""
+    one = F.concat(F.lit("text of the large language "), (F.col("id") % F.col("kinds")).cast("string"))
+    for rows, kinds in ((40_000, 6), (200_000, 201), (6_000, 6), (20_000, 20_000)):
+        large = spark.range(rows).withColumn("kinds", F.lit(kinds)).select(F.lit("bb").alias("lang"), one.alias("text"))
+        small = spark.range(2_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("another tongue "), F.col("id").cast("string")).alias("text"))
+        found = L.sample_rows(large.unionByName(small), F.col("text"), F.col("lang"), 400, 1500, 64).groupBy("lang").count().collect()
+        assert {r["lang"]: r["count"] for r in found} == {"aa": 400, "bb": min(400, kinds)}
