@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import all modules of queries."""
-    from keepstone.catalog import curation, decisions, files, intake, kept, plans, relational, scalars, views  # noqa: F401
+    from keepstone.catalog import curation, decisions, files, intake, kept, plans, relational, scalars, trees, views  # noqa: F401
