@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from keepstone.session import ship
 from keepstone.sources.shared import shared_folder, stored
 from keepstone.streaming import timers
 from keepstone.streaming.burst_store import BurstStore, members
+from keepstone.streaming.contents import ContentStore
 
 _FINAL = ORACLES["f_bursts"].replace("FROM hashed WHERE", "FROM hashed WHERE event_id % 101 != 0 AND").replace("FROM records WHERE", "FROM records WHERE event_id % 101 != 0 AND")
 _FOLD, _, _LAST = _FINAL.rpartition("SELECT sha256, moment_id FROM fold")
@@ -97,3 +99,12 @@ def m_debounced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = table(spark, sf_dir, "events").select(F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("version"))
     out = _in_two_runs(spark, clicks, "at", lambda s: timers.debounced_writes(s, "target", "at", "version", 300))
     return out.select("target", "version", "changes", F.unix_millis("due").alias("due_ms"))
+
+
+@query("SELECT sha256(text) AS sha256, CAST(min(doc_id % 4) AS BIGINT) AS batch FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def m_contents_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents and the batch that brought them first; each batch reads the buckets of its own keys."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("sha256"), F.pmod("doc_id", F.lit(4)).alias("batch"))
+    store = ContentStore(spark, f"{shared_folder(spark)}/keepstone-contents-{uuid.uuid4().hex[:12]}", ["sha256"], bucket_rows=1 << 10)
+    found = [store.add(d.where(F.col("batch") == n).select("sha256"), n).withColumn("batch", F.lit(n).cast("long")) for n in range(4)]
+    return functools.reduce(DataFrame.unionByName, found)

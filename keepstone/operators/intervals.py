@@ -6,31 +6,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _days(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.to_date(start), F.to_date(end)))
+#: Microseconds of the smallest cell, and levels of cells (each twice as long as those below; the last is some 1,200 years).
+_CELL, _LEVELS = 3_600_000_000, 24
+#: Points in one cell above which they are dealt to several tasks, and the most tasks of a cell.
+_CROWD, _MOST_SHARES = 1 << 20, 1 << 10
+
+
+def _hour(time: str) -> Column:
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / _CELL).cast("long")
+
+
+def _wide(level: Column) -> Column:
+    """Hours of a cell."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
+
+
+def cells(start: Column, end: Column) -> Column:
+    """The dyadic cells (level, cell) that cover the hours ``start`` to ``end``: at most two on each level, whatever the
+    length; none if the ends are swapped."""
+
+    def on(level: Column) -> Column:
+        wide = _wide(level)
+        low, high = F.floor((start + wide - 1) / wide).cast("long"), F.floor((end + 1) / wide).cast("long")
+        ends = F.array(F.when(low % 2 != 0, low), F.when(high % 2 != 0, high - 1))
+        # The top level has no parent to hand cells to.
+        inner = F.when(level < _LEVELS - 1, ends).otherwise(F.sequence(low, high - 1))
+        return F.when(low < high, F.transform(F.filter(inner, lambda c: c.isNotNull()), lambda c: F.struct(level.alias("level"), c.alias("cell"))))
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), on)
+    return F.flatten(F.filter(each, lambda x: x.isNotNull()))
+
+
+def containing(points: DataFrame, time: str, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows of ``points`` beside each row of ``ranges`` whose closed interval holds their time; no other column may be shared.
+
+    A range is posted in O(log) cells of doubling length and a point asks its cell on each level that any range uses, so
+    ranges of seconds and of decades cost alike. Cells with a crowd of points are split, and only their ranges repeated.
+    """
+    posted = ranges.withColumn("_c", F.explode(cells(_hour(start), _hour(end)))).select(*ranges.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    levels = [r[0] for r in posted.select("_level").distinct().orderBy("_level").collect()]  # _LEVELS at most
+    if not levels:
+        return points.join(ranges, F.lit(False))
+    ask = F.explode(F.transform(F.array(*[F.lit(x) for x in levels]), lambda x: F.struct(x.alias("level"), F.floor(F.col("_h") / _wide(x)).cast("long").alias("cell"))))
+    asked = points.withColumn("_h", _hour(time)).withColumn("_c", ask).select(*points.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    # Points are counted by hour first; crowds are few, at most one for each _CROWD points and level.
+    hours = points.select(_hour(time).alias("_h")).groupBy("_h").count().withColumn("_c", ask)
+    crowds = hours.groupBy(F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell")).agg(F.sum("count").alias("count")).where(F.col("count") > _CROWD)
+    crowds = crowds.select("_level", "_cell", F.least(F.ceil(F.col("count") / _CROWD), F.lit(_MOST_SHARES)).cast("int").alias("_shares"))
+    if crowds.isEmpty():
+        met = asked.join(posted, ["_level", "_cell"])
+    else:
+        shares = F.coalesce("_shares", F.lit(1))
+        left = asked.join(crowds, ["_level", "_cell"], "left").withColumn("_share", F.pmod(F.xxhash64(*points.columns), shares).cast("int")).drop("_shares")
+        right = posted.join(crowds, ["_level", "_cell"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+        met = left.join(right, ["_level", "_cell", "_share"])
+    return met.where(F.col(time).between(F.col(start), F.col(end))).select(*points.columns, *ranges.columns)
 
 
 def most_specific(instants: DataFrame, time: str, ranges: DataFrame, key: str, out: str = "slug") -> DataFrame:
     """instants plus the slug of the most specific range that contains their time; a child wins over its parent.
 
-    Ranges are dealt by day, so this is an equi-join at any number of ranges. Of several children the first by start
-    wins, of several top-level ranges the last. ``key`` tells instants apart.
+    Of several children the first by start wins, of several top-level ranges the last. ``key`` tells instants apart.
     """
-    r = ranges.select("slug", "start", "end", "parent", _days(F.col("start"), F.col("end")).alias("_day"))
-    hits = instants.select(key, time, F.to_date(time).alias("_day")).join(r, "_day").where(F.col(time).between(F.col("start"), F.col("end")))
-    child = F.col("parent").isNotNull()
-    best = hits.groupBy(key).agg(
-        F.coalesce(F.min_by("slug", F.when(child, F.struct("start", "slug"))), F.max_by("slug", F.when(~child, F.struct("start", "slug")))).alias(out)
-    )
+    r = ranges.select(F.col("slug").alias("_slug"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("parent").alias("_parent"))
+    hits = containing(instants.select(F.col(key).alias("_key"), F.col(time).alias("_time")), "_time", r, "_start", "_end")
+    child, order = F.col("_parent").isNotNull(), F.struct("_start", "_slug")
+    best = hits.groupBy(F.col("_key").alias(key)).agg(F.coalesce(F.min_by("_slug", F.when(child, order)), F.max_by("_slug", F.when(~child, order))).alias(out))
     return instants.join(best, key, "left")
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_slug, b_slug, kind) of ranges of two relations that overlap: within, contains or overlaps."""
-    x = a.select(F.col("slug").alias("a_slug"), F.col("start").alias("s1"), F.col("end").alias("e1"), _days(F.col("start"), F.col("end")).alias("d"))
-    y = b.select(F.col("slug").alias("b_slug"), F.col("start").alias("s2"), F.col("end").alias("e2"), _days(F.col("start"), F.col("end")).alias("d"))
-    # A pair meets on each common day; the first common day counts.
-    meet = x.join(y, "d").where("s1 <= e2 and s2 <= e1 and d = greatest(to_date(s1), to_date(s2))")
+    """(a_slug, b_slug, kind) of ranges of two relations that overlap: within, contains or overlaps.
+
+    Of two ranges that overlap exactly one begins within the other (of two that begin together the first counts), so pairs
+    are found once, by where ranges begin.
+    """
+    x = a.where("start <= end").select(F.col("slug").alias("a_slug"), F.col("start").alias("s1"), F.col("end").alias("e1"))
+    y = b.where("start <= end").select(F.col("slug").alias("b_slug"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    meet = containing(x, "s1", y, "s2", "e2").unionByName(containing(y, "s2", x, "s1", "e1").where("s1 < s2"))
     kind = F.when(F.expr("s2 <= s1 and e1 <= e2"), "within").when(F.expr("s1 <= s2 and e2 <= e1"), "contains").otherwise("overlaps")
     return meet.select("a_slug", "b_slug", kind.alias("kind"))
 
@@ -95,8 +148,8 @@ def later_siblings(ranges: DataFrame, most: int) -> DataFrame:
 def later_within(found: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
     """found (slug, start, end) plus ``later``: the slugs of the next ``most`` that end before the top-level range ends in
     which a row lies as a whole; without such a range, all of them. The first range by start counts."""
-    top = ranges.where("parent is null").select(F.col("start").alias("_s"), F.col("end").alias("_e"), _days(F.col("start"), F.col("end")).alias("_d"))
-    inside = found.select("slug", "start", "end", F.to_date("start").alias("_d")).join(top, "_d").where((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")))
+    top = ranges.where("parent is null").select(F.col("start").alias("_s"), F.col("end").alias("_e"))
+    inside = containing(found.select("slug", "start", "end"), "start", top, "_s", "_e").where(F.col("end") <= F.col("_e"))
     until = inside.groupBy("slug").agg(F.min_by("_e", "_s").alias("_until"))
     rows = later_siblings(found, most).join(until, "slug", "left")
     kept = F.filter("later", lambda x: F.col("_until").isNull() | (x["end"] <= F.col("_until")))

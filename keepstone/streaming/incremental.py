@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from keepstone.streaming.contents import ContentStore
+
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A table (a file or a folder of files) as a stream, so many files a trigger.
@@ -19,18 +21,13 @@ def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int
 def store_new(stream: DataFrame, key: list[str], sink: str, checkpoint: str) -> StreamingQuery:
     """Append to a Parquet table what it doesn't hold yet, each key once: a copy is a copy however late it comes.
 
-    What is stored is the state, so nothing grows in memory. A batch that runs again replaces its own part.
+    What is stored is the state, so nothing grows in memory, and a batch reads only what its own keys reach (see
+    ``contents``). A batch that runs again replaces its own part.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark, part = batch.sparkSession, f"{sink}/batch={number}"
-        fresh = batch.dropDuplicates(key)
-        jvm = spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(sink)
-        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            before = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch long").parquet(sink)
-            fresh = fresh.join(before.where(F.col("batch") != number).select(*key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(part)
+        fresh = ContentStore(batch.sparkSession, f"{sink}-keys", key).add(batch, number)
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return each_batch(stream, handle, checkpoint)
 
