@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.adapters import SQL, ranges, records, table
+from keepstone.adapters import SQL, grouped, ranges, records, table
 from keepstone.catalog import ORACLES, curation, query
 from keepstone.catalog.decisions import _AFTER, _CHAIN
-from keepstone.operators import derive
+from keepstone.operators import derive, edit_log, edits, relations
 from keepstone.operators.bursts import apply_overrides
 from keepstone.session import ship
 from keepstone.sources.shared import shared_folder, stored
@@ -108,3 +108,52 @@ def m_contents_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ContentStore(spark, f"{shared_folder(spark)}/keepstone-contents-{uuid.uuid4().hex[:12]}", ["sha256"], bucket_rows=1 << 10)
     found = [store.add(d.where(F.col("batch") == n).select("sha256"), n).withColumn("batch", F.lit(n).cast("long")) for n in range(4)]
     return functools.reduce(DataFrame.unionByName, found)
+
+
+_LOG = """WITH c AS (SELECT event_id AS seq, event_type AS kind, 'u' || CAST(user_id AS VARCHAR) AS key, CASE WHEN event_id % 6 > 0 THEN 'v' || CAST(event_id % 4 AS VARCHAR) END AS after FROM events),
+b AS (SELECT *, lag(after) OVER (PARTITION BY kind, key ORDER BY seq) AS before FROM c), l AS (SELECT * FROM b WHERE before IS DISTINCT FROM after),
+z AS (SELECT *, max(CASE WHEN seq % 10 != 0 THEN seq ELSE -1 END) OVER (PARTITION BY kind, key) AS other FROM l)"""
+
+
+@query(f"""
+{_LOG}, now_ AS (SELECT kind, key, CASE WHEN max(seq) > any_value(other) THEN arg_min(coalesce(before, '-'), seq) FILTER (seq > other) ELSE arg_max(coalesce(after, '-'), seq) END AS value FROM z GROUP BY kind, key),
+then_ AS (SELECT kind, key, arg_max(coalesce(after, '-'), seq) AS value FROM l WHERE seq <= (SELECT max(event_id) // 2 FROM events) GROUP BY kind, key)
+SELECT 'now' AS at, * FROM now_ WHERE value != '-' UNION ALL SELECT 'half', * FROM then_ WHERE value != '-'
+""")
+def j_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of five kinds in two batches, the log compacted in between, every tenth click taken back; the state then, and
+    that as of the click in the middle."""
+    clicks = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"),
+        F.when(F.col("event_id") % 6 > 0, F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string"))).alias("after"),
+    )
+    top = clicks.agg(F.max("seq")).first()[0]
+    none = spark.createDataFrame([], "seq long, kind string, key string, before string, after string")
+    log = stored(edit_log.entries(none, clicks.where(F.col("seq") <= top // 2)), "log")
+    log = stored(log.unionByName(edit_log.entries(log, clicks.where(F.col("seq") > top // 2))), "log")
+    view = edit_log.state(log, top // 2).select("kind", "key", "value")
+    taken, _ = edit_log.undo(log, clicks.where("seq % 10 = 0").select("seq"), top + 1)
+    now = edit_log.refreshed(view, log.unionByName(taken), top // 2)
+    return now.select(F.lit("now").alias("at"), "kind", "key", "value").unionByName(view.select(F.lit("half").alias("at"), "kind", "key", "value"))
+
+
+_NEAR = """WITH r AS (SELECT epoch_us(ts) AS t, max(event_id) AS event_id FROM events WHERE event_id % 50 = 3 GROUP BY 1), e AS (SELECT event_id, epoch_us(ts) AS t FROM events),
+b AS (SELECT e.event_id, e.t, r.t AS bt, r.event_id AS b FROM e ASOF LEFT JOIN r ON r.t <= e.t), a AS (SELECT b.*, r.t AS ft, r.event_id AS a FROM b ASOF LEFT JOIN r ON r.t >= b.t)
+SELECT event_id, CASE WHEN t - bt <= 600000000 THEN b END AS back, CASE WHEN ft - t <= 600000000 THEN a END AS ahead, CASE WHEN ft IS NULL OR t - bt <= ft - t THEN b ELSE a END AS near FROM a"""
+
+
+@query(_NEAR)
+def d_as_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of joins without a key: backward and forward within ten minutes, and the nearest."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    some = e.where("event_id % 50 = 3")
+    out = relations.as_of(e, some, [], "ts", ["event_id"], "backward", 600).withColumnRenamed("as_of_event_id", "back")
+    out = relations.as_of(out, some, [], "ts", ["event_id"], "forward", 600).withColumnRenamed("as_of_event_id", "ahead")
+    return relations.as_of(out, some, [], "ts", ["event_id"], "nearest").select("event_id", "back", "ahead", F.col("as_of_event_id").alias("near"))
+
+
+@query(f"WITH {SQL} SELECT DISTINCT moment_id FROM grouped WHERE event_id % 5 = 0 AND moment_id IN (SELECT moment_id FROM grouped WHERE event_id % 3 > 0)")
+def j_stale_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins of groups that still have members."""
+    g = grouped(spark, sf_dir)
+    return edits.drop_stale_pins(g.where("event_id % 5 = 0").select("moment_id").distinct(), g.where("event_id % 3 > 0"))

@@ -232,11 +232,6 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def set_digest(values: Column) -> Column:
-    """SHA-256 of sorted texts, one a line."""
-    return F.sha2(F.array_join(F.array_sort(values), "\n"), 256)
-
-
 def unordered_digest(value: Column) -> Column:
     """Aggregate: a digest of a set of SHA-256 texts that doesn't depend on their order and is added up in parts: their
     number, the exclusive or of their first 60 bits and the sum of the 32 bits behind. Nulls don't count."""

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepstone.functions.scalars import clean_tag, unordered_digest
-
-
-def latest(log: DataFrame, key: list[str]) -> DataFrame:
-    """The last payload of each key of an append-only log (seq, key, payload)."""
-    return log.groupBy(*key).agg(F.max_by("payload", "seq").alias("payload"))
+from keepstone.operators.ordering import running_sums
 
 
 def pick_best(records: DataFrame, moment_id: str, sha256: str | None) -> DataFrame:
@@ -145,7 +141,7 @@ def append_positions(items: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New keys at the end of an ordered list (key, position); known ones stay where they are."""
     top = items.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("_top"))
     fresh = new.join(items.select(key), key, "left_anti").select(key).distinct()
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(key)))
+    numbered = running_sums(fresh, [], [key], {"_n": F.lit(1)})
     return items.unionByName(numbered.join(F.broadcast(top)).select(key, (F.col("_top") + F.col("_n")).cast("long").alias("position")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keepstone.sources.shared import stored
 
 
-def _slices(df: DataFrame, keys: list[str], order: list[str], added: dict[str, Column]) -> DataFrame:
+def _slices(df: DataFrame, keys: list[str], order: list[str | Column], added: dict[str, Column]) -> DataFrame:
     """df in ranges of (keys, order), each row with its key ``_k`` and its range ``_p``.
 
     Ranges are written, as another run might cut them elsewhere. A key's rows lie in as many ranges as it needs.
@@ -32,3 +32,20 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     within = Window.partitionBy("_k", "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.join(offsets, ["_k", "_p"])
     return found.select(*df.columns, *[(F.sum(f"_v_{n}").over(within) + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def last_values(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], up_to: int = 0) -> DataFrame:
+    """df plus, for each name, the last value that isn't null of its expression among the key's rows so far, in order.
+
+    up_to: 0 counts the row itself, -1 only those before it. As with sums, rows are ordered within ranges, and what a range
+    needs of those before it is one row for each key and range, so one key may be all of the table.
+    """
+    rows = _slices(df, keys, order, {f"_v_{n}": c for n, c in values.items()})
+    whole = Window.partitionBy("_k", "_p").orderBy(*order)
+    ends = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = rows.select("_k", "_p", F.struct(*[F.last(f"_v_{n}", True).over(ends).alias(n) for n in values]).alias("_l")).groupBy("_k", "_p").agg(F.any_value("_l").alias("_l"))
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("_k", "_p", *[F.last(f"_l.{n}", True).over(before).alias(f"_o_{n}") for n in values])
+    within = whole.rowsBetween(Window.unboundedPreceding, up_to)
+    found = rows.join(carried, ["_k", "_p"])
+    return found.select(*df.columns, *[F.coalesce(F.last(f"_v_{n}", True).over(within), F.col(f"_o_{n}")).alias(n) for n in values])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstone.config import Curation
+from keepstone.operators.ordering import last_values, running_sums
 
 
 def score_groups(records: DataFrame, cfg: Curation) -> DataFrame:
@@ -87,22 +88,18 @@ def even_sample(df: DataFrame, keys: list[str], order: list[str], k: int) -> Dat
 
 
 def neighbours(df: DataFrame, order: list[str], key: str, todo: Column, keys: list[str] = ()) -> DataFrame:
-    """Previous and next key, and previous and next key that is still to do."""
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    open_key = F.when(todo, F.col(key))
-    return df.withColumns(
-        {
-            "previous": F.lag(key).over(w),
-            "next": F.lead(key).over(w),
-            "previous_todo": F.last(open_key, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "next_todo": F.first(open_key, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
+    """Previous and next key, and previous and next key that is still to do; ordered in ranges, not in one task."""
+    both = lambda a: {f"{a}": F.col(key), f"{a}_todo": F.when(todo, F.col(key))}
+    behind = last_values(df, list(keys), list(order), both("previous"), -1)
+    return last_values(behind, list(keys), [F.desc(c) for c in order], both("next"), -1)
 
 
 def moved_by_one(df: DataFrame, key: str, position: str, item: object, step: int) -> DataFrame:
-    """An ordered list with one item moved by one place, within bounds, and positions rewritten from 0."""
-    at = F.row_number().over(Window.orderBy(position, key)) - 1
-    numbered = df.withColumn("_at", at)
-    want = F.when(F.col(key) == F.lit(item), F.col("_at") + step * 1.5).otherwise(F.col("_at").cast("double"))
-    return numbered.withColumn(position, (F.row_number().over(Window.orderBy(want, key)) - 1).cast("long")).drop("_at")
+    """An ordered list with one item moved by one place, within bounds, and positions numbered from 0; the list is
+    numbered in ranges, once, and the two rows that change places are found by number."""
+    numbered = running_sums(df, [], [position, key], {"_at": F.lit(1)}).withColumn("_at", F.col("_at") - 1)
+    found = numbered.agg(F.max(F.when(F.col(key) == F.lit(item), F.col("_at"))).alias("_here"), F.max("_at").alias("_top"))
+    both = numbered.join(F.broadcast(found))  # one row
+    there = F.when(F.col("_here").isNotNull(), F.greatest(F.lit(0), F.least(F.col("_here") + step, F.col("_top"))))
+    made = F.when(F.col("_at") == F.col("_here"), there).when(F.col("_at") == there, F.col("_here")).otherwise(F.col("_at"))
+    return both.withColumn(position, made.cast("long")).select(*df.columns)

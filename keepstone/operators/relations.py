@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepstone.operators.ordering import last_values
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, take: list[str]) -> DataFrame:
-    """left plus ``take`` of the last right row of its keys at or before its time (null before the first).
 
-    Both sides lie in one order by key and time, so nothing is paired. Of right rows at one time the largest counts.
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], time: str, take: list[str], direction: str = "backward", tolerance: float | None = None
+) -> DataFrame:
+    """left plus ``take`` of one right row of its keys: the last at or before its time (backward), the first at or after
+    it (forward), or the nearer of the two (nearest; backward if they are as near). None within ``tolerance`` seconds
+    gives nulls, as does none at all. Of right rows at one time the largest counts.
+
+    Both sides lie in one order by key and time, in ranges that carry their last row on, so nothing is paired and a
+    single key is many tasks.
     """
-    one = right.groupBy(*keys, time).agg(F.max(F.struct(*take)).alias("_right"))
-    own = left.columns
-    rows = left.withColumns({"_right": F.lit(None).cast(one.schema["_right"].dataType), "_own": F.lit(1)})
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    one = right.groupBy(*keys, time).agg(F.max(F.struct(*take)).alias("_take")).select(*keys, F.struct(micros.alias("t"), "_take").alias("_right"), micros.alias("_t"))
+    rows = left.withColumns({"_right": F.lit(None).cast(one.schema["_right"].dataType), "_own": F.lit(1), "_t": micros})
     both = rows.unionByName(one.withColumn("_own", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(time, "_own").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_found", F.last("_right", ignorenulls=True).over(order)).where("_own = 1")
-    return filled.select(*own, *[F.col(f"_found.{c}").alias(f"as_of_{c}") for c in take])
+    if direction in ("backward", "nearest"):
+        both = last_values(both, keys, ["_t", "_own"], {"_back": F.col("_right")})
+    if direction in ("forward", "nearest"):
+        both = last_values(both, keys, [F.desc("_t"), "_own"], {"_ahead": F.col("_right")})
+    far = lambda c: F.abs(F.col(f"{c}.t") - F.col("_t"))
+    found = {"backward": F.col("_back") if direction != "forward" else None, "forward": F.col("_ahead") if direction != "backward" else None}.get(direction)
+    if direction == "nearest":
+        found = F.when(F.col("_ahead").isNull() | (far("_back") <= far("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
+    out = both.where("_own = 1").withColumn("_found", found)
+    if tolerance is not None:
+        out = out.withColumn("_found", F.when(far("_found") <= int(tolerance * 1_000_000), F.col("_found")))
+    return out.select(*left.columns, *[F.col(f"_found._take.{c}").alias(f"as_of_{c}") for c in take])
 
 
 def matching(df: DataFrame, **wanted: object) -> DataFrame:

@@ -99,10 +99,6 @@ def verify_files(listing: DataFrame, sources: DataFrame, placed: DataFrame, tomb
     return j.select("path", F.coalesce(ok, F.lit(False)).alias("ok"), message.alias("message"))
 
 
-def action_counts(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("action").agg(F.count("*").alias("n"))
-
-
 def render_sizes(width: Column, sizes: list[int]) -> Column:
     """Widths to render, never beyond the original, largest first."""
     return F.array_distinct(F.transform(F.array(*[F.lit(s) for s in sorted(sizes, reverse=True)]), lambda s: F.least(width, s)))
