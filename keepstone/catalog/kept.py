@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keepstone.adapters import SQL, grouped, ranges, records, table
 from keepstone.catalog import ORACLES, curation, query
 from keepstone.catalog.decisions import _AFTER, _CHAIN
-from keepstone.operators import derive, edit_log, edits, relations
+from keepstone.operators import derive, edit_log, edits, relations, sketches
 from keepstone.operators.bursts import apply_overrides
 from keepstone.session import ship
 from keepstone.sources.shared import shared_folder, stored
@@ -157,3 +157,38 @@ def j_stale_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pins of groups that still have members."""
     g = grouped(spark, sf_dir)
     return edits.drop_stale_pins(g.where("event_id % 5 = 0").select("moment_id").distinct(), g.where("event_id % 3 > 0"))
+
+
+@query("""
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_id, value, event_type FROM events)
+SELECT day, count(*) AS n, TRUE AS distinct_near, TRUE AS quantiles_near FROM e GROUP BY day
+UNION ALL SELECT 'all', count(*), TRUE, TRUE FROM lineitem UNION ALL SELECT 'common', 0, TRUE, TRUE
+""")
+def e_stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day, written, added to with late rows and merged on reading, beside exact figures of whole columns:
+    whether distinct counts lie within 4 %, quantiles within 3 % of the ranks, and values in common within 6 %."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    args = (F.col("day"), F.col("event_id"), F.col("value"))
+    kept = stored(sketches.by_day(e.where("event_id % 5 > 0"), *args), "sketches")
+    days = sketches.told(stored(sketches.added(kept, e.where("event_id % 5 = 0"), *args), "sketches"), [0.1, 0.5, 0.9])
+    l = table(spark, sf_dir, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM"))
+    whole = sketches.merged(stored(sketches.by_day(l, F.col("day"), F.col("l_orderkey"), F.col("l_extendedprice")), "sketches"), by=[])
+    found = days.unionByName(sketches.told(whole, [0.1, 0.5, 0.9]).withColumn("day", F.lit("all")))
+    numbers = e.select("day", F.col("event_id").cast("long").alias("v"), F.col("value").cast("double").alias("x"))
+    numbers = numbers.unionByName(l.select(F.lit("all").alias("day"), F.col("l_orderkey").cast("long").alias("v"), F.col("l_extendedprice").cast("double").alias("x")))
+    exact = numbers.groupBy("day").agg(F.count("*").alias("_n"), F.count_distinct("v").alias("_distinct"))
+    ranks = numbers.join(F.broadcast(found.select("day", "quantiles")), "day").groupBy("day").agg(
+        *[F.struct(F.avg((F.col("x") < F.col("quantiles")[i]).cast("double")).alias("lo"), F.avg((F.col("x") <= F.col("quantiles")[i]).cast("double")).alias("hi")).alias(f"r{i}") for i in range(3)]
+    )
+    near = [(F.col(f"r{i}.lo") <= s + 0.03) & (F.col(f"r{i}.hi") >= s - 0.03) for i, s in enumerate((0.1, 0.5, 0.9))]
+    out = found.join(exact, "day").join(ranks, "day").select(
+        "day", "n", (F.abs(F.col("distinct") - F.col("_distinct")) <= 0.04 * F.col("_distinct") + 1).alias("distinct_near"), (near[0] & near[1] & near[2] & (F.col("n") == F.col("_n"))).alias("quantiles_near")
+    )
+    month = F.lit("m")
+    bought, ordered = table(spark, sf_dir, "orders").where("o_orderstatus != 'F'"), table(spark, sf_dir, "lineitem").where("l_quantity > 10")
+    a = sketches.by_day(bought, month, F.col("o_orderkey"), F.col("o_totalprice"))
+    b = sketches.by_day(ordered, month, F.col("l_orderkey"), F.col("l_quantity"))
+    both = bought.select("o_orderkey").join(ordered, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.lit("m").alias("day")).groupBy("day").count()
+    one = sketches.in_common(a, b, ["day"]).join(both, "day").select((F.abs(F.col("common") - F.col("count")) <= 0.06 * F.col("count") + 2).alias("ok"))
+    common = one.select(F.lit("common").alias("day"), F.lit(0).cast("long").alias("n"), F.col("ok").alias("distinct_near"), F.col("ok").alias("quantiles_near"))
+    return out.unionByName(common)

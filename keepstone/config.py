@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# Weights and thresholds on which results depend. Their names here are this project's own.
 @dataclass(frozen=True)
 class Weights:
     sharpness: float = 0.5
