@@ -13,7 +13,9 @@ from keepstone.catalog import ORACLES, curation, query
 from keepstone.catalog.decisions import _AFTER, _CHAIN
 from keepstone.operators import derive, edit_log, edits, relations, sketches
 from keepstone.operators.bursts import apply_overrides
+from keepstone.operators.intervals import name_ranges
 from keepstone.session import ship
+from keepstone.sources import trees
 from keepstone.sources.shared import shared_folder, stored
 from keepstone.streaming import timers
 from keepstone.streaming.burst_store import BurstStore, members
@@ -192,3 +194,40 @@ def e_stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = sketches.in_common(a, b, ["day"]).join(both, "day").select((F.abs(F.col("common") - F.col("count")) <= 0.06 * F.col("count") + 2).alias("ok"))
     common = one.select(F.lit("common").alias("day"), F.lit(0).cast("long").alias("n"), F.col("ok").alias("distinct_near"), F.col("ok").alias("quantiles_near"))
     return out.unionByName(common)
+
+
+@query(f"""
+WITH {SQL}, u AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS slug, min(taken_at) AS s, min(taken_at) + to_minutes(((user_id % 5) - 1) * 3) AS e FROM records GROUP BY user_id),
+n AS (SELECT slug, least(s, e) AS start, greatest(s, e) AS "end", NULL::VARCHAR AS parent FROM u), every AS (SELECT * FROM n UNION ALL SELECT * FROM ranges WHERE parent IS NULL),
+bad AS (SELECT DISTINCT n.slug FROM n JOIN every o ON o.slug != n.slug AND o.start <= n."end" AND n.start <= o."end")
+SELECT slug, start, "end", parent, NULL AS problem FROM n WHERE slug NOT IN (SELECT slug FROM bad) UNION ALL SELECT *, NULL FROM ranges UNION ALL SELECT slug, NULL, NULL, NULL, 'overlap' FROM bad
+""")
+def j_named_by_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for each user, some with swapped ends, beside those that are there; the ones that overlap are refused."""
+    first = records(spark, sf_dir).groupBy("user_id").agg(F.min("taken_at").alias("start"))
+    minutes = F.make_dt_interval(mins=((F.col("user_id") % 5 - 1) * 3).cast("int"))
+    new = first.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), "start", (F.col("start") + minutes).alias("end"), F.lit(None).cast("string").alias("parent"))
+    made, refused = name_ranges(ranges(spark), new)
+    return made.withColumn("problem", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 > 0 AND o_custkey % 4 > 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 9 AS INTEGER) END AS pictures FROM orders
+""")
+def j_saved_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft for most orders, saved over older ones, and read with fewer fields."""
+    o = table(spark, sf_dir, "orders").withColumn("name", F.col("o_orderkey").cast("string"))
+    old = o.select("name", F.lit('{"title": "old"}').alias("body")).where("o_orderkey % 3 > 0 and o_orderkey % 2 = 0")
+    fields = o.where("o_orderkey % 3 > 0").select("name", F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderpriority")).alias("title"), (F.col("o_custkey") % 9).cast("int").alias("pictures"), F.col("o_orderstatus").alias("gone"))
+    return edits.load_drafts(edits.save_drafts(old, fields), o, "title string, pictures int")
+
+
+@query("SELECT 'gap_' || CAST(s_nationkey AS VARCHAR) AS name, CAST(max(s_suppkey) AS VARCHAR) AS value FROM supplier GROUP BY s_nationkey")
+def a_settings_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings in a file for each nation, written and read by executors."""
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("k"))
+    key = F.col("s_nationkey").cast("string")
+    files = rows.select(F.concat(F.lit("s/"), key, F.lit(".toml")).alias("path"), F.concat(F.lit("[gaps]\ngap_"), key, F.lit(" = "), F.col("k").cast("string"), F.lit("\n")).cast("binary").alias("data"))
+    root = f"{shared_folder(spark)}/keepstone-settings-{uuid.uuid4().hex[:12]}"
+    trees.write_files(files, root)
+    return trees.settings(trees.list_tree(spark, root), root).select("name", "value")

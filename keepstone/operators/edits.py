@@ -92,6 +92,18 @@ def save_draft(drafts: DataFrame, name: str, fields: DataFrame) -> DataFrame:
     return drafts.where(F.col("name") != name).unionByName(made)
 
 
+def save_drafts(drafts: DataFrame, fields: DataFrame) -> DataFrame:
+    """drafts (name, body) with every row of ``fields`` (name and others) stored as JSON; of rows of a name the least counts."""
+    made = fields.groupBy("name").agg(F.min(F.to_json(F.struct(*[c for c in fields.columns if c != "name"]))).alias("body"))
+    return drafts.join(made.select("name"), "name", "left_anti").unionByName(made)
+
+
+def load_drafts(drafts: DataFrame, names: DataFrame, schema: str) -> DataFrame:
+    """The stored fields of all ``names`` (name); a name that isn't there has nulls, unknown fields are dropped."""
+    told = names.select("name").join(drafts, "name", "left").withColumn("d", F.from_json(F.coalesce("body", F.lit("{}")), schema))
+    return told.select("name", "d.*")
+
+
 def load_draft(drafts: DataFrame, name: str, schema: str) -> DataFrame:
     """The stored fields; a name that isn't there gives one row of nulls, unknown fields are dropped."""
     body = drafts.where(F.col("name") == name).agg(F.coalesce(F.max("body"), F.lit("{}")).alias("body"))

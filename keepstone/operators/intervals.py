@@ -123,6 +123,20 @@ def name_range(ranges: DataFrame, slug: str, start: str, end: str, parent: str |
     return made
 
 
+def name_ranges(ranges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranges, refused): many ranges named or replaced at once, and the new ones (slug, problem) that break a rule.
+
+    Swapped ends are put in order, and of new ranges with one name the least counts. A new range that breaks a rule
+    beside the others, new ones among them, is refused; a range of its name stays as it was.
+    """
+    ordered = new.select("slug", F.least("start", "end").alias("start"), F.greatest("start", "end").alias("end"), "parent")
+    one = ordered.groupBy("slug").agg(F.min(F.struct("start", "end", "parent")).alias("x")).select("slug", "x.*")
+    made = ranges.select(*one.columns).join(one.select("slug"), "slug", "left_anti").unionByName(one)
+    refused = range_problems(made).join(one.select("slug"), "slug", "left_semi")
+    good = one.join(refused.select("slug"), "slug", "left_anti")
+    return ranges.select(*one.columns).join(good.select("slug"), "slug", "left_anti").unionByName(good), refused
+
+
 def unname(ranges: DataFrame, slug: str) -> DataFrame:
     """Without a range and the ranges in it."""
     return ranges.where((F.col("slug") != slug) & (F.coalesce("parent", F.lit("")) != slug))

@@ -10,6 +10,7 @@ import hashlib
 import posixpath
 import re
 import struct
+import tomllib
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -203,6 +204,20 @@ def package_index(listing: DataFrame, root: str) -> DataFrame:
     return _each(listing, ["path"], lambda p: _opened(root, p, members) or [], schema, ["path"])
 
 
+def settings(listing: DataFrame, root: str) -> DataFrame:
+    """(path, section, name, value) of TOML files, values as text; a file that can't be read as TOML gives no row."""
+
+    def entries(f, size: int) -> list[tuple]:
+        found = tomllib.loads(f.read(size).decode("utf-8"))
+        out = []
+        for section, inner in {"": {k: v for k, v in found.items() if not isinstance(v, dict)}, **{k: v for k, v in found.items() if isinstance(v, dict)}}.items():
+            out += [(section, k, ",".join(map(str, v)) if isinstance(v, list) else str(v)) for k, v in inner.items()]
+        return out
+
+    schema = pa.schema([("section", pa.string()), ("name", pa.string()), ("value", pa.string())])
+    return _each(listing, ["path"], lambda p: _opened(root, p, entries) or [], schema, ["path"])
+
+
 #: Tags of a picture's header: make, model, orientation, time, the place of the second directory, original time, offset.
 _MAKE, _MODEL, _ORIENTATION, _TIME, _SECOND, _ORIGINAL, _OFFSET = 0x010F, 0x0110, 0x0112, 0x0132, 0x8769, 0x9003, 0x9011
 
