@@ -123,21 +123,10 @@ WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4
 """)
 def d_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs above a threshold, block against block."""
-    import numpy as np
-    import pandas as pd
-
-    from keepstone.operators.vectors import BLOCK, _grid
+    from keepstone.operators.vectors import similar_pairs
 
     v = vectors(spark, sf_dir).select("id", F.col("embedding").cast("array<double>").alias("v"))
-
-    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T if len(a) and len(b) else np.zeros((0, 0))
-        i, j = np.nonzero(sims >= 0.4)
-        ids, others = a["id"].to_numpy()[i], b["r_id"].to_numpy()[j]
-        keep = ids < others
-        return pd.DataFrame({"id": ids[keep], "other": others[keep], "similarity": np.round(sims[i, j][keep], 6)})
-
-    return _grid(v, v, [], BLOCK).applyInPandas(pairs, "id long, other long, similarity double")
+    return similar_pairs(v, 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""

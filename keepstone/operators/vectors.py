@@ -1,9 +1,9 @@
 """Similarity over unit vectors: labelling from named examples, mutual nearest neighbours, groups, typicality.
 
-Vectors are compared block against block: each side is dealt into blocks by hash, and one task multiplies one pair of
-blocks, so no task sees more than two blocks and only the best of each block leave it. The work is the product of both
-sides, exactly as labels and mutual neighbours are defined: it is meant for some ten million vectors, beyond which an
-approximate index has to find candidates first.
+Vectors are compared block against block: each side is dealt into blocks of vectors that lie together, and one task
+multiplies one pair of blocks, so no task sees more than two blocks and only the best of each block leave it. Pairs of
+blocks that can't hold a similar pair are left out (``balls``). Results are exact; where vectors don't cluster, hardly a
+pair is left out and the work is the product of both sides, which is meant for some ten million vectors.
 """
 
 from __future__ import annotations
@@ -14,41 +14,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstone.functions.scalars import dot
+from keepstone.operators import balls
 from keepstone.operators.graph import connected_components
+from keepstone.sources.shared import stored
 
 BLOCK = 2048
 
 
-def _grid(left: DataFrame, right: DataFrame, extra: list[str], block: int):
-    """Both sides dealt to the cells of a grid of blocks; right columns get the prefix r_."""
-    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.select("id", "v", deal(n_left).alias("i"), every(n_right).alias("j"))
-    b = right.select("id", "v", *extra, every(n_left).alias("i"), deal(n_right).alias("j"))
-    b = b.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "v", *extra)], F.col("i").alias("r_i"), F.col("j").alias("r_j"))
-    return a.groupBy("i", "j").cogroup(b.groupBy("r_i", "r_j"))
-
-
 def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity): for each left (id, v) the k most similar right rows, itself included; ties to the
-    smaller id."""
+    smaller id.
+
+    Each block is compared with the two whose centres are nearest first. The least k-th similarity found there is what
+    another block has to be able to reach to be compared at all.
+    """
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"i": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
             return empty
         b = b.sort_values("r_id")
         sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T
         at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         n = at.shape[1]
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n), "other": b["r_id"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sims, at, axis=1).ravel()})
-
-    found = _grid(left, right, [], block).applyInPandas(best, "id long, other long, similarity double")
+        return pd.DataFrame(
+            {"i": np.repeat(a["i"].to_numpy(), n), "id": np.repeat(a["id"].to_numpy(), n), "other": b["r_id"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sims, at, axis=1).ravel()}
+        )
+
+    schema = "i int, id long, other long, similarity double"
+    x = balls.Balls(left.select("id", "v"), block)
+    y = x if left is right else balls.Balls(right.select("id", "v"), block)
+    every = balls.bounds(x, y)
+    ahead = every.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("near"), "j")))
+    first = stored(balls.met(x, y, ahead.where("_r <= 2"), []).applyInPandas(best, schema), "near")
+    by_id = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    kth = first.withColumn("_r", F.row_number().over(by_id)).groupBy("i", "id").agg(F.min(F.when(F.col("_r") == k, F.col("similarity"))).alias("s"))
+    least = kth.groupBy("i").agg(F.min(F.coalesce("s", F.lit(float("-inf")))).alias("least"))
+    rest = ahead.where("_r > 2").join(least, "i").where(F.col("most") >= F.col("least") - balls.SLACK)
+    found = first.unionByName(balls.met(x, y, rest, []).applyInPandas(best, schema)).drop("i")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "other")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
+def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(id, other, similarity) of all pairs of vectors (id, v) with at least a similarity, id < other."""
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T if len(a) and len(b) else np.zeros((0, 0))
+        i, j = np.nonzero(sims >= least)
+        ids, others = a["id"].to_numpy()[i], b["r_id"].to_numpy()[j]
+        below = ids < others
+        return pd.DataFrame({"id": ids[below], "other": others[below], "similarity": sims[i, j][below]})
+
+    x = balls.Balls(vectors.select("id", "v"), block)
+    near = balls.bounds(x, x).where(F.col("most") >= least - balls.SLACK)
+    return balls.met(x, x, near, []).applyInPandas(pairs, "id long, other long, similarity double")
+
+
 def label_from_examples(todo: DataFrame, named: DataFrame, rejected: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, person_id, similarity): the person whose named vectors a vector resembles most, if near enough.
 
@@ -67,7 +89,9 @@ def label_from_examples(todo: DataFrame, named: DataFrame, rejected: DataFrame,
         rows, cols = np.nonzero(keep)
         return pd.DataFrame({"id": a["id"].to_numpy()[rows], "person_id": people[cols], "similarity": top[rows, cols]})
 
-    found = _grid(todo, named, ["person_id"], block).applyInPandas(best, "id long, person_id long, similarity double")
+    x, y = balls.Balls(todo.select("id", "v"), block), balls.Balls(named.select("id", "v", "person_id"), block)
+    near = balls.bounds(x, y).where(F.col("most") >= threshold - balls.SLACK)
+    found = balls.met(x, y, near, ["person_id"]).applyInPandas(best, "id long, person_id long, similarity double")
     allowed = found.join(rejected.select("id", "person_id"), ["id", "person_id"], "left_anti")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "person_id")
     return allowed.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
