@@ -15,21 +15,27 @@ from keepstone.sources.shared import stored
 
 
 def assign_names(new: DataFrame, taken: DataFrame, stem: str, order: list[str], name: str = "name") -> DataFrame:
-    """new plus ``name``: the stem, or stem_1, stem_2 and so on, whichever are free, in order; ``taken`` has (name)."""
-    slots = taken.select(
-        F.regexp_replace("name", "_[0-9]+$", "").alias("cut"), F.regexp_extract("name", "_([0-9]+)$", 1).alias("number"), F.col("name").alias("full")
-    )
+    """new plus ``name``: the stem, or stem_1, stem_2 and so on, whichever are free, in order; ``taken`` has (name).
+
+    Row k of a stem gets number k plus the used numbers that it passes: the j-th used number u is passed from row u - j on,
+    so rows and these places are counted in one order, without a list of free numbers anywhere.
+    """
+    number = F.regexp_extract("name", "_([1-9][0-9]{0,8})$", 1)
+    slots = taken.select(F.col("name").alias("full"), F.regexp_replace("name", "_[0-9]+$", "").alias("cut"), number.alias("number"))
     # A name is slot 0 of itself; if it ends in a number it is also that slot of what stands before.
-    zero = slots.select(F.col("full").alias("_stem"), F.lit(0).alias("slot"))
-    more = slots.where("number != '' and number not like '0%'").select(F.col("cut").alias("_stem"), F.col("number").cast("int").alias("slot"))
-    used = zero.unionByName(more).groupBy("_stem").agg(F.collect_set("slot").alias("used"))
-    numbered = new.withColumn("_row", F.row_number().over(Window.partitionBy(stem).orderBy(*order)))
-    joined = numbered.join(used, F.col(stem) == F.col("_stem"), "left")
-    used = F.coalesce("used", F.expr("cast(array() as array<int>)"))
-    free = F.array_except(F.sequence(F.lit(0), F.size(used) + F.col("_row")), used)
-    slot = F.element_at(free, F.col("_row"))
-    made = F.when(slot == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), slot.cast("string")))
-    return joined.withColumn(name, made).select(*new.columns, name)
+    zero = slots.select(F.col("full").alias("_stem"), F.lit(0).cast("long").alias("_slot"))
+    more = slots.where("number != ''").select(F.col("cut").alias("_stem"), F.col("number").cast("long").alias("_slot"))
+    of = Window.partitionBy("_stem")
+    used = zero.unionByName(more).distinct().withColumn("_j", F.row_number().over(of.orderBy("_slot")) - 1)
+    rows = new.select(F.col(stem).alias("_stem"), F.struct(*new.columns).alias("_row"), F.struct(*order).alias("_order"))
+    rows = rows.withColumn("_at", (F.row_number().over(of.orderBy("_order")) - 1).cast("long"))
+    both = rows.select("_stem", "_at", F.lit(1).alias("_kind"), "_row").unionByName(
+        used.select("_stem", (F.col("_slot") - F.col("_j")).alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True
+    )
+    passed = F.sum(1 - F.col("_kind")).over(of.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    slot = F.col("_at") + F.col("_passed")
+    made = F.when(slot == 0, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), slot.cast("string")))
+    return both.withColumn("_passed", passed).where("_kind = 1").select("_row.*", made.alias(name))
 
 
 #: Digits of a number that can be reached.

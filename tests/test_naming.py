@@ -66,3 +66,24 @@ def test_running_sums_over_ranges_and_null_keys(spark):
             n, s = n + 1, s + v
             assert got[k, o] == (n, s)
     assert running_sums(df, [], ["o"], {"n": F.lit(1)}).agg(F.max("n")).first()[0] == 501
+
+
+def test_free_names_beside_taken_ones(spark):
+    rng = random.Random(9)
+    taken = {f"s{rng.randrange(4)}{rng.choice(['', '_1', '_2', '_3', '_7', '_10', '_01', '_2_1'])}" for _ in range(40)} | {"big_400000000"}
+    rows = [(i, rng.choice(["s0", "s1", "s2", "s3", "s9", "s1_2", "big"])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "i long, stem string")
+    got = {r["i"]: r["name"] for r in naming.assign_names(frame, spark.createDataFrame([(t,) for t in taken], "name string"), "stem", ["i"]).collect()}
+    used = {s: set() for _, s in rows}
+    for t in taken:
+        if t in used:
+            used[t].add(0)
+        base, _, n = t.rpartition("_")
+        if base in used and n.isdigit() and not n.startswith("0"):
+            used[base].add(int(n))
+    for i, stem in rows:
+        n = 0
+        while n in used[stem]:
+            n += 1
+        used[stem].add(n)
+        assert got[i] == (stem if n == 0 else f"{stem}_{n}")
