@@ -13,19 +13,15 @@ from pyspark.sql import functions as F
 
 from keepstone.adapters import table
 from keepstone.catalog import query
-from keepstone.sources import files, media
+from keepstone.sources import files, media, trees
 from keepstone.sources.shared import shared_folder
 
 
 def _written(spark: SparkSession, found: dict[str, bytes]) -> str:
-    """A new folder in the shared one with the given files."""
+    """A new folder in the shared one with the given files, written by executors."""
     root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex[:12]}"
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name, data in found.items():
-        out = fs.create(path_of(f"{root}/{name}"))
-        out.write(bytearray(data))
-        out.close()
+    rows = spark.createDataFrame([(name, bytearray(data)) for name, data in found.items()], "path string, data binary")
+    trees.write_files(rows, root)
     return root.removeprefix("file://").removeprefix("file:")
 
 

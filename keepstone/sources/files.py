@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.config import EMPTY_SHA256
 from keepstone.functions.scalars import file_kind, root_key
+from keepstone.sources import trees
 
 ROOT_PREFIX = "_inbox_"
 
@@ -16,8 +18,19 @@ ROOT_PREFIX = "_inbox_"
 def list_root(spark: SparkSession, root: str, with_content_hash: bool = False) -> DataFrame:
     """(path, size, mtime[, sha256]) of all files below a root; contents are only read for the hash.
 
-    Spark's file scan leaves empty files out of its rows but knows their paths; they come back with size 0 and no time.
+    Executors list and read the tree; a store that only Spark's readers can open goes through those.
     """
+    try:
+        trees.file_system(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return _listed_by_spark(spark, root, with_content_hash)
+    found = trees.list_tree(spark, root)
+    return trees.with_hashes(found, root).drop("error") if with_content_hash else found
+
+
+def _listed_by_spark(spark: SparkSession, root: str, with_content_hash: bool) -> DataFrame:
+    """The same by Spark's file scan. It leaves empty files out of its rows but knows their paths; they come back with
+    size 0 and no time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
 
