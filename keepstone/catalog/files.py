@@ -128,6 +128,8 @@ def a_pixel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.lpad(F.hex(c), 2, "0")
     other = F.when(F.col("p_partkey") % 2 == 0, a).otherwise(b)
     rows = F.concat(F.repeat(F.concat(text(a), text(other)), 4), F.repeat(F.concat(text(other), text(a)), 4))
-    pictures = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.repeat(rows, 4)).alias("pixels"))
+    # Numbers take little room beside the pictures made of them, so they are dealt out by a stated number of tasks.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    pictures = parts.select("p_partkey", F.unhex(F.repeat(rows, 4)).alias("pixels"))
     found = pictures.withColumn("f", media.gray_features(F.lit(8), F.lit(8), F.col("pixels")))
     return found.select("p_partkey", F.round("f.exposure", 9).alias("exposure"), F.round("f.sharpness", 6).alias("sharpness"))
