@@ -86,9 +86,11 @@ def a_package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 != 0 THEN 1600000000 + p_partkey * 1000 ELSE -1 END AS seconds FROM part")
 def a_container_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Creation times out of movie headers; a file without one has none."""
-    made = F.lpad(F.hex(F.lit(1_600_000_000 + media.EPOCH_1904) + F.col("p_partkey") * 1000), 8, "0")
-    header = F.concat(F.lit("0000001C6D6F6F76000000146D76686400000000"), made, F.lit("00000000"))
+    """Creation times out of movie headers, of 32 bits or, where those don't hold a time, of 64; a file without one has none."""
+    made = F.lit(1_600_000_000 + media.EPOCH_1904) + F.col("p_partkey") * 1000
+    short = F.concat(F.lit("0000001C6D6F6F76000000146D76686400000000"), F.lpad(F.hex(made), 8, "0"), F.lit("00000000"))
+    long = F.concat(F.lit("000000246D6F6F760000001C6D76686401000000"), F.lpad(F.hex(made), 16, "0"), F.lit("0000000000000000"))
+    header = F.when(made < 1 << 32, short).otherwise(long)
     content = F.unhex(F.when(F.col("p_partkey") % 4 == 0, F.lit("0000000866726565")).otherwise(header))
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(media.container_time(content), F.lit(-1)).alias("seconds"))
 
