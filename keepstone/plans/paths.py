@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstone import config as C
 from keepstone.operators.intervals import most_specific
+from keepstone.sources.shared import stored
 
 
 def desired_paths(records: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -15,13 +16,18 @@ def desired_paths(records: DataFrame, ranges: DataFrame) -> DataFrame:
 
     records (sha256, name, ext, taken_at, date_source, moment_id, is_best, duplicate_of).
     """
+    # Scores take sorts and shuffles; they are written once and read for the bests, the names and the rows.
+    records = stored(records.select("sha256", "name", "ext", "taken_at", "date_source", "moment_id", "is_best", "duplicate_of"), "scored")
     best = most_specific(records.where("is_best").select("moment_id", "sha256", "name", "taken_at", "date_source"), "taken_at", ranges, "sha256")
     real = ~F.col("date_source").isin(*C.NO_TIME)
     day = F.date_format("taken_at", "yyyy-MM-dd")
     event = F.when(real & F.col("slug").isNotNull(), F.concat(F.lit("_"), F.col("slug"))).otherwise("")
     best = best.select("moment_id", F.col("name").alias("best_name"), F.concat(F.date_format("taken_at", "yyyy"), F.lit("/"), day, event).alias("folder"))
     names = records.select(F.col("sha256").alias("duplicate_of"), F.col("name").alias("kept_name"))
-    joined = records.join(best, "moment_id", "left").join(names, "duplicate_of", "left")
+    # Only copies look for a name; the others have no key, and all of them would meet in one task.
+    copies = records.where("duplicate_of is not null").join(names, "duplicate_of", "left")
+    both = copies.unionByName(records.where("duplicate_of is null").withColumn("kept_name", F.lit(None).cast("string")))
+    joined = both.join(best, "moment_id", "left")
     file = F.concat("name", "ext")
     month = F.date_format("taken_at", "yyyy-MM")
     path = (
