@@ -10,6 +10,7 @@ from keepstone.catalog import query
 from keepstone.config import Curation
 from keepstone.operators import bursts, copies, edits, ingest, naming, ranking, status
 from keepstone.operators import vectors as V
+from keepstone.sources.shared import stored
 
 #: Events are minutes apart, so gaps are wider here than the defaults.
 WIDE = Curation(burst_gap_seconds=3600, copy_gap_seconds=1800)
@@ -325,7 +326,7 @@ WITH {_SCORED}, two AS (SELECT moment_id FROM scored GROUP BY moment_id ORDER BY
 SELECT sha256, (SELECT arg_min(moment_id, strftime(taken_at, '%Y%m%d%H%M%S') || sha256) FROM scored WHERE moment_id IN (SELECT moment_id FROM two)) AS moment_id FROM scored WHERE moment_id IN (SELECT moment_id FROM two)
 """)
 def j_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.score_groups(grouped(spark, sf_dir), Curation())
+    scored = stored(ranking.score_groups(grouped(spark, sf_dir), Curation()).select("sha256", "moment_id", "taken_at", "is_best"), "scored")  # read several times
     two = scored.groupBy("moment_id").agg(F.min("taken_at").alias("t")).orderBy("t", "moment_id").limit(2)
     return edits.combine(scored, scored.where("is_best").join(F.broadcast(two), "moment_id", "left_semi"))
 
