@@ -141,7 +141,12 @@ def _links(points: DataFrame, cfg: Curation) -> DataFrame:
 
 
 def mark_copies(records: DataFrame, cfg: Curation) -> DataFrame:
-    """(sha256, duplicate_of): every copy but its group's keeper points at the keeper.
+    """(sha256, duplicate_of): every copy but its group's keeper points at the keeper; all others have null."""
+    return records.select("sha256").join(copies_of(records, cfg), "sha256", "left")
+
+
+def copies_of(records: DataFrame, cfg: Curation) -> DataFrame:
+    """(sha256, duplicate_of) of the copies alone.
 
     Keeper: most pixels, then sharpest, then largest file, then earliest, then least sha256. ``size`` may be null. Rows
     that lie so close together that all are copies of one another are one node; only nodes are linked, so neither pairs
@@ -157,5 +162,4 @@ def mark_copies(records: DataFrame, cfg: Curation) -> DataFrame:
     rank = F.struct((-pixels).alias("p"), sharpest.alias("s"), (-size).alias("z"), F.col("_t").alias("t"), "sha256")
     members = stored(told.select(*_CELL, "sha256", rank.alias("_rank")).join(cells.select(*_CELL, "component"), _CELL).select("sha256", "component", "_rank"), "members")
     keepers = members.groupBy("component").agg(F.min("_rank").alias("_first")).select("component", F.col("_first.sha256").alias("duplicate_of"))
-    named = members.join(keepers, "component").where("sha256 != duplicate_of").select("sha256", "duplicate_of")
-    return records.select("sha256").join(named, "sha256", "left")
+    return members.join(keepers, "component").where("sha256 != duplicate_of").select("sha256", "duplicate_of")

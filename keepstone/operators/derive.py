@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from keepstone.config import Curation
 from keepstone.operators.bursts import islands
-from keepstone.operators.copies import mark_copies
+from keepstone.operators.copies import copies_of
 from keepstone.operators.intervals import most_specific
 from keepstone.operators.ranking import score_groups
-from keepstone.plans.paths import desired_paths
+from keepstone.plans.paths import with_paths
+from keepstone.sources.shared import stored
+
+
+#: What copies, scores and paths of records are made of.
+_READ = ["sha256", "moment_id", "taken_at", "date_source", "name", "ext", "width", "height", "size", "phash", "sharpness", "exposure", "faces", "face_sharpness", "user_best", "favorite"]
 
 
 def refresh(records: DataFrame, ranges: DataFrame, cfg: Curation, changed: DataFrame | None = None) -> DataFrame:
@@ -19,13 +24,13 @@ def refresh(records: DataFrame, ranges: DataFrame, cfg: Curation, changed: DataF
     changed (moment_id) names the groups that an edit touches: only those are derived, to the rows of a full run. Null
     derives all, an empty relation nothing. A group depends on nothing outside it, so no other row is read but once.
     """
-    own = records.drop("duplicate_of")
+    own = records.select(*_READ)
     if changed is not None:
         own = own.join(changed.select("moment_id").distinct(), "moment_id", "left_semi")
-    marked = own.join(mark_copies(own, cfg), "sha256")
-    scored = score_groups(marked, cfg)
-    placed = scored.join(desired_paths(scored, ranges), "sha256")
-    return placed.select("sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call", "path")
+    own = stored(own, "own")  # read by every step of finding copies, and by scores
+    scored = score_groups(own.join(copies_of(own, cfg), "sha256", "left"), cfg)
+    scored = stored(scored.select("sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call", "name", "ext", "taken_at", "date_source"), "scored")
+    return with_paths(scored, ranges).select("sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call", "path")
 
 
 def keep_ids(before: DataFrame, now: DataFrame) -> DataFrame:

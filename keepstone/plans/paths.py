@@ -18,6 +18,11 @@ def desired_paths(records: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     # Scores take sorts and shuffles; they are written once and read for the bests, the names and the rows.
     records = stored(records.select("sha256", "name", "ext", "taken_at", "date_source", "moment_id", "is_best", "duplicate_of"), "scored")
+    return with_paths(records, ranges).select("sha256", "path")
+
+
+def with_paths(records: DataFrame, ranges: DataFrame) -> DataFrame:
+    """records plus the path of each; they are read several times, so they should be written (``stored``)."""
     best = most_specific(records.where("is_best").select("moment_id", "sha256", "name", "taken_at", "date_source"), "taken_at", ranges, "sha256")
     real = ~F.col("date_source").isin(*C.NO_TIME)
     day = F.date_format("taken_at", "yyyy-MM-dd")
@@ -37,4 +42,4 @@ def desired_paths(records: DataFrame, ranges: DataFrame) -> DataFrame:
         .when(F.col("duplicate_of").isNotNull(), F.concat_ws("/", "folder", F.lit(C.DUPLICATES), "kept_name", file))
         .otherwise(F.concat_ws("/", "folder", F.lit(C.ALTERNATES), "best_name", file))
     )
-    return joined.select("sha256", path.alias("path"))
+    return joined.select(*records.columns, path.alias("path"))
