@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepstone.functions.scalars import dot
+from keepstone.session import ship, small_batches
 from keepstone.sources.shared import stored
 
-#: Pivots at most.
-PIVOTS = 1024
+#: Pivots at most, and parts in which the blocks of a side are written.
+PIVOTS, PARTS = 1024, 16
 #: What rounding may add to a product of unit vectors.
 SLACK = 1e-9
 
@@ -28,10 +30,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Balls:
-    """Rows (id, v, other columns) dealt to blocks: ``rows`` has them with ``block``, ``stats`` (block, centre, radius, n)."""
+    """Rows (id, v, other whole numbers) dealt to blocks: ``rows`` has them with ``block``, ``stats`` (block, centre, radius,
+    n), and ``packed`` a row for each block, with its vectors (``vs``) and its numbers (``ids``, ...) as bytes."""
 
     def __init__(self, rows: DataFrame, block: int):
         spark = rows.sparkSession
+        ship(spark)
         rows = stored(rows, "vectors")
         count = rows.count()
         n_pivots = min(PIVOTS, max(1, -(-count // block)))
@@ -54,12 +58,19 @@ class Balls:
         dealt = celled.join(F.broadcast(table), "cell").withColumn("block", (F.col("_start") + F.pmod(F.xxhash64("id"), F.col("_parts"))).cast("int"))
         self.rows = stored(dealt.select(*rows.columns, "block"), "dealt")
 
-        def measured(frame: pd.DataFrame) -> pd.DataFrame:
-            v = np.stack(frame["v"].to_numpy())
+        def packed(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            v = np.stack(frame["v"].to_numpy()).astype(float)
             centre = v.mean(axis=0)
-            return pd.DataFrame({"block": [frame["block"].iloc[0]], "centre": [centre], "radius": [float(np.sqrt(((v - centre) ** 2).sum(axis=1).max()))], "n": [len(v)]})
+            radius = float(np.sqrt(((v - centre) ** 2).sum(axis=1).max()))
+            told = {"block": [frame["block"].iloc[0]], "centre": [centre], "length": [float(np.sqrt(centre @ centre))], "radius": [radius], "n": [len(v)]}
+            return pd.DataFrame({**told, "vs": [v.tobytes()], **{f"{c}s": [frame[c].to_numpy().astype(np.int64).tobytes()] for c in longs}})
 
-        self.stats = stored(self.rows.select("block", "v").groupBy("block").applyInPandas(measured, "block int, centre array<double>, radius double, n long"), "stats")
+        longs = [c for c in rows.columns if c != "v"]
+        schema = "block int, centre array<double>, length double, radius double, n long, vs binary" + "".join(f", {c}s binary" for c in longs)
+        made = self.rows.groupBy("block").applyInPandas(packed, schema)
+        self.packed = stored(made.repartition(max(1, min(PARTS, at))), "packed")
+        self.stats = self.packed.select("block", "centre", "radius", "n")
 
 
 def bounds(a: Balls, b: Balls) -> DataFrame:
@@ -84,9 +95,28 @@ def bounds(a: Balls, b: Balls) -> DataFrame:
     return stored(a.stats.select("block", "centre", "radius").mapInArrow(run, schema), "bounds")
 
 
-def met(a: Balls, b: Balls, pairs: DataFrame, extra: list[str]):
-    """The blocks of ``pairs`` (i, j) beside each other, as a cogroup; columns of ``b`` get the prefix r_."""
-    left = a.rows.select("id", "v", F.col("block").alias("i")).join(pairs.select("i", "j"), "i")
-    right = b.rows.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "v", *extra)], F.col("block").alias("j")).join(pairs.select("i", "j"), "j")
-    right = right.withColumnsRenamed({"i": "r_i", "j": "r_j"})
-    return left.groupBy("i", "j").cogroup(right.groupBy("r_i", "r_j"))
+def crossed(a: DataFrame, b: DataFrame, least: Column, also: Column | None = None) -> DataFrame:
+    """Each packed block of ``a`` beside each of ``b`` (columns with the prefix r_) that may hold a product of ``least``.
+
+    Parts of both sides, at most ``PARTS``, are read as they were written, each by the tasks that need it, so no vector is
+    shuffled or written again, however many blocks there are. A block of ``a`` meets the blocks of a part one after another.
+    """
+    small_batches(a.sparkSession, 64, 4 << 20)
+    b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
+    reach = F.col("length") * F.col("r_radius") + F.col("r_length") * F.col("radius") + F.col("radius") * F.col("r_radius")
+    on = dot(F.col("centre"), F.col("r_centre")) + reach >= least - SLACK
+    both = a.join(b.hint("shuffle_replicate_nl"), on if also is None else also & on)
+    return both.drop("centre", "r_centre")
+
+
+def beside(a: Balls, b: Balls, pairs: DataFrame) -> DataFrame:
+    """The packed blocks of a few ``pairs`` (i, j) beside each other, as ``crossed`` has them."""
+    small_batches(a.rows.sparkSession, 64, 4 << 20)
+    right = b.packed.select(*[F.col(c).alias(f"r_{c}") for c in b.packed.columns])
+    return a.packed.join(pairs.select(F.col("i").alias("block"), F.col("j").alias("r_block")), "block").join(right, "r_block")
+
+
+def unpacked(vs: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, ids) of a packed block, by ascending id."""
+    found = np.frombuffer(ids, np.int64)
+    return np.frombuffer(vs, float).reshape(len(found), -1), found

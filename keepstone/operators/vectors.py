@@ -1,15 +1,18 @@
 """Similarity over unit vectors: labelling from named examples, mutual nearest neighbours, groups, typicality.
 
-Vectors are compared block against block: each side is dealt into blocks of vectors that lie together, and one task
-multiplies one pair of blocks, so no task sees more than two blocks and only the best of each block leave it. Pairs of
-blocks that can't hold a similar pair are left out (``balls``). Results are exact; where vectors don't cluster, hardly a
+Vectors are compared block against block: each side is dealt into blocks of vectors that lie together and packed, a row
+for each block, and parts of both sides meet by a Cartesian product of those rows, which shuffles nothing. A task sees two
+blocks at a time, and only the best of a part leave it. Pairs of blocks that can't hold a similar pair are left out (``balls``). Results are exact; where vectors don't cluster, hardly a
 pair is left out and the work is the product of both sides, which is meant for some ten million vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,37 +24,79 @@ from keepstone.sources.shared import stored
 BLOCK = 2048
 
 
+def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of (row, other, similarity) the k most similar of each row, ties of 12 digits to the smaller id."""
+    rows, others, sims = found
+    order = np.lexsort((others, -np.round(sims, 12), rows))
+    rows = rows[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = order[place < k]
+    return found[0][kept], others[kept], sims[kept]
+
+
+def _candidates(sims: np.ndarray, least: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, other, similarity) of what can be among the k best of a row; ``others`` ascend."""
+    hit = sims >= least[:, None]
+    if np.count_nonzero(hit) * 8 > hit.size and hit.shape[1] > k:
+        at = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
+        i, j = np.repeat(np.arange(len(sims)), k), at.ravel()
+    else:
+        i, j = np.nonzero(hit)
+    return i, others[j], sims[i, j]
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity): for each left (id, v) the k most similar right rows, itself included; ties to the
     smaller id.
 
-    Each block is compared with the two whose centres are nearest first. The least k-th similarity found there is what
-    another block has to be able to reach to be compared at all.
+    Each block is compared with the two whose centres are nearest first. The k-th similarity found there is what another
+    row has to reach, and the least of a block what another block has to be able to reach to be compared at all.
     """
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"i": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        if not len(a) or not len(b):
-            return empty
-        b = b.sort_values("r_id")
-        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        n = at.shape[1]
-        return pd.DataFrame(
-            {"i": np.repeat(a["i"].to_numpy(), n), "id": np.repeat(a["id"].to_numpy(), n), "other": b["r_id"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(sims, at, axis=1).ravel()}
-        )
-
-    schema = "i int, id long, other long, similarity double"
+    def ahead(frame: pd.DataFrame) -> pd.DataFrame:
+        """A left block with the k-th similarity of each row in the blocks beside it."""
+        one = frame.iloc[0]
+        v, ids = balls.unpacked(one["vs"], one["ids"])
+        sims = np.concatenate([v @ balls.unpacked(r["r_vs"], r["r_ids"])[0].T for _, r in frame.iterrows()], axis=1)
+        kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.full(len(ids), -np.inf)
+        told = {c: [one[c]] for c in ("block", "centre", "length", "radius", "vs", "ids")}
+        return pd.DataFrame({**told, "least": [float(kth.min())], "kths": [kth.astype(float).tobytes()]})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, None
+
+        def told() -> pa.RecordBatch:
+            i, others, sims = held
+            return pa.record_batch([pa.array(ids[i]), pa.array(others), pa.array(sims)], names=["id", "other", "similarity"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] != here:
+                    if held is not None:
+                        yield told()
+                    v, ids = balls.unpacked(r["vs"], r["ids"])
+                    least = np.frombuffer(r["kths"], float) - balls.SLACK
+                    here, held = r["block"], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                w, others = balls.unpacked(r["r_vs"], r["r_ids"])
+                more = _candidates(v @ w.T, least, others, k)
+                if len(more[0]):
+                    held = _best(tuple(np.concatenate(x) for x in zip(held, more, strict=True)), k)
+                    full = np.flatnonzero(np.bincount(held[0], minlength=len(ids)) == k)
+                    low = np.full(len(ids), np.inf)
+                    np.minimum.at(low, held[0], held[2])
+                    least = least.copy()
+                    least[full] = np.maximum(least[full], low[full] - balls.SLACK)
+        if held is not None:
+            yield told()
+
     x = balls.Balls(left.select("id", "v"), block)
     y = x if left is right else balls.Balls(right.select("id", "v"), block)
-    every = balls.bounds(x, y)
-    ahead = every.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("near"), "j")))
-    first = stored(balls.met(x, y, ahead.where("_r <= 2"), []).applyInPandas(best, schema), "near")
-    by_id = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    kth = first.withColumn("_r", F.row_number().over(by_id)).groupBy("i", "id").agg(F.min(F.when(F.col("_r") == k, F.col("similarity"))).alias("s"))
-    least = kth.groupBy("i").agg(F.min(F.coalesce("s", F.lit(float("-inf")))).alias("least"))
-    rest = ahead.where("_r > 2").join(least, "i").where(F.col("most") >= F.col("least") - balls.SLACK)
-    found = first.unionByName(balls.met(x, y, rest, []).applyInPandas(best, schema)).drop("i")
+    ranked = balls.bounds(x, y).withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("near"), "j")))
+    first = balls.beside(x, y, ranked.where("_r <= 2")).groupBy("block")
+    schema = "block int, centre array<double>, length double, radius double, vs binary, ids binary, least double, kths binary"
+    known = stored(first.applyInPandas(ahead, schema).repartition(balls.PARTS), "near")
+    met = balls.crossed(known, y.packed, F.col("least")).select("block", "vs", "ids", "kths", "r_vs", "r_ids")
+    found = met.mapInArrow(best, "id long, other long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "other")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
@@ -59,16 +104,21 @@ def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> Da
 def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity) of all pairs of vectors (id, v) with at least a similarity, id < other."""
 
-    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T if len(a) and len(b) else np.zeros((0, 0))
-        i, j = np.nonzero(sims >= least)
-        ids, others = a["id"].to_numpy()[i], b["r_id"].to_numpy()[j]
-        below = ids < others
-        return pd.DataFrame({"id": ids[below], "other": others[below], "similarity": sims[i, j][below]})
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                v, ids = balls.unpacked(r["vs"], r["ids"])
+                w, others = balls.unpacked(r["r_vs"], r["r_ids"])
+                sims = v @ w.T
+                i, j = np.nonzero(sims >= least)
+                if r["block"] == r["r_block"]:
+                    i, j = i[ids[i] < others[j]], j[ids[i] < others[j]]
+                a, b = ids[i], others[j]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims[i, j])], names=["id", "other", "similarity"])
 
-    x = balls.Balls(vectors.select("id", "v"), block)
-    near = balls.bounds(x, x).where(F.col("most") >= least - balls.SLACK)
-    return balls.met(x, x, near, []).applyInPandas(pairs, "id long, other long, similarity double")
+    x = balls.Balls(vectors.select("id", "v"), block).packed
+    met = balls.crossed(x, x, F.lit(least), F.col("block") <= F.col("r_block")).select("block", "vs", "ids", "r_block", "r_vs", "r_ids")
+    return met.mapInArrow(pairs, "id long, other long, similarity double")
 
 
 def label_from_examples(todo: DataFrame, named: DataFrame, rejected: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -77,21 +127,20 @@ def label_from_examples(todo: DataFrame, named: DataFrame, rejected: DataFrame,
     todo (id, v), named (id, v, person_id), rejected (id, person_id): a rejected person is never given.
     """
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "person_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["r_v"].to_numpy()).T
-        people, at = np.unique(b["r_person_id"].to_numpy(), return_inverse=True)
-        top = np.full((len(a), len(people)), -np.inf)
-        for p in range(len(people)):
-            top[:, p] = sims[:, at == p].max(axis=1)
-        keep = top >= threshold
-        rows, cols = np.nonzero(keep)
-        return pd.DataFrame({"id": a["id"].to_numpy()[rows], "person_id": people[cols], "similarity": top[rows, cols]})
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                v, ids = balls.unpacked(r["vs"], r["ids"])
+                w, _ = balls.unpacked(r["r_vs"], r["r_ids"])
+                sims = v @ w.T
+                people, at = np.unique(np.frombuffer(r["r_person_ids"], np.int64), return_inverse=True)
+                top = np.stack([sims[:, at == p].max(axis=1) for p in range(len(people))], axis=1)
+                rows, cols = np.nonzero(top >= threshold)
+                yield pa.record_batch([pa.array(ids[rows]), pa.array(people[cols]), pa.array(top[rows, cols])], names=["id", "person_id", "similarity"])
 
     x, y = balls.Balls(todo.select("id", "v"), block), balls.Balls(named.select("id", "v", "person_id"), block)
-    near = balls.bounds(x, y).where(F.col("most") >= threshold - balls.SLACK)
-    found = balls.met(x, y, near, ["person_id"]).applyInPandas(best, "id long, person_id long, similarity double")
+    met = balls.crossed(x.packed, y.packed, F.lit(threshold)).select("vs", "ids", "r_vs", "r_ids", "r_person_ids")
+    found = met.mapInArrow(best, "id long, person_id long, similarity double").groupBy("id", "person_id").agg(F.max("similarity").alias("similarity"))
     allowed = found.join(rejected.select("id", "person_id"), ["id", "person_id"], "left_anti")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "person_id")
     return allowed.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

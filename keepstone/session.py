@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import zipfile
 
@@ -58,3 +59,12 @@ def _ship(application: str, session: SparkSession) -> None:
 def ship(session: SparkSession) -> None:
     """Let Python workers on executors import this package, wherever it lies on the driver; once for each application."""
     _ship(session.sparkContext.applicationId, session)
+
+
+def small_batches(session: SparkSession, rows: int, size: int) -> None:
+    """Bound the session's Arrow batches, of rows that are large; they are only ever made smaller."""
+    for name, least in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", session.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= least:
+            session.conf.set(key, str(least))
