@@ -62,7 +62,8 @@ class BurstStore:
         return self.spark.read.option("basePath", root).parquet(*there)
 
     def _append(self, df: DataFrame, name: str, folder: str) -> None:
-        df.repartition(folder).write.mode("append").partitionBy(folder).parquet(f"{self.root}/{name}")
+        # A folder may hold nearly all rows (an island lies under its first day): those are dealt to as many tasks as they need.
+        df.hint("rebalance", folder).write.mode("append").partitionBy(folder).parquet(f"{self.root}/{name}")
 
     def _live(self, cells: DataFrame | None) -> DataFrame | None:
         """(island, home, camera, first, last, batch, cell) of islands that are alive, a row for each cell that was read."""
@@ -113,9 +114,9 @@ class BurstStore:
         kept = late.withColumn("moment_id", F.lit(None).cast("string"))
         if old is not None:
             kept = kept.unionByName(old.join(late.select("sha256"), "sha256", "left_anti"))
-        kept = kept.join(gone.select("sha256"), "sha256", "left_anti")
+        kept = stored(kept.join(gone.select("sha256"), "sha256", "left_anti"), "kept")
         now = bursts(kept.drop("moment_id"), self.gap_seconds, self.most_bits)
-        folded = self._timed(kept.drop("moment_id").join(now, "sha256"))
+        folded = stored(self._timed(kept.drop("moment_id").join(now, "sha256")), "grouped")  # folds once, read by runs and rows
         timed = islands(folded.where("_camera is not null"), ["_camera"], "taken_at", ["sha256"], self.gap_seconds, "run")
         alone = folded.where("_camera is null").withColumn("run", F.lit(None).cast("long"))
         named = F.when(F.col("run").isNull(), F.col("sha256"))
