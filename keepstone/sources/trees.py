@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.functions.scalars import camera_name, header_time
-from keepstone.session import ship
+from keepstone.session import ship, small_batches
 from keepstone.sources.media import EPOCH_1904
 from keepstone.sources.shared import stored
 
@@ -112,6 +112,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
             yield pa.record_batch([batch.column("path"), pa.array(sizes, pa.int64())], names=["path", "size"])
 
     ship(files.sparkSession)
+    small_batches(files.sparkSession, 256, 4 << 20)  # rows are whole files; a batch of Spark's own 10,000 rows is held at once
     return stored(files.select("path", "data").mapInArrow(run, "path string, size long"), "written")
 
 
