@@ -21,6 +21,8 @@ from keepstone.sources.shared import stored
 
 #: Pivots at most, and parts in which the blocks of a side are written.
 PIVOTS, PARTS = 1024, 16
+#: Parts at least in which a side is searched, and blocks of a part while there are fewer than ``PARTS``.
+FEW, PART_BLOCKS = 4, 128
 #: What rounding may add to a product of unit vectors.
 SLACK = 1e-9
 
@@ -68,8 +70,9 @@ class Balls:
 
         longs = [c for c in rows.columns if c != "v"]
         schema = "block int, centre array<double>, length double, radius double, n long, vs binary" + "".join(f", {c}s binary" for c in longs)
-        made = self.rows.groupBy("block").applyInPandas(packed, schema)
-        self.packed = stored(made.repartition(max(1, min(PARTS, at))), "packed")
+        dealt = self.rows.repartition(max(1, min(PARTS, at)), "block")
+        self.packed = stored(dealt.groupBy("block").applyInPandas(packed, schema), "packed")
+        self.parts = min(PARTS, max(FEW, -(-at // PART_BLOCKS)))
         self.stats = self.packed.select("block", "centre", "radius", "n")
 
 
@@ -112,8 +115,9 @@ def crossed(a: DataFrame, b: DataFrame, least: Column, also: Column | None = Non
 def beside(a: Balls, b: Balls, pairs: DataFrame) -> DataFrame:
     """The packed blocks of a few ``pairs`` (i, j) beside each other, as ``crossed`` has them."""
     small_batches(a.rows.sparkSession, 64, 4 << 20)
+    named = pairs.groupBy(F.col("i").alias("block")).agg(F.collect_list("j").alias("js"))  # a row for each block
     right = b.packed.select(*[F.col(c).alias(f"r_{c}") for c in b.packed.columns])
-    return a.packed.join(pairs.select(F.col("i").alias("block"), F.col("j").alias("r_block")), "block").join(right, "r_block")
+    return a.packed.join(F.broadcast(named), "block").join(right.hint("shuffle_replicate_nl"), F.array_contains("js", F.col("r_block")))
 
 
 def unpacked(vs: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ from keepstone.operators.graph import connected_components
 from keepstone.sources.shared import stored
 
 BLOCK = 2048
+#: Parts of the left side of a search.
+LEFT_PARTS = 64
 
 
 def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
@@ -34,15 +36,26 @@ def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     return found[0][kept], others[kept], sims[kept]
 
 
-def _candidates(sims: np.ndarray, least: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(row, other, similarity) of what can be among the k best of a row; ``others`` ascend."""
-    hit = sims >= least[:, None]
-    if np.count_nonzero(hit) * 8 > hit.size and hit.shape[1] > k:
-        at = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-        i, j = np.repeat(np.arange(len(sims)), k), at.ravel()
-    else:
-        i, j = np.nonzero(hit)
-    return i, others[j], sims[i, j]
+def _reaching(v: np.ndarray, w: np.ndarray, least: np.ndarray, k: int = 0) -> tuple[np.ndarray, ...]:
+    """(row, column, product) of what reaches ``least``, one number for each row of ``v``; with ``k``, where very much does,
+    the k largest of each row, ties to the first column.
+
+    Single precision and what it can be off by leave few products out of which double precision chooses.
+    """
+    off = (v.shape[1] + 4) * 2.0**-23 * np.sqrt((v * v).sum(axis=1).max() * (w * w).sum(axis=1).max()) + 1e-30
+    low = np.nextafter((least - off).astype(np.float32), np.float32(-np.inf))
+    at = np.flatnonzero(~(v.astype(np.float32) @ w.astype(np.float32).T < low[:, None]))
+    if len(at) * 64 > len(v) * len(w):
+        sims = v @ w.T
+        if len(at) * 8 > sims.size and 0 < k < len(w):
+            i, j = np.repeat(np.arange(len(v)), k), np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k].ravel()
+            return i, j, sims[i, j]
+        i, j = np.divmod(np.flatnonzero(sims >= least[:, None]), len(w))
+        return i, j, sims[i, j]
+    i, j = np.divmod(at, len(w))
+    sims = np.einsum("ij,ij->i", v[i], w[j])
+    hit = sims >= least[i]
+    return i[hit], j[hit], sims[hit]
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -53,49 +66,61 @@ def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> Da
     row has to reach, and the least of a block what another block has to be able to reach to be compared at all.
     """
 
-    def ahead(frame: pd.DataFrame) -> pd.DataFrame:
-        """A left block with the k-th similarity of each row in the blocks beside it."""
-        one = frame.iloc[0]
-        v, ids = balls.unpacked(one["vs"], one["ids"])
-        sims = np.concatenate([v @ balls.unpacked(r["r_vs"], r["r_ids"])[0].T for _, r in frame.iterrows()], axis=1)
-        kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.full(len(ids), -np.inf)
-        told = {c: [one[c]] for c in ("block", "centre", "length", "radius", "vs", "ids")}
-        return pd.DataFrame({**told, "least": [float(kth.min())], "kths": [kth.astype(float).tobytes()]})
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k largest similarities of each row of a left block in one block."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                sims = balls.unpacked(r["vs"], r["ids"])[0] @ balls.unpacked(r["r_vs"], r["r_ids"])[0].T
+                top = np.full((len(sims), k), -np.inf)
+                n = min(k, sims.shape[1])
+                top[:, :n] = np.partition(sims, -n, axis=1)[:, -n:]
+                yield pa.record_batch([pa.array([r["block"]], pa.int32()), pa.array([top.tobytes()])], names=["block", "top"])
+
+    def known(frame: pd.DataFrame) -> pd.DataFrame:
+        """The k-th similarity of each row of a left block in the blocks beside it."""
+        tops = np.concatenate([np.frombuffer(t, float).reshape(-1, k) for t in frame["top"]], axis=1)
+        kth = np.partition(tops, -k, axis=1)[:, -k]
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "least": [float(kth.min())], "kths": [kth.tobytes()]})
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, None
+        here, held, waiting = None, [], 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return _best(tuple(np.concatenate(x) for x in zip(*held, strict=True)), k)
 
         def told() -> pa.RecordBatch:
-            i, others, sims = held
+            i, others, sims = merged()
             return pa.record_batch([pa.array(ids[i]), pa.array(others), pa.array(sims)], names=["id", "other", "similarity"])
 
         for batch in batches:
             for r in batch.to_pylist():
                 if r["block"] != here:
-                    if held is not None:
+                    if held:
                         yield told()
                     v, ids = balls.unpacked(r["vs"], r["ids"])
                     least = np.frombuffer(r["kths"], float) - balls.SLACK
-                    here, held = r["block"], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                    here, held, waiting = r["block"], [], 0
                 w, others = balls.unpacked(r["r_vs"], r["r_ids"])
-                more = _candidates(v @ w.T, least, others, k)
-                if len(more[0]):
-                    held = _best(tuple(np.concatenate(x) for x in zip(held, more, strict=True)), k)
-                    full = np.flatnonzero(np.bincount(held[0], minlength=len(ids)) == k)
+                i, j, sims = _reaching(v, w, least, k)
+                held.append((i, others[j], sims))
+                waiting += len(i)
+                if waiting > k * len(ids):
+                    held, waiting = [merged()], 0
+                    i, _, sims = held[0]
                     low = np.full(len(ids), np.inf)
-                    np.minimum.at(low, held[0], held[2])
-                    least = least.copy()
-                    least[full] = np.maximum(least[full], low[full] - balls.SLACK)
-        if held is not None:
+                    np.minimum.at(low, i, sims)
+                    least = np.where(np.bincount(i, minlength=len(ids)) == k, np.maximum(least, low - balls.SLACK), least)
+        if held:
             yield told()
 
     x = balls.Balls(left.select("id", "v"), block)
     y = x if left is right else balls.Balls(right.select("id", "v"), block)
     ranked = balls.bounds(x, y).withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("near"), "j")))
-    first = balls.beside(x, y, ranked.where("_r <= 2")).groupBy("block")
-    schema = "block int, centre array<double>, length double, radius double, vs binary, ids binary, least double, kths binary"
-    known = stored(first.applyInPandas(ahead, schema).repartition(balls.PARTS), "near")
-    met = balls.crossed(known, y.packed, F.col("least")).select("block", "vs", "ids", "kths", "r_vs", "r_ids")
+    first = balls.beside(x, y, ranked.where("_r <= 2")).select("block", "vs", "ids", "r_vs", "r_ids")
+    tops = first.mapInArrow(ahead, "block int, top binary").groupBy("block").applyInPandas(known, "block int, least double, kths binary")
+    parts = [z.repartition(LEFT_PARTS, "block") for z in (x.packed, tops)]
+    told = stored(parts[0].join(parts[1], "block"), "near")
+    met = balls.crossed(told, y.packed.coalesce(y.parts), F.col("least")).select("block", "vs", "ids", "kths", "r_vs", "r_ids")
     found = met.mapInArrow(best, "id long, other long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "other")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
@@ -109,12 +134,12 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataF
             for r in batch.to_pylist():
                 v, ids = balls.unpacked(r["vs"], r["ids"])
                 w, others = balls.unpacked(r["r_vs"], r["r_ids"])
-                sims = v @ w.T
-                i, j = np.nonzero(sims >= least)
+                i, j, sims = _reaching(v, w, np.full(len(v), least))
                 if r["block"] == r["r_block"]:
-                    i, j = i[ids[i] < others[j]], j[ids[i] < others[j]]
+                    below = ids[i] < others[j]
+                    i, j, sims = i[below], j[below], sims[below]
                 a, b = ids[i], others[j]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims[i, j])], names=["id", "other", "similarity"])
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims)], names=["id", "other", "similarity"])
 
     x = balls.Balls(vectors.select("id", "v"), block).packed
     met = balls.crossed(x, x, F.lit(least), F.col("block") <= F.col("r_block")).select("block", "vs", "ids", "r_block", "r_vs", "r_ids")
