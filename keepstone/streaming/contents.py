@@ -2,9 +2,9 @@
 
 Keys lie in buckets by the first digits of a hash. The number of digits grows with what is stored, and what was written
 with fewer digits stays where it is, so a bucket never holds more than about ``BUCKET_ROWS`` keys and a key has one bucket
-for each number of digits that was ever used (their number grows with the logarithm). Beside a bucket lies a bit map of
-its keys: a batch reads the maps of its keys' buckets, and the keys of those buckets only where a map says that one of
-them may be there.
+for each number of digits that was ever used (their number grows with the logarithm). A bucket has a bit map of its keys,
+and the maps of the 16 buckets that differ in the last digit alone lie on one shelf: a batch reads the shelves of its keys'
+buckets, and the keys of those buckets only where a map says that one of them may be there.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ MAP_BITS, PIECE_BITS = 1 << 20, 1 << 15
 NAMED = 4096
 
 
+def _places(digits: int) -> dict[str, Column]:
+    """The bucket of a hash and the shelf of its map."""
+    return {"bucket": F.concat(F.lit("b"), F.substring("_h", 1, digits)), "shelf": F.concat(F.lit("b"), F.substring("_h", 1, digits - 1))}
+
+
 class ContentStore:
     def __init__(self, spark: SparkSession, root: str, key: list[str], bucket_rows: int = BUCKET_ROWS):
         self.spark, self.root, self.key, self.bucket_rows = spark, root, key, bucket_rows
@@ -32,15 +37,16 @@ class ContentStore:
         place = F.pmod(F.xxhash64(F.lit("map"), *self.key), F.lit(MAP_BITS))
         return rows.withColumns({"_h": F.lpad(F.hex(F.xxhash64(*self.key)), 16, "0"), "_place": place})
 
-    def _read(self, kind: str, digits: int, buckets: DataFrame) -> DataFrame | None:
-        """Rows of the buckets (bucket) of one number of digits; others are neither listed nor read, unless very many are asked for."""
-        root = f"{self.root}/{kind}/digits={digits}"
+    def _read(self, kind: str, digits: int, folders: DataFrame) -> DataFrame | None:
+        """Rows of the folders (bucket, or shelf) of one number of digits, for a join by bucket; others are neither listed nor
+        read, unless very many or most are asked for: to look each of them up takes longer then than to list all at once."""
+        root, (level,) = f"{self.root}/{kind}/digits={digits}", folders.columns
         if not exists(self.spark, root):
             return None
-        names = [r[0] for r in buckets.distinct().limit(NAMED + 1).collect()]
-        if len(names) > NAMED:
-            return self.spark.read.parquet(root).withColumn("bucket", F.col("bucket").cast("string")).join(buckets.distinct(), "bucket", "left_semi")
-        there = [p for p in (f"{root}/bucket={n}" for n in names) if exists(self.spark, p)]
+        names = [r[0] for r in folders.distinct().limit(NAMED + 1).collect()]
+        if len(names) > min(NAMED, 16 ** (digits - (level == "shelf")) // 2):
+            return self.spark.read.parquet(root)
+        there = [p for p in (f"{root}/{level}={n}" for n in names) if exists(self.spark, p)]
         if not there:
             return None
         return self.spark.read.option("basePath", root).parquet(*there)
@@ -57,8 +63,8 @@ class ContentStore:
         hashed = stored(self._hashed(keys.select(*self.key).distinct()), "keys")
         found = []
         for _, digits, _ in self._batches():
-            near = hashed.withColumn("bucket", F.concat(F.lit("b"), F.substring("_h", 1, digits))).withColumn("piece", F.floor(F.col("_place") / PIECE_BITS))
-            maps = self._read("maps", digits, near.select("bucket"))
+            near = hashed.withColumns({**_places(digits), "piece": F.floor(F.col("_place") / PIECE_BITS)})
+            maps = self._read("maps", digits, near.select("shelf"))
             if maps is None:
                 continue
             at = F.col("_place") % PIECE_BITS
@@ -84,13 +90,15 @@ class ContentStore:
         digits = 1
         while (total + count) > self.bucket_rows * 16**digits:
             digits += 1
-        hashed = self._hashed(fresh.select(*self.key)).withColumn("bucket", F.concat(F.lit("b"), F.substring("_h", 1, digits)))
+        hashed = self._hashed(fresh.select(*self.key)).withColumns(_places(digits))
         keyed = hashed.withColumns({"digits": F.lit(digits), "batch": F.lit(batch).cast("long")})
-        pieces = keyed.groupBy("digits", "bucket", "batch", F.floor(F.col("_place") / PIECE_BITS).alias("piece"))
+        pieces = keyed.groupBy("digits", "shelf", "bucket", "batch", F.floor(F.col("_place") / PIECE_BITS).alias("piece"))
         maps = pieces.agg(F.bitmap_construct_agg(F.col("_place") % PIECE_BITS).alias("bits"))
-        folders = ["digits", "bucket", "batch"]
-        for name, df in (("keys", keyed.select(*self.key, *folders)), ("maps", maps)):
-            df.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{self.root}/{name}")
+        # A stated number, or few small rows would be one task, which would write the files of all folders one after another.
+        tasks = min(16**digits, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        for name, df, level in (("keys", keyed.select(*self.key, "digits", "bucket", "batch"), "bucket"), ("maps", maps, "shelf")):
+            folders = ["digits", level, "batch"]
+            df.repartition(tasks, *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{self.root}/{name}")
         line = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(digits).alias("digits"), F.lit(count).cast("long").alias("rows"))
         line.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batches/part={batch}")
         return fresh
