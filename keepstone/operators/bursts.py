@@ -38,20 +38,25 @@ def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap_sec
 
 
 def _fold(most_bits: int):
-    """A fold over sorted (camera, island, sha256, hi, lo); the open group goes on from batch to batch."""
+    """A fold over sorted (camera, island, sha256, hi, lo, at); the open group goes on from batch to batch. Islands are
+    named after their first record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, moment, held = None, None, {}
+        place, head, first, moment, held = None, None, None, None, {}
         for batch in batches:
-            out = []
-            for camera, island, sha, hi, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            moments, heads, firsts = [], [], []
+            for camera, island, sha, hi, lo, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = hi << 32 | lo
-                joins = place == (camera, island) and (x in held or any((x ^ y).bit_count() <= most_bits for y in held))
-                if not joins:
-                    place, moment, held = (camera, island), sha, {}
+                if place != (camera, island):
+                    place, head, first, held = (camera, island), sha, at, {}
+                if not (x in held or any((x ^ y).bit_count() <= most_bits for y in held)):
+                    moment, held = sha, {}
                 held[x] = True
-                out.append(moment)
-            yield pa.record_batch([batch.column(2), pa.array(out, pa.string())], names=["sha256", "moment_id"])
+                moments.append(moment)
+                heads.append(head)
+                firsts.append(first)
+            made = [pa.array(moments, pa.string()), pa.array(heads, pa.string()), pa.array(firsts, pa.int64())]
+            yield pa.record_batch([batch.column(2), *made, batch.column(5), batch.column(0)], names=["sha256", "moment_id", "island", "first", "at", "camera"])
 
     return run
 
@@ -63,13 +68,22 @@ def bursts(records: DataFrame, gap_seconds: float, most_bits: int) -> DataFrame:
     A gap always breaks a group, so islands of time are independent: they are dealt to tasks, sorted and folded in one
     pass that holds the distinct hashes of the open group only.
     """
+    return folded(records, gap_seconds, most_bits).select("sha256", "moment_id")
+
+
+def folded(records: DataFrame, gap_seconds: float, most_bits: int) -> DataFrame:
+    """(sha256, moment_id, island, first, at, camera): groups as ``bursts`` makes them, with the first record of the island
+    of time, when that begins and when the record was taken, in microseconds. Records without a real time are islands
+    of their own, without a camera."""
+    at = F.unix_micros(F.col("taken_at").cast("timestamp"))
     real = ~F.col("date_source").isin(*NO_TIME)
-    alone = records.where(~real).select("sha256", F.col("sha256").alias("moment_id"))
+    sha = F.col("sha256")
+    alone = records.where(~real).select(sha, sha.alias("moment_id"), sha.alias("island"), at.alias("first"), at.alias("at"), F.lit(None).cast("string").alias("camera"))
     timed = records.where(real).select("sha256", "taken_at", F.coalesce("camera", F.lit("")).alias("camera"), hash_halves(F.col("phash")).alias("h"))
     runs = islands(timed, ["camera"], "taken_at", ["sha256"], gap_seconds)
     sorted_runs = runs.repartition("camera", "island").sortWithinPartitions("camera", "island", "taken_at", "sha256")
-    rows = sorted_runs.select("camera", "island", "sha256", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"))
-    return rows.mapInArrow(_fold(most_bits), "sha256 string, moment_id string").unionByName(alone)
+    rows = sorted_runs.select("camera", "island", "sha256", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo"), at.alias("at"))
+    return rows.mapInArrow(_fold(most_bits), "sha256 string, moment_id string, island string, first long, at long, camera string").unionByName(alone)
 
 
 def apply_overrides(groups: DataFrame, overrides: DataFrame) -> DataFrame:

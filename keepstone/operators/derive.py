@@ -14,8 +14,12 @@ from keepstone.plans.paths import with_paths
 from keepstone.sources.shared import stored
 
 
-#: What copies, scores and paths of records are made of.
-_READ = ["sha256", "moment_id", "taken_at", "date_source", "name", "ext", "width", "height", "size", "phash", "sharpness", "exposure", "faces", "face_sharpness", "user_best", "favorite"]
+#: What copies and scores of records are made of, and what paths need besides.
+_READ = ["sha256", "moment_id", "taken_at", "date_source", "width", "height", "size", "phash", "sharpness", "exposure", "faces", "face_sharpness", "user_best", "favorite"]
+_PATH = ["name", "ext", "taken_at", "date_source"]
+#: What ``rescored`` reads of a record before it has a group.
+RESCORED = [c for c in _READ if c != "moment_id"]
+_MADE = ["sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call"]
 
 
 def refresh(records: DataFrame, ranges: DataFrame, cfg: Curation, changed: DataFrame | None = None) -> DataFrame:
@@ -24,13 +28,21 @@ def refresh(records: DataFrame, ranges: DataFrame, cfg: Curation, changed: DataF
     changed (moment_id) names the groups that an edit touches: only those are derived, to the rows of a full run. Null
     derives all, an empty relation nothing. A group depends on nothing outside it, so no other row is read but once.
     """
-    own = records.select(*_READ)
+    return with_paths(_scored(records, cfg, changed, _PATH), ranges).select(*_MADE, "path")
+
+
+def rescored(records: DataFrame, cfg: Curation, changed: DataFrame | None = None) -> DataFrame:
+    """(sha256, moment_id, duplicate_of, score, is_best, close_call): ``refresh`` without paths, where nothing asks for them."""
+    return _scored(records, cfg, changed, [])
+
+
+def _scored(records: DataFrame, cfg: Curation, changed: DataFrame | None, also: list[str]) -> DataFrame:
+    own = records.select(*dict.fromkeys([*_READ, *also]))
     if changed is not None:
         own = own.join(changed.select("moment_id").distinct(), "moment_id", "left_semi")
     own = stored(own, "own")  # read by every step of finding copies, and by scores
-    scored = score_groups(own.join(copies_of(own, cfg), "sha256", "left"), cfg)
-    scored = stored(scored.select("sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call", "name", "ext", "taken_at", "date_source"), "scored")
-    return with_paths(scored, ranges).select("sha256", "moment_id", "duplicate_of", "score", "is_best", "close_call", "path")
+    read = own.drop("size", "phash") if also else own.drop("size", "phash", "date_source")  # scores don't read these
+    return stored(score_groups(read.join(copies_of(own, cfg), "sha256", "left"), cfg).select(*_MADE, *also), "scored")
 
 
 def keep_ids(before: DataFrame, now: DataFrame) -> DataFrame:

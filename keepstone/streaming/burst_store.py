@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.config import NO_TIME
-from keepstone.operators.bursts import bursts, islands
+from keepstone.operators.bursts import folded
 from keepstone.sources.shared import exists, stored
 
 #: Folders (days, or beginnings of hashes) up to which they are read by name.
@@ -63,7 +63,7 @@ class BurstStore:
 
     def _append(self, df: DataFrame, name: str, folder: str) -> None:
         # A folder may hold nearly all rows (an island lies under its first day): those are dealt to as many tasks as they need.
-        df.hint("rebalance", folder).write.mode("append").partitionBy(folder).parquet(f"{self.root}/{name}")
+        df.hint("rebalance", folder).write.mode("append").option("compression", "zstd").partitionBy(folder).parquet(f"{self.root}/{name}")
 
     def _live(self, cells: DataFrame | None) -> DataFrame | None:
         """(island, home, camera, first, last, batch, cell) of islands that are alive, a row for each cell that was read."""
@@ -80,6 +80,8 @@ class BurstStore:
 
     def _hit(self, changes: DataFrame) -> DataFrame | None:
         """(island, home, batch, camera, first, last) of the islands within the gap of a change (_camera, _at, sha256)."""
+        if not exists(self.spark, f"{self.root}/index"):
+            return None
         near = changes.withColumn("cell", F.explode(_days(F.col("_at") - self.gap, F.col("_at") + self.gap)))
         near = stored(near.select("cell", "_camera", "_at", "sha256"), "near")
         live = self._live(near.select("cell"))
@@ -96,41 +98,33 @@ class BurstStore:
         return rows.join(hit.select("island", "batch"), ["island", "batch"], "left_semi").drop("island", "batch", "cell")
 
     def apply(self, late: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
-        """Add records and take some out; (sha256, before, moment_id) of all records whose island was folded again.
+        """Add records and take some out; (sha256, before, moment_id, given) of all records whose island was folded again.
 
         late: records (sha256, taken_at, date_source, camera, phash and any other columns, the same for each batch);
         deleted (sha256, taken_at, date_source, camera) as they were given. A record that is given again replaces itself
-        if its time and camera are the same. ``before`` is null for new ones, ``moment_id`` for those that went.
+        if its time and camera are the same. ``before`` is null for new ones, ``moment_id`` for those that went;
+        ``given`` tells records of this batch, whose values may be new.
         """
         batch = f"{self._number():012d}-{uuid.uuid4().hex[:8]}"
         late = stored(late, "late")
-        gone = deleted.select("sha256", "taken_at", "date_source", "camera") if deleted is not None else late.limit(0).select("sha256", "taken_at", "date_source", "camera")
-        changes = self._timed(late.select(*gone.columns).unionByName(gone))
-        hit = self._hit(changes)
-        old = None
+        key = ["sha256", "taken_at", "date_source", "camera"]
+        gone = stored(deleted.select(*key), "gone") if deleted is not None else None
+        hit = self._hit(self._timed(late.select(*key) if gone is None else late.select(*key).unionByName(gone)))
+        kept, old = late, None
         if hit is not None:
             hit = stored(hit, "hit")
             old = self._rows(hit)
-        kept = late.withColumn("moment_id", F.lit(None).cast("string"))
-        if old is not None:
-            kept = kept.unionByName(old.join(late.select("sha256"), "sha256", "left_anti"))
-        kept = stored(kept.join(gone.select("sha256"), "sha256", "left_anti"), "kept")
-        now = bursts(kept.drop("moment_id"), self.gap_seconds, self.most_bits)
-        folded = stored(self._timed(kept.drop("moment_id").join(now, "sha256")), "grouped")  # folds once, read by runs and rows
-        timed = islands(folded.where("_camera is not null"), ["_camera"], "taken_at", ["sha256"], self.gap_seconds, "run")
-        alone = folded.where("_camera is null").withColumn("run", F.lit(None).cast("long"))
-        named = F.when(F.col("run").isNull(), F.col("sha256"))
-        both = timed.unionByName(alone)
-        runs = timed.groupBy("_camera", "run").agg(
-            F.min_by("sha256", F.struct("_at", "sha256")).alias("island"), F.min("_at").alias("first"), F.max("_at").alias("last")
-        )
-        rows = both.join(runs, ["_camera", "run"], "left").withColumns(
-            {"island": F.coalesce("island", named), "first": F.coalesce("first", "_at"), "last": F.coalesce("last", "_at"), "batch": F.lit(batch)}
-        )
-        rows = stored(rows.withColumn("cell", _day(F.col("first"))), "folded")
+            kept = late.unionByName(old.drop("moment_id").join(late.select("sha256"), "sha256", "left_anti"))
+        if gone is not None:
+            kept = kept.join(gone.select("sha256"), "sha256", "left_anti")
+        if kept is not late:
+            kept = stored(kept, "kept")
+        # Islands and groups are found on what they are made of; whole rows only meet them once, to be written.
+        now = stored(folded(kept, self.gap_seconds, self.most_bits), "folded").withColumns({"batch": F.lit(batch), "cell": _day(F.col("first"))})
+        rows = kept.join(now.select("sha256", "moment_id", "island", "batch", "cell"), "sha256")
         self._append(rows.select(*late.columns, "moment_id", "island", "batch", "cell"), "rows", "cell")
-        self._append(rows.select("sha256", "batch", "cell", F.substring("sha256", 1, 2).alias("begin")), "places", "begin")
-        made = rows.groupBy("island").agg(F.first("_camera").alias("camera"), F.first("first").alias("first"), F.first("last").alias("last"), F.first("cell").alias("home"))
+        self._append(now.select("sha256", "batch", "cell", F.substring("sha256", 1, 2).alias("begin")), "places", "begin")
+        made = now.groupBy("island").agg(F.first("camera").alias("camera"), F.first("first").alias("first"), F.max("at").alias("last"), F.first("cell").alias("home"))
         lines = made.withColumn("live", F.lit(True))
         if hit is not None:
             dead = hit.join(made.select("island"), "island", "left_anti")
@@ -142,33 +136,46 @@ class BurstStore:
         posted = lines.withColumn("cell", F.explode(_days(F.col("first"), F.col("last"))))
         if hit is not None:
             posted = posted.unionByName(stale).dropDuplicates(["island", "cell"])
-        self._append(stored(posted, "posted").withColumn("batch", F.lit(batch)), "index", "cell")
-        after = rows.select("sha256", "moment_id")
+        self._append(posted.withColumn("batch", F.lit(batch)), "index", "cell")
+        after = now.select("sha256", "moment_id")
         if old is None:
-            return after.select("sha256", F.lit(None).cast("string").alias("before"), "moment_id")
-        return after.join(old.select("sha256", F.col("moment_id").alias("before")), "sha256", "full").select("sha256", "before", "moment_id")
+            return after.select("sha256", F.lit(None).cast("string").alias("before"), "moment_id", F.lit(True).alias("given"))
+        given = late.select("sha256", F.lit(True).alias("_given")).distinct()
+        told = after.join(old.select("sha256", F.col("moment_id").alias("before")), "sha256", "full").join(given, "sha256", "left")
+        return told.select("sha256", "before", "moment_id", F.coalesce("_given", F.lit(False)).alias("given"))
 
     def _number(self) -> int:
         index = self._table("index", "cell", None)
         last = index.agg(F.max("batch")).first()[0] if index is not None else None
         return int(last.split("-")[0]) + 1 if last else 0
 
+    def _latest(self, rows: DataFrame, cells: DataFrame | None) -> DataFrame:
+        """Those of ``rows`` (read from the same cells, or all) that the latest batch which tells of their island wrote.
+
+        Only islands that several batches told of, or that are gone, are looked for: all other rows of a batch that went
+        through count, so rows aren't shuffled while few islands are folded again.
+        """
+        index = self._table("index", "cell", cells)
+        batches = stored(index.select("batch").distinct(), "batches")
+        told = index.groupBy("island").agg(F.max(F.struct("batch", "live")).alias("x"), F.min("batch").alias("_from"))
+        again = told.where("not x.live or x.batch != _from").select(F.col("island").alias("_island"), F.when(F.col("x.live"), F.col("x.batch")).alias("_batch"))
+        again = stored(again, "again")
+        met = rows.join(F.broadcast(batches), "batch", "left_semi").join(again, F.col("island") == F.col("_island"), "left")
+        return met.where("_island is null or batch = _batch").select(*rows.columns)
+
     def groups(self) -> DataFrame:
         """All records that are there, with their group."""
-        live = self._live(None)
-        return self._rows(live.select("island", "home", "batch").distinct())
+        return self._latest(self._table("rows", "cell", None), None).drop("island", "batch", "cell")
 
     def located(self, shas: DataFrame) -> DataFrame:
         """Records of the islands in which the records ``shas`` (sha256) lie, with their group; others are ignored."""
         keys = stored(shas.select("sha256").distinct(), "keys")
         places = self._table("places", "begin", keys.select(F.substring("sha256", 1, 2).alias("begin")))
-        cells = places.join(keys, "sha256", "left_semi").groupBy("sha256").agg(F.max_by("cell", "batch").alias("home"))
-        cells = stored(cells, "cells")
-        rows = self._table("rows", "cell", cells.select(F.col("home").alias("cell")))
-        live = self._live(cells.select(F.col("home").alias("cell"))).select("island", "batch").distinct()
-        here = rows.join(live, ["island", "batch"], "left_semi")
-        wanted = here.join(keys, "sha256", "left_semi").select("island", "batch").distinct()
-        return here.join(wanted, ["island", "batch"], "left_semi").drop("island", "batch", "cell")
+        cells = places.join(keys, "sha256", "left_semi").groupBy("sha256").agg(F.max(F.struct("batch", "cell")).alias("x"))
+        cells = stored(cells.select(F.col("x.cell").alias("cell")).distinct(), "cells")
+        here = self._latest(self._table("rows", "cell", cells), cells)
+        wanted = stored(here.join(keys, "sha256", "left_semi").select("island").distinct(), "wanted")
+        return here.join(wanted, "island", "left_semi").drop("island", "batch", "cell")
 
 
 def members(store: BurstStore, changed: DataFrame, overrides: DataFrame, edited: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -179,11 +186,14 @@ def members(store: BurstStore, changed: DataFrame, overrides: DataFrame, edited:
     then, null if unknown). A group's records are those folded into it and those put into it by hand, wherever they lie;
     each is found by its hash, so what is read are the islands of what is asked for.
     """
+    overrides = stored(overrides.select("sha256", "moment_id"), "overrides")
     given = overrides.select("sha256", F.col("moment_id").alias("_given"))
-    touched = changed.select("sha256").unionByName(edited.select("sha256")).distinct()
+    # A record that stayed in its group, and wasn't given anew, leaves it as it was.
+    changed = stored(changed.where("given or not (before <=> moment_id)").select("sha256", "before", "moment_id"), "moved")
+    touched = stored(changed.select("sha256").unionByName(edited.select("sha256")).distinct(), "touched")
     manual = overrides.join(touched, "sha256", "left_semi").select("moment_id")
     ids = [changed.select(F.col("before").alias("moment_id")), changed.select("moment_id"), manual, edited.select(F.col("before").alias("moment_id"))]
-    first = store.located(touched).select("sha256", "moment_id").join(given, "sha256", "left").select(F.coalesce("_given", "moment_id").alias("moment_id"))
+    first = store.located(touched).select("sha256", "moment_id").join(touched, "sha256", "left_semi").join(given, "sha256", "left").select(F.coalesce("_given", "moment_id").alias("moment_id"))
     groups = ids[0]
     for more in (*ids[1:], first):
         groups = groups.unionByName(more)
